@@ -31,6 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def new_path(spark: SparkSession, label: str) -> str:

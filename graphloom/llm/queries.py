@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, packing, quality, toxicity, urlfilter
+from . import bpe, langid, packing, quality, toxicity, urlfilter, warc
 
 #: Folder of the public tokenizer files; the installed package's unless set.
 TOKENIZERS = os.environ.get("GRAPHLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -44,6 +44,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_quality": op3_quality,
@@ -51,9 +55,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op8_language_id": op8_language_id,
+    "op9_warc": op9_warc,
 }
 
+_BASE32_GROUP = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {5 * k + 1}, 5))::bigint >> {s}) & 31) + 1)::int, 1)" for k in range(8) for s in (15, 10, 5, 0))
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_warc": f"""
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+d as (select page_id, octet_length(payload)::bigint as payload_bytes, sha1(payload) as h, min(page_id) over (partition by payload) as first from p)
+select page_id, payload_bytes, {_BASE32_GROUP} as payload_digest,
+  case when first = page_id then 'response' else 'revisit' end as record_type, case when first <> page_id then first end as refers_to from d
+""",
     "op4_url_filter": r"""
 with parts as (
   select page_id, url, case when url is null or position('://' in url) = 0 then null else substr(url, position('://' in url) + 3) end as rest from pages
