@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, packing, quality, toxicity, urlfilter, warc
+from . import bpe, langid, njaccard, packing, quality, toxicity, urlfilter, warc
 
 #: Folder of the public tokenizer files; the installed package's unless set.
 TOKENIZERS = os.environ.get("GRAPHLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -48,6 +48,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return njaccard.ngram_jaccard(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_quality": op3_quality,
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 _BASE32_GROUP = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {5 * k + 1}, 5))::bigint >> {s}) & 31) + 1)::int, 1)" for k in range(8) for s in (15, 10, 5, 0))
