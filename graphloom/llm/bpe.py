@@ -59,7 +59,7 @@ class MergeTable:
         chars = byte_chars()
         self.first = [vocab[c] for c in chars]
         self.last = [vocab[c + suffix] for c in chars]
-        self.surface = {i: t for t, i in vocab.items()}
+        self.shown = {i: t.encode() for t, i in vocab.items()}
         self.pairs: dict[int, int] = {}
         made: dict[int, tuple[int, int, int]] = {}
         length = {i: len(t.removesuffix(suffix) if suffix else t) for t, i in vocab.items()}
@@ -104,21 +104,16 @@ class MergeTable:
     def merged(self, ids: list[int]) -> list[int]:
         if len(ids) > _SHORT:
             return self._merged_long(ids)
-        get, mask = self.pairs.get, (1 << _SHIFT) - 1
-        while len(ids) > 1:
-            ranks = [get(a << _SHIFT | b, _NONE) for a, b in zip(ids, ids[1:])]
-            low = min(ranks)
-            if low == _NONE:
-                break
-            new, out, i, n = low & mask, [], 0, len(ids)
-            while i < n:
-                if i < n - 1 and ranks[i] == low:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        get, mask, none = self.pairs.get, (1 << _SHIFT) - 1, _NONE
+        ranks = [get(a << _SHIFT | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks and (low := min(ranks)) != none:
+            i, new = ranks.index(low), low & mask
+            ids[i] = new
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(new << _SHIFT | ids[i + 1], none)
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << _SHIFT | new, none)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
@@ -174,18 +169,17 @@ class Decoder:
     """
 
     def __init__(self, table: MergeTable, special: dict[int, str], joined: bool) -> None:
-        self.table, self.special, self.joined = table, special, joined
+        self.table, self.special, self.joined, self.shown = table, special, joined, table.shown
         self.state, self.begun = codecs.getincrementaldecoder("utf-8")("replace"), False
 
-    def feed(self, token: int) -> str:
+    def feed(self, tokens: Iterable[int]) -> str:
+        """The text that is complete once these tokens are read."""
         if self.joined:
-            text = self.special.get(token) or self.table.surface[token]
-            text = " " + text if self.begun else text
-            self.begun = True
-            return self.state.decode(text.encode())
-        if token in self.special:
-            return self.state.decode(b"", True) + self.special[token]
-        return self.state.decode(self.table.token_bytes[token])
+            shown = b" ".join(map(self.shown.__getitem__, tokens))
+            shown = b" " + shown if self.begun and shown else shown
+            self.begun = self.begun or bool(shown)
+            return self.state.decode(shown)
+        return "".join([self.state.decode(b"", True) + self.special[t] if t in self.special else self.state.decode(self.table.token_bytes[t]) for t in tokens])
 
     def finish(self) -> str:
         self.begun = False
@@ -203,11 +197,12 @@ _CONTROL = "\x1c\x1d\x1e\x1f"  # white space to str.split(), not to the files' \
 class WordCodec:
     """The whole encoder and decoder for a file with NFC, white-space folding, lower-casing and word ends."""
 
-    def __init__(self, spec: str, memo: int = 150_000) -> None:
+    def __init__(self, spec: str, memo: int = 300_000) -> None:
         j = json.loads(spec)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in j["model"]["merges"]]
         self.table = MergeTable(j["model"]["vocab"], merges, j["model"]["end_of_word_suffix"] or "")
         self.special = {t["id"]: t["content"] for t in j["added_tokens"]}
+        self.table.shown.update({i: t.encode() for i, t in self.special.items()})
         self.special_ids = {v: k for k, v in self.special.items()}
         self.splitter = regex.compile("(" + "|".join(regex.escape(x) for x in self.special_ids) + ")")
         self.find = regex.compile(WORD_PATTERN).findall
@@ -271,7 +266,7 @@ class WordCodec:
 
     def decode(self, ids: Iterable[int]) -> str:
         machine = Decoder(self.table, self.special, joined=True)
-        return "".join([machine.feed(i) for i in ids]) + machine.finish()
+        return machine.feed(ids) + machine.finish()
 
 
 _CODECS: dict[str, WordCodec] = {}
