@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, njaccard, packing, quality, toxicity, urlfilter, warc
+from . import ann, bpe, langid, neardup, njaccard, packing, quality, toxicity, urlfilter, warc
 
 #: Folder of the public tokenizer files; the installed package's unless set.
 TOKENIZERS = os.environ.get("GRAPHLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -52,12 +52,22 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return njaccard.ngram_jaccard(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_nearest": op2_nearest,
     "op3_quality": op3_quality,
     "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
     "op10_ngram_jaccard": op10_ngram_jaccard,
