@@ -65,11 +65,21 @@ def arrow_rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
+def keep_rows(df: DataFrame, column: str, keep: Callable[[list], "list[bool]"]) -> DataFrame:
+    """Rows of ``df`` for whose values in ``column`` ``keep`` says so; all columns stay as they are, nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keep(b.column(column).to_pylist()), pa.bool_()))
+
+    return map_batches(df, run, df.schema)
+
+
 class Memo(dict):
     """A bounded memo in two generations, with lookups at C speed.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, map_batches
+from .common import crc_bucket, keep_rows, map_batches
 from .hashed import Features, Sparse, Weights, adam, labelled_sample, letters, screen, sigmoid, stem_features
 
 #: Groups of identity terms that may stand for each other.
@@ -114,6 +114,12 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     return map_batches(docs.select(F.col(id_col), F.col(text_col)), run, f"`{id_col}` {kind}, score double")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 5, held: int = 0, limit: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score ``limit`` or more; all columns stay, nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label_col, id_col, text_col, modulus, held))
+    return keep_rows(docs, text_col, lambda texts: [shared.value.score(t) < limit for t in texts])
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 5, held: int = 0) -> DataFrame:
     """``id_col, held_out, score, predicted``; a null id is not held out."""
     scored = score(docs, train(docs, labels, label_col, id_col, text_col, modulus, held), id_col, text_col)
