@@ -26,14 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_bucket, map_batches
+from .common import crc_bucket, keep_rows, map_batches
 
 #: Bounds of the labelled sample: documents and characters for each language.
 SAMPLE_DOCS, SAMPLE_CHARS = 96, 32_768
 #: Bound of the alphabet; rarer letters share one class.
 MOST_LETTERS = 120
 MOST_LANGUAGES = 200
-BLOCK = 512
+#: Characters of a block; blocks parsed side by side; characters held at a time.
+BLOCK, SIDE, SLICE = 512, 4096, 1 << 20
 _SPACE, _OTHER, _PAD = 0, 1, 2
 _PLANES = 0x30000
 
@@ -110,53 +111,75 @@ class Parser:
             move[:, _OTHER] = -1  # letters of which nothing is known match nowhere
             move[:, _PAD] = np.arange(len(move))
             move[move >= 0] += at
-            tables.append(move)
+            tables.append(move.ravel())
             self.roots.append(at)
             self.cost.append(math.log2(max(2, len(codes))))
             at += len(move)
-        self.move = np.concatenate(tables).ravel() if tables else np.array([], dtype=np.int32)
+        self.move = np.concatenate(tables) if tables else np.array([], dtype=np.int32)
 
     def phrases(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Phrases each text needs in each language (texts x languages)."""
-        width, k = self.alphabet.width, len(self.names)
+        """Phrases each text needs in each language (texts x languages), ``SIDE`` blocks at a time."""
+        k = len(self.names)
         begins = np.concatenate([[0], ends[:-1]])
         blocks = -(-(ends - begins) // BLOCK)
         owner = np.repeat(np.arange(len(ends)), blocks)
         start = begins[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
-        if not len(owner):
-            return np.zeros((len(ends), k))
-        at = start[None, :] + np.arange(BLOCK)[:, None]
-        grid = np.where(at < ends[owner][None, :], codes[np.minimum(at, len(codes) - 1)], _PAD).astype(np.int64)
-        roots = np.repeat(np.array(self.roots, dtype=np.int64), len(owner))
+        out = np.zeros((len(ends), k))
+        for low in range(0, len(owner), SIDE):
+            own = owner[low : low + SIDE]
+            count = self._parse(codes, start[low : low + SIDE], ends[own]).reshape(k, len(own))
+            for j in range(k):
+                out[:, j] += np.bincount(own, weights=count[j], minlength=len(ends))
+        return out
+
+    def _parse(self, codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        width, k = self.alphabet.width, len(self.names)
+        roots = np.repeat(np.array(self.roots, dtype=np.int64) * width, len(start))
         state, count = roots.copy(), np.ones(len(roots), dtype=np.int32)
-        for row in grid:
-            c = np.tile(row, k)
-            to = self.move[state * width + c]
+        for step in range(int(min(BLOCK, (stop - start).max()))):
+            at = start + step
+            c = np.tile(np.where(at < stop, codes[np.minimum(at, len(codes) - 1)], _PAD), k)
+            to = self.move[state + c]
             if len(miss := np.flatnonzero(to < 0)):
                 count[miss] += 1
-                again = self.move[roots[miss] * width + c[miss]]
-                to[miss] = np.where(again < 0, roots[miss], again)
-            state = to.astype(np.int64)
-        out = np.zeros((len(ends), k))
-        for j in range(k):
-            out[:, j] = np.bincount(owner, weights=count[j * len(owner) : (j + 1) * len(owner)], minlength=len(ends))
-        return out
+                again = self.move[roots[miss] + c[miss]]
+                to[miss] = np.where(again < 0, roots[miss] // width, again)
+            state = to.astype(np.int64) * width
+        return count
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        texts = [t or "" for t in texts]
-        codes, ends = self.alphabet.codes(texts)
-        lettered = np.concatenate([[0], np.cumsum(codes != _SPACE)])
-        letters = lettered[ends] - lettered[np.concatenate([[0], ends[:-1]])]
-        if not self.names:
-            return ["und"] * len(texts), np.zeros(len(texts))
-        bits = self.phrases(codes, ends) * np.array(self.cost)
+        """Texts are taken in slices of ``SLICE`` characters, so that memory does not depend on their length."""
+        n, k = len(texts), len(self.names)
+        if not k:
+            return ["und"] * n, np.zeros(n)
+        bits, letters = np.zeros((n, k)), np.zeros(n, dtype=np.int64)
+        for part in self._slices(texts):
+            who = np.array([i for i, _ in part])
+            codes, ends = self.alphabet.codes([t for _, t in part])
+            lettered = np.concatenate([[0], np.cumsum(codes != _SPACE)])
+            np.add.at(letters, who, lettered[ends] - lettered[np.concatenate([[0], ends[:-1]])])
+            np.add.at(bits, who, self.phrases(codes, ends))
+        bits *= np.array(self.cost)
         best = bits.argmin(axis=1)
-        low = bits[np.arange(len(texts)), best]
-        second = np.partition(bits, 1, axis=1)[:, 1] if len(self.names) > 1 else np.full(len(texts), np.inf)
-        score = np.where(np.isinf(second), 1.0, second / np.maximum(low + np.where(np.isinf(second), 0, second), 1e-9))
+        low = bits[np.arange(n), best]
+        second = np.partition(bits, 1, axis=1)[:, 1] if k > 1 else low
+        score = second / np.maximum(low + second, 1e-9) if k > 1 else np.ones(n)
         none = letters == 0
         return ["und" if x else self.names[b] for x, b in zip(none, best, strict=True)], np.where(none, 0.0, score)
 
+    @staticmethod
+    def _slices(texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
+        part, size = [], 0
+        for i, t in enumerate(texts):
+            for at in range(0, len(t or ""), SLICE):
+                part.append((i, t[at : at + SLICE]))
+                size += len(part[-1][1])
+                if size >= SLICE:
+                    yield part
+                    part, size = [], 0
+        if part:
+            yield part
+
 
 _PARSERS: dict[str, Parser] = {}
 
@@ -192,6 +215,21 @@ def sample(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text
     return out
 
 
+def _parser(samples: dict[str, str]) -> Parser:
+    """One parser for each Python worker and sample."""
+    key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
+    if key not in _PARSERS:
+        _PARSERS.clear()
+        _PARSERS[key] = Parser(samples)
+    return _PARSERS[key]
+
+
+def with_language(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, held: int = 2) -> DataFrame:
+    """``docs`` without the rows whose language is ``und``; all columns stay, nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(sample(docs, lang_col, id_col, text_col, modulus, held))
+    return keep_rows(docs, text_col, lambda texts: [x != "und" for x in _parser(shared.value).judge(texts)[0]])
+
+
 def language_id(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, held: int = 2) -> DataFrame:
     """``id_col, held_out, lang_pred, score``: one pass, no shuffle of texts; a null id is not held out.
 
@@ -203,12 +241,8 @@ def language_id(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hashlib.sha256(repr(sorted(shared.value.items())).encode()).hexdigest()
-        if key not in _PARSERS:
-            _PARSERS.clear()
-            _PARSERS[key] = Parser(shared.value)
         for b in batches:
-            names, scores = _PARSERS[key].judge(b.column(1).to_pylist())
+            names, scores = _parser(shared.value).judge(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
 
     judged = map_batches(docs.select(F.col(id_col), F.col(text_col)), run, f"`{id_col}` {kind}, lang_pred string, score double")
