@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's documents. A stage works on all
 rows its predecessor kept. Columns of ``documents`` other than id and text pass
-through unchanged; repeated ids stay together.
+through unchanged; rows repeated with one id stay together; a null id is never
+rejected as a duplicate.
 """
 
 from __future__ import annotations
@@ -19,27 +20,21 @@ from graphloom.llm.queries import TOKENIZERS
 WORDS, SIMILARITY = 5, 80
 
 
-def _keep(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the rejected ids. A null id is never rejected."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which no language can be told (null text, or no letter in it) go."""
-    judged = materialize(langid.language_id(docs), "languages")
-    return _keep(docs, judged.where(F.col("lang_pred") == "und"))
+    return langid.with_language(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
-    scored = materialize(toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "toxicity")
-    return _keep(docs, scored.where(F.col("predicted") == 1))
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
     joined = materialize(njaccard.ngram_jaccard(docs, n=WORDS, num=SIMILARITY, den=100), "duplicates")
-    return _keep(docs, joined.where("component_id <> doc_id"))
+    gone = joined.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
