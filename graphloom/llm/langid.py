@@ -104,15 +104,17 @@ class Parser:
         self.names = sorted(samples)
         letters = Counter(c for t in samples.values() for c in t.lower() if c.isalpha())
         self.alphabet = Alphabet([c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:MOST_LETTERS]])
-        tables, self.roots, self.cost, at = [], [], [], 0
+        tables, self.roots, self.closed, self.cost, at = [], [], [], [], 0
         for name in self.names:
             codes, _ = self.alphabet.codes([samples[name]])
             move = suffix_automaton(codes, self.alphabet.width)
+            move = np.concatenate([move, np.full((1, self.alphabet.width), -1, dtype=np.int32)])  # no phrase is open
             move[:, _OTHER] = -1  # letters of which nothing is known match nowhere
             move[:, _PAD] = np.arange(len(move))
             move[move >= 0] += at
             tables.append(move.ravel())
             self.roots.append(at)
+            self.closed.append(at + len(move) - 1)
             self.cost.append(math.log2(max(2, len(codes))))
             at += len(move)
         self.move = np.concatenate(tables) if tables else np.array([], dtype=np.int32)
@@ -135,15 +137,16 @@ class Parser:
     def _parse(self, codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         width, k = self.alphabet.width, len(self.names)
         roots = np.repeat(np.array(self.roots, dtype=np.int64) * width, len(start))
-        state, count = roots.copy(), np.ones(len(roots), dtype=np.int32)
+        closed = np.repeat(np.array(self.closed, dtype=np.int64), len(start))
+        state, count = closed * width, np.zeros(len(roots), dtype=np.int32)
         for step in range(int(min(BLOCK, (stop - start).max()))):
             at = start + step
             c = np.tile(np.where(at < stop, codes[np.minimum(at, len(codes) - 1)], _PAD), k)
             to = self.move[state + c]
             if len(miss := np.flatnonzero(to < 0)):
-                count[miss] += 1
+                count[miss] += 1  # a phrase begins here; a letter that never occurs is one by itself
                 again = self.move[roots[miss] + c[miss]]
-                to[miss] = np.where(again < 0, roots[miss] // width, again)
+                to[miss] = np.where(again < 0, closed[miss], again)
             state = to.astype(np.int64) * width
         return count
 
