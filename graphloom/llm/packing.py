@@ -145,8 +145,9 @@ class Sums:
                     return (a, *rest)
         return None
 
-    def fill(self, gap: int) -> tuple[int, ...] | None:
-        return self.single(gap) or self.pair(gap) or self.triple(gap)
+    def fill(self, gap: int, reach: int) -> tuple[int, ...] | None:
+        """Pairs and triples for gaps up to ``reach``; wider gaps get their largest piece first."""
+        return self.single(gap) or (self.pair(gap) or self.triple(gap) if gap <= reach else None)
 
 
 def _times(counts: np.ndarray, parts: tuple[int, ...]) -> int:
@@ -154,8 +155,7 @@ def _times(counts: np.ndarray, parts: tuple[int, ...]) -> int:
     return min(int(counts[p]) // k for p, k in need.items())
 
 
-def plan(histogram: dict[int, int], capacity: int = 1024) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one sequence, how many such sequences), using every counted length up."""
+def _planned(histogram: dict[int, int], capacity: int, defer: bool, reach: int) -> list[tuple[tuple[int, ...], int]]:
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         counts[length] += n
@@ -168,34 +168,51 @@ def plan(histogram: dict[int, int], capacity: int = 1024) -> list[tuple[tuple[in
             counts[p] -= times
         done.append((parts, times))
 
-    for length in range(capacity, 0, -1):
-        while counts[length] > 0:
-            if length == capacity:
-                use((length,))
-                continue
-            counts[length] -= 1
-            parts = Sums(counts).fill(capacity - length)
-            counts[length] += 1
-            if parts is None:
-                left[length], counts[length] = counts[length], 0
+    def filled(length: int, best_fit: bool) -> tuple[int, ...] | None:
+        """One sequence around a piece: filled exactly if it can be, before or after the largest piece that fits."""
+        parts = [length]
+        counts[length] -= 1
+        whole = length == capacity
+        while not whole and (gap := capacity - sum(parts)) > 0:
+            if exact := Sums(counts).fill(gap, reach):
+                parts += exact
+                for p in exact:
+                    counts[p] -= 1
+                whole = True
+            elif best_fit and len(fit := np.flatnonzero(counts[1 : gap + 1])):
+                parts.append(int(fit[-1]) + 1)
+                counts[parts[-1]] -= 1
+            else:
                 break
-            use((length, *parts))
-    counts = left
+        for p in parts:
+            counts[p] += 1
+        return tuple(parts) if whole or best_fit or sum(parts) == capacity else None
+
     for length in range(capacity, 0, -1):
         while counts[length] > 0:
-            parts, gap = [length], capacity - length
-            counts[length] -= 1
-            while gap > 0 and len(fit := np.flatnonzero(counts[1 : gap + 1])):
-                best = int(fit[-1]) + 1
-                counts[best] -= 1
-                parts.append(best)
-                gap -= best
-            for p in parts:
-                counts[p] += 1
-            use(tuple(parts))
+            if (parts := filled(length, not defer)) is None:
+                left[length], counts[length] = counts[length], 0
+            else:
+                use(parts)
+    if defer:
+        counts = left
+        for length in range(capacity, 0, -1):
+            while counts[length] > 0:
+                use(filled(length, True))
     return done
 
 
+def plan(histogram: dict[int, int], capacity: int = 1024) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of one sequence, how many such sequences), using every counted length up.
+
+    Lengths that no combination fills exactly are packed best-fit, at once or
+    after all others, and small pieces are spent on wide gaps or kept for narrow
+    ones; whichever way takes the fewest sequences is kept.
+    """
+    plans = [_planned(histogram, capacity, True, capacity), *(_planned(histogram, capacity, False, capacity // k) for k in (1, 4, 16, 64, 256))]
+    return min(plans, key=lambda p: sum(times for _, times in p))
+
+
 def places(planned: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[int, np.ndarray]:
     """For each length: rows (first rank, first sequence, offset), by rank; ranks follow the plan."""
     used, runs, sequence = [0] * (capacity + 1), {}, 0
