@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_callable, is_file_node, leaf_any_parens, line_slice, location_line, token_count
+from ..plans.lineage import cut
 from ..schema import CALL_RELATIONS, MEMBER_RELATIONS, NOT_A_TEST_LINK, TRAVERSAL_RELATIONS
 from .edges import related_tests, unmodelled
 from .rank import mentioned, ranked, severity, two_tier_fill, via
@@ -53,7 +54,8 @@ def context_pack(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, files: Da
     """
     relations = TRAVERSAL_RELATIONS + (MEMBER_RELATIONS if containment else ())
     hops = depth + (1 if index_budget > 0 else 0)
-    reach = radius(nodes, edges, seeds, hops, direction, relations, max_nodes)
+    # bounded by max_nodes for each seed, and read several times below
+    reach = cut(radius(nodes, edges, seeds, hops, direction, relations, max_nodes), "reach")
     v = via(closure_edges(edges, reach))
     seed = seeds.select("query_id", F.col("id").alias("seed"))
     info = nodes.select("id", "label", "source_file", "source_location", "_callable")
@@ -72,7 +74,7 @@ def context_pack(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, files: Da
     shown = shown.withColumn("cost", token_count(F.concat(head, body, F.lit("\n")))).withColumn("index_cost", token_count(line))
     text = shown.where("id = seed").select("query_id", F.col("body").alias("text"))
     placed = ranked(mentioned(shown.drop("source", "body"), text), order)
-    tiers = two_tier_fill(placed, budget, index_budget, body_depth=depth)
+    tiers = cut(two_tier_fill(cut(placed, "placed"), budget, index_budget, body_depth=depth), "tiers")
     kept = tiers.where("tier <> 'omitted'").select("query_id", "id")
     files_shown = tiers.where("tier = 'body'").select("query_id", F.col("source_file").alias("file")).distinct()
     return Pack(

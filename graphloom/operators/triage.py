@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from ..schema import TRAVERSAL_RELATIONS
 from .resolve import resolve
 from .traverse import closure_edges, neighbours, overrides, radius, taint_exposed
@@ -21,10 +22,10 @@ def seeds_of(report: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def triage(report: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2, direction: str = "up", relations: tuple[str, ...] = TRAVERSAL_RELATIONS, max_nodes: int | None = 300) -> DataFrame:
     """One row a finding: seed (null if unresolved), reach, truncation, callers, callees, taint-exposed nodes, overrides, covering tests and configuration read."""
-    seeds = seeds_of(report, nodes)
+    seeds = cut(seeds_of(report, nodes), "seeds")
     known = seeds.where("id is not null")
-    reach = radius(nodes, edges, known, depth, direction, relations, max_nodes)
-    closure = closure_edges(edges, reach)
+    reach = cut(radius(nodes, edges, known, depth, direction, relations, max_nodes), "reach")
+    closure = cut(closure_edges(edges, reach), "closure")
     lists = lambda df, name: df.groupBy("query_id").agg(F.array_sort(F.collect_set("id")).alias(name))
     near = neighbours(nodes, edges, known, relations)
     tests = edges.where("relation = 'tests'").join(known.select("query_id", F.col("id").alias("target")), "target").select("query_id", F.col("source").alias("id"))

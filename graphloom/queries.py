@@ -694,6 +694,14 @@ def nested_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.nested_in_function(symbols.definitions(_sources(spark, sf_dir)))
 
 
+def _parsed(files: DataFrame) -> DataFrame:
+    """Definitions, written once: parsing is the one step here that is not cheap to repeat."""
+    from .operators import symbols
+    from .plans.lineage import cut
+
+    return cut(symbols.definitions(files), "definitions")
+
+
 def _modelled(spark: SparkSession, defs: DataFrame) -> DataFrame:
     """Nodes for every file and class and for methods of even customers."""
     d = defs.where("name not like '%inner%'").withColumn("leaf", F.substring_index("name", ".", -1))
@@ -708,28 +716,28 @@ def _modelled(spark: SparkSession, defs: DataFrame) -> DataFrame:
 @query(f"""with {_DEFS_SQL} select lower('nation_' || k || '_py_' || cls || '_customer_' || c) as id, '.customer_' || c || '()' as label, file as source_file, 'L' || l as source_location, 'absent_from_extraction' as supplement_reason from m where c % 2 = 1""")
 def supplement_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes for methods that the graph lacks."""
-    from .operators import supplement, symbols
+    from .operators import supplement
 
-    defs = symbols.definitions(_sources(spark, sf_dir))
+    defs = _parsed(_sources(spark, sf_dir))
     return supplement.compute(_modelled(spark, defs), defs)[0].select("id", "label", "source_file", "source_location", "supplement_reason")
 
 
 @query(f"""with {_DEFS_SQL} select file || '::' || cls as source, lower('nation_' || k || '_py_' || cls || '_customer_' || c) as target, 'method' as relation, 'EXTRACTED' as confidence from m where c % 2 = 1""")
 def supplement_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owner edges of the supplemented nodes; what they call is no callable of the graph, so no call edge is made."""
-    from .operators import supplement, symbols
+    from .operators import supplement
 
-    defs = symbols.definitions(_sources(spark, sf_dir))
+    defs = _parsed(_sources(spark, sf_dir))
     return supplement.compute(_modelled(spark, defs), defs)[1].select("source", "target", "relation", "confidence")
 
 
 @query()
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiers of the packs around two classes, on the generated sources."""
-    from .operators import pack, symbols
+    from .operators import pack
 
     files = _sources(spark, sf_dir)
-    defs = symbols.definitions(files)
+    defs = _parsed(files)
     nodes = _modelled(spark, defs)
     owner = F.regexp_replace("id", "[.][^.]*$", "")
     methods = nodes.where("label like '.%'").select(owner.alias("source"), F.col("id").alias("target"), F.lit("method").alias("relation"))
