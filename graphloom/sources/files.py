@@ -5,6 +5,7 @@ from __future__ import annotations
 import sqlite3
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
@@ -28,15 +29,45 @@ CONFIG_B = (
 )
 
 
+def _hidden_paths(spark: SparkSession, root: str) -> list[str]:
+    """Files whose names begin with ``.`` or ``_``, which Spark's file sources leave out. Names only; configuration files are few."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    found, todo = [], at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    while todo.hasNext():
+        path = todo.next().getPath()
+        if path.getName()[:1] in "._" and not path.getName().endswith(".crc"):
+            found.append(path.toString())
+    return found
+
+
+def _read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path, content`` of files by name, opened on the executors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for b in batches:
+            content = []
+            for p in b.path:
+                system, at = fs.FileSystem.from_uri(p if "://" in p else "file://" + p.removeprefix("file:"))
+                with system.open_input_stream(at) as f:
+                    content.append(f.read())
+            yield pd.DataFrame({"path": b.path, "content": content})
+
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths) // 64)).mapInPandas(run, "path string, content binary")
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """``file, text, md5`` of every file under ``root`` outside skipped directories; paths are relative and posix."""
-    base = root.rstrip("/") + "/"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    at = F.regexp_replace(X.posix(F.col("path")), r"^[a-z]+:/+", "/")
-    clean = base.split("://", 1)[-1] if "://" in base else base
-    file = F.when(at.startswith(clean), F.substring(at, len(clean) + 1, 1 << 20)).otherwise(at)
-    skipped = F.exists(F.split(file, "/"), lambda s: s.isin(*SKIPPED_DIRS))
-    return raw.select(file.alias("file"), F.decode("content", F.lit("UTF-8")).alias("text"), F.md5("content").alias("md5")).where(~skipped)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
+    if hidden := _hidden_paths(spark, root):
+        raw = raw.unionByName(_read_paths(spark, hidden))
+    plain = lambda p: F.regexp_replace(X.posix(p), r"^[a-z]+:/+", "/")
+    at, base = plain(F.col("path")), plain(F.lit(root.rstrip("/") + "/"))
+    file = F.when(at.startswith(base), F.substr(at, F.length(base) + 1)).otherwise(at)
+    skipped = F.exists(F.split(F.col("file"), "/"), lambda s: s.isin(*SKIPPED_DIRS))
+    return raw.select(file.alias("file"), F.decode("content", "UTF-8").alias("text"), F.md5("content").alias("md5")).where(~skipped)
 
 
 def code(files: DataFrame) -> DataFrame:
