@@ -47,30 +47,36 @@ def host_and_path(url: str | None) -> tuple[str, str]:
 class DigestArray:
     """Keys ascending in a memory map; offsets, strings and verdicts in the same order beside them."""
 
-    def __init__(self, folder: str) -> None:
-        load = lambda name: np.load(os.path.join(folder, f"{name}.npy"), mmap_mode="r")
-        self.keys, self.offsets, self.lengths, self.block = load("keys"), load("offsets"), load("lengths"), load("block")
-        self.bytes = load("bytes")
+    def __init__(self, path: str) -> None:
+        n, k = (int(x) for x in np.fromfile(path, dtype=np.int64, count=2))
+        self.at = 16
+        self.keys, self.offsets = self._next(path, np.uint64, n), self._next(path, np.int64, n + 1)
+        self.lengths, self.block = self._next(path, np.int64, k), self._next(path, np.bool_, n)
+        self.bytes = self._next(path, np.uint8, int(self.offsets[-1]))
+
+    def _next(self, path: str, dtype, count: int) -> np.ndarray:
+        start, self.at = self.at, self.at + np.dtype(dtype).itemsize * count
+        return np.memmap(path, dtype=dtype, mode="r", offset=start, shape=(count,)) if count else np.array([], dtype=dtype)
 
     @staticmethod
-    def write(rules: Iterable[tuple[str, bool]], folder: str) -> None:
+    def write(rules: Iterable[tuple[str, bool]], path: str) -> None:
         """``rules``: (host/path, block?); a rule given twice with both verdicts blocks."""
         merged: dict[str, bool] = {}
         for rule, block in rules:
             merged[rule] = merged.get(rule, False) or block
         rows = sorted((xxhash.xxh64_intdigest(r.encode()), r.encode(), b) for r, b in merged.items())
-        sizes = np.array([len(r) for _, r, _ in rows], dtype=np.int64)
-        put = lambda name, values: np.save(os.path.join(folder, f"{name}.npy"), values)
-        put("keys", np.array([k for k, _, _ in rows], dtype=np.uint64))
-        put("offsets", np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64))
-        put("bytes", np.frombuffer(b"".join(r for _, r, _ in rows) or b"\0", dtype=np.uint8))
-        put("block", np.array([b for _, _, b in rows], dtype=bool))
         # The distinct path lengths of the rules are all that a url's path has to be cut to.
-        put("lengths", np.unique(np.array([len(r) - r.index(b"/") for _, r, _ in rows], dtype=np.int64)))
+        lengths = np.unique(np.array([len(r) - r.index(b"/") for _, r, _ in rows], dtype=np.int64))
+        parts = [
+            np.array([len(rows), len(lengths)], dtype=np.int64), np.array([k for k, _, _ in rows], dtype=np.uint64), np.cumsum([0, *(len(r) for _, r, _ in rows)]).astype(np.int64),
+            lengths, np.array([b for _, _, b in rows], dtype=np.bool_), np.frombuffer(b"".join(r for _, r, _ in rows), dtype=np.uint8),
+        ]
+        with open(path, "wb") as f:
+            for x in parts:
+                f.write(x.tobytes())
 
     def text(self, k: int) -> bytes:
-        end = self.offsets[k + 1] if k + 1 < len(self.offsets) else len(self.bytes)
-        return self.bytes[self.offsets[k] : end].tobytes()
+        return self.bytes[self.offsets[k] : self.offsets[k + 1]].tobytes()
 
     def find(self, probes: list[bytes]) -> np.ndarray:
         """Position of each probe among the rules, -1 where it is none."""
@@ -118,18 +124,15 @@ _OPEN: dict[str, DigestArray] = {}
 
 
 def ship(spark: SparkSession, rules: Iterable[tuple[str, bool]]) -> str:
-    """Write the array and hand it to Spark's file server; the folder's name depends on its content."""
+    """Write the array and hand it to Spark's file server; the file's name depends on its content."""
     rules = sorted(set(rules))
-    name = "rules-" + hashlib.sha256(repr(rules).encode()).hexdigest()[:24]
-    folder = Path(tempfile.gettempdir(), name).resolve()
-    if not folder.exists():
-        made = Path(tempfile.mkdtemp(dir=tempfile.gettempdir()))
-        DigestArray.write(rules, str(made))
-        try:
-            made.rename(folder)
-        except OSError:  # another session wrote the same content first
-            pass
-    spark.sparkContext.addFile(str(folder), recursive=True)
+    name = f"url-rules-{hashlib.sha256(repr(rules).encode()).hexdigest()[:24]}.bin"
+    path = Path(tempfile.gettempdir(), name).resolve()
+    if not path.exists():
+        made = f"{path}-{os.getpid()}"
+        DigestArray.write(rules, made)
+        os.replace(made, path)
+    spark.sparkContext.addFile(str(path))
     return name
 
 

@@ -46,8 +46,8 @@ def test_url_edge_cases(spark):
 
 def test_equal_digests_are_told_apart_by_their_strings(tmp_path, monkeypatch):
     monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda b: 7)
-    urlfilter.DigestArray.write([("org/", False), ("a.org/x", True)], str(tmp_path))
-    a = urlfilter.DigestArray(str(tmp_path))
+    urlfilter.DigestArray.write([("org/", False), ("a.org/x", True)], f"{tmp_path}/r")
+    a = urlfilter.DigestArray(f"{tmp_path}/r")
     assert a.judge(["http://a.org/xy", "http://b.org/", "http://b.com/"])[2] == ["a.org/x", "org/", None]
 
 
