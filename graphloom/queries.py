@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as X
-from .operators import diff, edges as E, evaluate, rank, resolve, traverse
+from .operators import corpus, diff, edges as E, evaluate, rank, resolve, traverse
 from .plans import projection
 from .plans.projection import table
 from .schema import INHERIT_RELATIONS, LEGACY_RANK, MEMBER_RELATIONS, NOT_A_TEST_LINK, RELATION_WEIGHTS, TAINT_RELATIONS, TRAVERSAL_RELATIONS
@@ -753,3 +753,54 @@ def table_reference_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References joined with the known tables they name, case ignored."""
     words = lambda name, i, out, p: table(spark, sf_dir, name).select(F.col(i).alias(out), F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(1))).alias("table")).distinct()
     return E.table_links(words("documents", "doc_id", "source", r"([A-Z][A-Za-z_]{5,})"), words("benchmark", "item_id", "target", r"([a-z]{6,})"))
+
+
+# --- task corpus ---------------------------------------------------------------------------
+
+
+@query("""with w as (select conv_id as task, turn, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)*)', 1)) as token, generate_subscripts(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)*)', 1), 1) as pos from conversations where turn = 0),
+base as (select * from w where length(token) >= 4), n as (select distinct task, case when pos % 3 = 0 then 'mod_' || (pos % 2) || '.' || token else token end as name from (select conv_id as task, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)', 1)) as token, generate_subscripts(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)', 1), 1) as pos from conversations where turn = 1)),
+leaf as (select task, regexp_extract(name, '[^.]*$') as token, count(*) as c, min(name) as entry from n group by 1, 2),
+hits as (select task, name as token, 'name' as outcome, name as entry from n union all select task, token, case when c = 1 then 'leaf' else 'ambiguous' end, case when c = 1 then entry end from leaf where not exists (select 1 from n where n.task = leaf.task and n.name = leaf.token))
+select task, (arg_min({'e': entry, 'o': outcome}, pos)).e as entry, (arg_min({'e': entry, 'o': outcome}, pos)).o as outcome from base join hits using (task, token) group by task""")
+def entry_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first word of a message that names one thing the answer names."""
+    c = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "task")
+    words = c.where("turn = 1").select("task", F.posexplode(F.regexp_extract_all("text", F.lit(f"({X.IDENTIFIER})"), F.lit(1))).alias("pos", "token"))
+    at = F.col("pos") + 1
+    names = words.select("task", F.when(at % 3 == 0, F.concat(F.lit("mod_"), (at % 2).cast("string"), F.lit("."), F.col("token"))).otherwise(F.col("token")).alias("name"))
+    return corpus.pick_entry(c.where("turn = 0"), names)
+
+
+@query(f"""with {_EXTENTS_SQL}, t as (select p.*, (query_id % 4)::int as repo, query_id % 3 <> 0 as touched, exists (select 1 from ext e where e.file = p.file and p.line between start_ and end_) as inside from pts p)
+select repo, count_if(touched)::bigint as positives, count_if(touched and inside)::bigint as positive_hits, count_if(not touched)::bigint as negatives, count_if(not touched and not inside)::bigint as negative_misses from t group by rollup (repo)""")
+def ground_truth_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive and negative controls for each repo and in all."""
+    ext, pts = _extents(spark, sf_dir)
+    return corpus.controls(pts.withColumn("repo", (F.col("query_id") % 4).cast("int")).withColumn("touched", F.col("query_id") % 3 != 0), ext)
+
+
+@query("""with t as (select l_orderkey as task, 'p' || l_partkey as name, case when l_partkey % 13 <> 0 then l_partkey end as id from lineitem where l_linenumber = 1),
+d as (select t.*, id % 5 = 0 as p, id % 5 = 1 as o, id % 5 = 2 as u, case when id % 5 = 3 then 3 end as deep, case when id % 2 = 0 then 1 end as any_ from t)
+select task, name, case when id is null then 'no_node' when p then 'included' when o then 'omitted_for_budget' when u then 'unresolved' when deep > 2 then 'reachable_deeper' when any_ is not null then 'unreachable' else 'unreachable_any' end as verdict from d""")
+def diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each wanted symbol is or is not in a pack."""
+    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("task"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name"), F.when(F.col("l_partkey") % 13 != 0, F.col("l_partkey")).alias("id"))
+    known = li.where("id is not null").select("task", "id").distinct()
+    some = lambda r: known.where(F.col("id") % 5 == r)
+    return corpus.diagnosis(li, some(0), some(1), some(2), some(3).withColumn("depth", F.lit(3)), known.where("id % 2 = 0").withColumn("depth", F.lit(1)), 2)
+
+
+@query(_reach_sql(("P:1",), 2, "up") + f""", t as (select source, target from edges where relation in {_in(TAINT_RELATIONS)}) select distinct id from reach where id in (select source from t union select target from t)""", graph=True, recursive=True)
+def exposed_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of a radius that are ends of any taint."""
+    n, e = _graph(spark, sf_dir)
+    return corpus.exposed_in(traverse.radius(n, e, _seeds(spark, "P:1"), 2, "up", members=False), e.where(F.col("relation").isin(*TAINT_RELATIONS)))[0]
+
+
+@query("""with f as (select page_id, case page_id % 4 when 0 then 'src/a' || page_id || '.py' when 1 then 'src/tests/a.py' when 2 then 'lib/test_x.go' else 'src/readme.md' end as path from pages) select page_id, page_id % 4 = 0 or page_id % 4 = 2 as kept from f""")
+def package_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files of packages: known language, no test directory; a test-like file name alone does not matter."""
+    k = F.col("page_id") % 4
+    path = F.when(k == 0, F.concat(F.lit("src/a"), F.col("page_id").cast("string"), F.lit(".py"))).when(k == 1, "src/tests/a.py").when(k == 2, "lib/test_x.go").otherwise("src/readme.md")
+    return table(spark, sf_dir, "pages").select("page_id", corpus.package_source(path).alias("kept"))
