@@ -10,9 +10,16 @@ both rows behind the shared column, cannot reach the overlap that the threshold
 asks for. For surviving pairs the whole rows are multiplied and the overlap is
 compared exactly.
 
-A column shared by very many rows is not expanded into all its pairs: its rows
-are first compared with the column's smallest row, and afterwards only pairs
-that are not yet connected are compared. Nothing is capped.
+Each row also has a parity bitmap of its n-grams. Differing bits are a lower
+bound of the symmetric difference, so most pairs that would fail are discarded
+without their rows, and never one that would pass.
+
+Only components are wanted, so pairs are compared until nothing is left that
+could join two of them: first one partner a row, then one pair for each two
+components, then whatever still lies between two components. A column shared by
+more than ``NARROW`` rows is not expanded into all its pairs: each row is paired
+with the next few in an order of hashes, which joins most near copies, and only
+what is left in several components is paired across them. Nothing is capped.
 
 Defined results: words are cut at ASCII white space after lower-casing A-Z; a
 document with fewer words than ``n`` has its whole sequence as its one n-gram;
@@ -31,14 +38,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Memo, map_batches, materialize
 from .components import components
 
 #: Counters of the sketch and the blocks it travels in.
 SKETCH, SKETCH_BLOCKS = 1 << 20, 64
-#: A column with more rows is first compared with one of them only.
-WIDE = 24
+#: A column with more rows is not expanded into all their pairs.
+NARROW = 10
 #: Ids of candidates that may be broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 _SEEN = 500_000
@@ -77,6 +85,34 @@ def set_key(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """How often each place is hit, modulo 2; 2 to 4 places an n-gram. The bitmap of half the places is the halves' XOR."""
+    places = 1 << max(8, (2 * len(hashes) - 1).bit_length())
+    at = (hashes >> np.uint64(24)).astype(np.int64) & (places - 1)
+    return np.packbits(np.bincount(at, minlength=places).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """At most the symmetric difference of the two sets."""
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    n, m = len(x), len(y)
+    if n < m:
+        a, b, n, m = b, a, m, n
+    while n > m:
+        n //= 2
+        a = (a >> 8 * n) ^ (a & ((1 << 8 * n) - 1))
+    return (a ^ b).bit_count()
+
+
+def folded(bits: bytes) -> list[int]:
+    """A bitmap folded to 256 places, as four 64-bit numbers."""
+    x, n = int.from_bytes(bits, "little"), len(bits)
+    while n > 32:
+        n //= 2
+        x = (x >> 8 * n) ^ (x & ((1 << 8 * n) - 1))
+    return np.frombuffer(x.to_bytes(32, "little"), dtype=np.int64).tolist()
+
+
 def need(size: int | np.ndarray, num: int, den: int):
     """Least overlap that a set of this size must have with any partner: ceil(threshold * size)."""
     return -(-num * size // den)
@@ -94,27 +130,33 @@ def _shingler(n: int) -> Shingler:
 
 def _first_pass(docs: DataFrame, n: int) -> DataFrame:
     """Size and key of each document's set, and each task's share of the sketch."""
-    schema = "id long, n_shingles long, key long, block int, counts binary"
+    schema = "id long, n_shingles long, key long, parity binary, fold array<long>, block int, counts binary"
+
+    names = ["id", "n_shingles", "key", "parity", "fold", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts, seen = _shingler(n), np.zeros(SKETCH, dtype=np.uint32), set()
         for b in batches:
-            sizes, keys, fresh = [], [], []
+            sizes, keys, bits, folds, fresh = [], [], [], [], []
             for text in b.column(1):
                 h = shingler.hashes(text.as_py())
                 sizes.append(len(h))
                 keys.append(key := set_key(h))
+                bits.append(None)
+                folds.append(None)
                 if key not in seen:
                     fresh.append(h)
+                    bits[-1] = parity(h)
+                    folds[-1] = folded(bits[-1])
                     if len(seen) < _SEEN:
                         seen.add(key)
             if fresh:
                 counts += np.bincount((np.concatenate(fresh) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
             none = len(sizes)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], ["id", "n_shingles", "key", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), pa.array(folds, pa.list_(pa.int64())), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names)
         parts = [(k, zlib.compress(x.tobytes(), 1)) for k, x in enumerate(np.split(counts, SKETCH_BLOCKS)) if x.any()]
         none = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["id", "n_shingles", "key", "block", "counts"])
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(none, pa.int64()) for _ in range(3)), pa.nulls(none, pa.binary()), pa.nulls(none, pa.list_(pa.int64())), pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names)
 
     return map_batches(docs, run, schema)
 
@@ -184,27 +226,74 @@ def _rows(docs: DataFrame, n: int) -> DataFrame:
     return map_batches(docs, run, "key long, grams array<long>")
 
 
-def _fits(num: int, den: int):
-    """A product term stays if sizes and what follows the shared column in both rows can reach the overlap."""
-    larger, smaller = F.greatest("size", "size_b"), F.least("size", "size_b")
-    reach = F.least("rest", "rest_b") + 1
-    return (smaller * den >= larger * num) & (reach * (den + num) >= (F.col("size") + F.col("size_b")) * num)
+def _sizes_fit(num: int, den: int):
+    return F.least("size", "size_b") * den >= F.greatest("size", "size_b") * num
+
+
+def _reach_fits(num: int, den: int):
+    """What follows the first shared column in both rows can reach the overlap."""
+    return (F.least("rest", "rest_b") + 1) * (den + num) >= (F.col("size") + F.col("size_b")) * num
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs whose bitmaps do not rule them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = b.column(2).to_numpy()
+            apart = np.array([differing(x.as_py(), y.as_py()) for x, y in zip(b.column(3), b.column(4), strict=True)], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(apart * (den + num) <= total * (den - num)))
+
+    of = classes.select("key", "size", "parity")
+    x = pairs.distinct().join(of.select(F.col("key").alias("a"), F.col("size").alias("sa"), F.col("parity").alias("pa")), "a")
+    x = x.join(of.select(F.col("key").alias("b"), F.col("size").alias("sb"), F.col("parity").alias("pb")), "b")
+    return map_batches(x.select("a", "b", F.col("sa") + F.col("sb"), "pa", "pb"), run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose whole rows overlap enough."""
-    spark = pairs.sparkSession
-    pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    ids = materialize(classes.join(wanted, "key").select(F.col("first").alias("id"), F.col("key").alias("wanted")), "wanted")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    ids = materialize(classes.join(wanted, "key").select(F.col("first").alias("id")), "wanted")
     few = ids.count() <= MOST_BROADCAST
-    some = docs.join(F.broadcast(ids.select("id")) if few else ids.select("id"), "id", "left_semi")
+    some = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
     rows = materialize(_rows(some, n), "rows")
     one = pairs.join(rows.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a")
     both = one.join(rows.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b")
-    overlap = F.size(F.array_intersect("ga", "gb"))
-    both = both.select("a", "b", overlap.alias("o"), F.size("ga").alias("na"), F.size("gb").alias("nb"))
-    return both.where(F.col("o").cast("long") * den >= (F.col("na").cast("long") + F.col("nb") - F.col("o")) * num).select("a", "b")
+    both = both.select("a", "b", F.size(F.array_intersect("ga", "gb")).cast("long").alias("o"), (F.size("ga").cast("long") + F.size("gb")).alias("s"))
+    return materialize(both.where(F.col("o") * den >= (F.col("s") - F.col("o")) * num).select("a", "b"), "verified")
+
+
+def _between(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in two components, with both."""
+    of = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"l{c}"))
+    j = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return j.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).where("la <> lb")
+
+
+def _settle(pairs: DataFrame, links: DataFrame | None, verify) -> DataFrame:
+    """``links`` and enough of the passing ``pairs`` to have the same components as all of them."""
+    tested: DataFrame | None = None
+    left = pairs
+    for turn in ("partner", "components", "rest"):
+        if links is not None:
+            left = _between(left.select("a", "b"), components(links))
+        if tested is not None:
+            left = left.join(tested, ["a", "b"], "left_anti")
+        left = materialize(left, "left")
+        if left.isEmpty():
+            break
+        if turn == "partner":
+            ends = left.select(F.col("a").alias("u"), F.col("b").alias("v")).union(left.select(F.col("b"), F.col("a")))
+            chosen = ends.groupBy("u").agg(F.min("v").alias("v")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        elif turn == "components":
+            chosen = left.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+        else:
+            chosen = left.select("a", "b")
+        chosen = materialize(chosen, "chosen")
+        passed = verify(chosen)
+        links = passed if links is None else links.union(passed)
+        tested = chosen if tested is None else tested.union(chosen)
+    return links if links is not None else pairs.select("a", "b")
 
 
 def ngram_jaccard(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,33 +301,41 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     kind = docs.schema[id_col].dataType
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     first = materialize(_first_pass(docs, n), "sets")
-    sets = first.where("block is null").select("id", "n_shingles", "key")
+    sets = first.where("block is null")
     linked = sets.where("id is not null and n_shingles > 0")
-    classes = materialize(linked.groupBy("key").agg(F.min("id").alias("first")), "classes")
+    # max: the bitmap is null where the set had been met before
+    classes = materialize(linked.groupBy("key").agg(F.min("id").alias("first"), F.first("n_shingles").alias("size"), F.max("parity").alias("parity"), F.max("fold").alias("fold")), "classes")
     some = docs.where("id is not null")
     columns = _columns(some, n, num, den, _sketch(first.where("block is not null"))).repartition("gram")
-    # rows of one class may come from several tasks
-    columns = columns.dropDuplicates(["gram", "key"])
-    width = columns.groupBy("gram").agg(F.count("*").alias("width"), F.min(F.struct("size", "key", "rest")).alias("low")).where("width > 1")
-    columns = materialize(columns.join(width, "gram"), "columns")
-    other = columns.select("gram", F.col("key").alias("key_b"), F.col("size").alias("size_b"), F.col("rest").alias("rest_b"))
+    # rows of one class may come from several tasks; most columns hold one row and go before that is sorted out
+    several = lambda x: x.withColumn("width", F.count("*").over(Window.partitionBy("gram"))).where("width > 1")
+    columns = materialize(several(several(columns).drop("width").dropDuplicates(["gram", "key"])), "columns")
     a, b = F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b")
-    narrow = columns.where(F.col("width") <= WIDE).join(other, "gram").where("key < key_b").where(_fits(num, den)).select(a, b)
-    wide = columns.where(F.col("width") > WIDE)
-    star = wide.select("key", "size", "rest", F.col("low.key").alias("key_b"), F.col("low.size").alias("size_b"), F.col("low.rest").alias("rest_b")).where("key <> key_b").where(_fits(num, den)).select(a, b)
-    links = materialize(_verified(narrow.union(star), docs, classes, n, num, den), "verified")
-    if not wide.isEmpty():
-        label = components(links)
-        wide = materialize(wide.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")), "wide")
-        # only columns whose rows are not all connected yet
-        split = wide.groupBy("gram").agg(F.min("component").alias("low_c"), F.max("component").alias("high_c")).where("low_c <> high_c").select("gram")
-        rest = wide.select("gram", "key", "size", "rest", "component").join(split, "gram")
-        right = rest.select("gram", F.col("key").alias("key_b"), F.col("size").alias("size_b"), F.col("rest").alias("rest_b"), F.col("component").alias("component_b"))
-        across = rest.join(right, "gram").where("key < key_b and component <> component_b").where(_fits(num, den)).select(a, b)
-        links = links.union(_verified(across, docs, classes, n, num, den))
+    partner = lambda x, *more: x.select("gram", F.col("key").alias("key_b"), F.col("size").alias("size_b"), F.col("rest").alias("rest_b"), *more)
+    # keys are hashes, so the next rows in their order are random ones; in a narrow column they are all there are
+    order = Window.partitionBy("gram").orderBy("key")
+    after = F.array_compact(F.array(*[F.lead(F.struct("key", "size", "rest"), k).over(order) for k in range(1, NARROW)]))
+    near = columns.withColumn("after", after).select("key", "size", "rest", "width", F.explode("after").alias("n")).select("key", "size", "rest", "width", F.col("n.key").alias("key_b"), F.col("n.size").alias("size_b"), F.col("n.rest").alias("rest_b"))
+    # a pair may be missed in the wide column where it could first be told, so there the sizes alone decide
+    near = near.where(_sizes_fit(num, den) & ((F.col("width") > NARROW) | _reach_fits(num, den))).select(a, b)
+    wide = columns.where(F.col("width") > NARROW)
+    verify = lambda pairs: _verified(pairs, docs, classes, n, num, den)
+    links = _settle(materialize(_plausible(near, classes, num, den), "plausible"), None, verify)
+    label = components(links)
+    places = [F.col("fold")[k].alias(f"p{k}") for k in range(4)]
+    wide = wide.select("gram", "key", "size", "rest").join(classes.select("key", *places), "key")
+    wide = materialize(wide.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")), "wide")
+    # only columns whose rows are not all connected yet
+    split = wide.groupBy("gram").agg(F.min("component").alias("low_c"), F.max("component").alias("high_c")).where("low_c <> high_c").select("gram")
+    rest = wide.join(split, "gram")
+    apart = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(4)), F.lit(0))
+    likely = apart * (den + num) <= (F.col("size") + F.col("size_b")) * (den - num)
+    across = rest.join(partner(rest, F.col("component").alias("component_b"), *(F.col(f"p{k}").alias(f"q{k}") for k in range(4))), "gram").where("key < key_b and component <> component_b").where(_sizes_fit(num, den) & _reach_fits(num, den) & likely).select(a, b)
+    links = _settle(materialize(_plausible(across, classes, num, den), "plausible"), links, verify)
     label = components(links)
     named = classes.join(label, classes["key"] == label["node"], "left").select("key", "first", F.coalesce("component", "key").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     of_class = materialize(named.join(lowest, "component").select("key", "component_id"), "named")
+    sets = sets.select("id", "n_shingles", "key")
     out = sets.join(of_class, (sets["key"] == of_class["key"]) & (sets["n_shingles"] > 0) & sets["id"].isNotNull(), "left")
     return out.select(F.col("id").cast(kind).alias(id_col), "n_shingles", F.coalesce("component_id", "id").cast(kind).alias("component_id"))
