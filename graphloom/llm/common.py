@@ -84,9 +84,12 @@ class Memo(dict):
     """A bounded memo in two generations, with lookups at C speed.
 
     ``memo[key]`` computes missing values; when ``limit`` keys have been added
-    the older generation is dropped, so memory stays bounded on any stream.
+    the older generation is dropped, and long keys are not kept, so memory
+    stays bounded on any stream.
     """
 
+    LONGEST = 64
+
     __slots__ = ("fn", "limit", "old")
 
     def __init__(self, fn: Callable, limit: int) -> None:
@@ -97,7 +100,8 @@ class Memo(dict):
         found = self.old.get(key)
         if found is None:
             found = self.fn(key)
-        self[key] = found
+        if len(key) <= self.LONGEST:
+            self[key] = found
         return found
 
     def trim(self) -> None:
