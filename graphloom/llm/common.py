@@ -61,9 +61,6 @@ def crc_bucket(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string")) % F.lit(modulus)
 
 
-def arrow_rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=schema)
-
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     small_batches(df.sparkSession)
