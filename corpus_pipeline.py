@@ -33,8 +33,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
     joined = materialize(njaccard.ngram_jaccard(docs, n=WORDS, num=SIMILARITY, den=100), "duplicates")
-    gone = joined.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = materialize(joined.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    # counted first: up to a bound the ids are broadcast, so that texts stay where they are; beyond it both sides are shuffled
+    few = gone.count() <= njaccard.MOST_BROADCAST
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
