@@ -75,6 +75,11 @@ class Weights:
         self.__dict__.update(state)
 
 
+def label_of_ids(labels: DataFrame, label_col: str, id_col: str) -> DataFrame:
+    """``id, label``: one row for each labelled id, with its largest label."""
+    return labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_label: dict[int, int] | int, id_col: str, text_col: str, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, max_labels: int = 16) -> list:
     """Rows of ``rows`` over a bounded sample of labelled documents.
 
@@ -84,7 +89,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_labe
     not shuffled; texts stay on the executors, only what ``rows`` makes of them
     comes back.
     """
-    clean = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
+    clean = label_of_ids(labels, label_col, id_col)
     values = sorted(r.label for r in clean.select("label").distinct().limit(max_labels + 1).collect())
     if len(values) > max_labels:
         raise ValueError(f"more than {max_labels} grades in {label_col}")

@@ -2,7 +2,9 @@
 
 P(grade > k) = sigmoid(score - threshold_k): one shared weight vector over
 hashed text features, thresholds kept in order. Gives an expected grade and the
-probability of reaching a wanted grade, by which documents are selected.
+probability of reaching a wanted grade, by which documents are selected. Grades
+are sampled up to a bound each; a sampled row weighs as many labelled ids as it
+stands for, so that the result does not depend on where the bound cuts.
 
 Defined results: a null or empty text gets the score of an empty text; with one
 grade only, that grade is expected everywhere; repeated documents are rated
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, map_batches
-from .hashed import Features, Sparse, Weights, adam, hashed, labelled_sample, screen, sigmoid
+from .hashed import Features, Sparse, Weights, adam, hashed, label_of_ids, labelled_sample, screen, sigmoid
 
 #: Bound of the training sample, rows for each grade.
 SAMPLE = 3072
@@ -65,7 +67,8 @@ class OrdinalModel:
         return sigmoid(self.weights.score(text or "") - self.thresholds)
 
 
-def fit(rows: list[np.ndarray], grade: np.ndarray, ridge: float = 5e-4) -> OrdinalModel:
+def fit(rows: list[np.ndarray], grade: np.ndarray, ridge: float = 5e-4, weight: np.ndarray | None = None) -> OrdinalModel:
+    """``weight``: labelled ids that each row stands for, equal unless given."""
     grades = sorted({int(g) for g in grade}) or [0]
     if len(grades) == 1:
         return OrdinalModel(Weights(FEATURES, {}), grades, np.array([]))
@@ -73,6 +76,7 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, ridge: float = 5e-4) -> Ordin
     names = screen(rows, level.astype(float), MOST_FEATURES)
     x, n, m, k = Sparse(rows, names), len(rows), len(names), len(grades) - 1
     above = (level[:, None] > np.arange(k)).astype(float)  # n x k
+    weight = np.ones(n) if weight is None else weight * (n / weight.sum())
 
     def thresholds(p: np.ndarray) -> np.ndarray:
         return np.concatenate([p[m : m + 1], p[m] + np.cumsum(np.exp(p[m + 1 :]))])
@@ -83,6 +87,7 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, ridge: float = 5e-4) -> Ordin
         tail = np.column_stack([np.ones(n), sigmoid(s[:, None] - t), np.zeros(n)])
         like = np.maximum(tail[np.arange(n), level] - tail[np.arange(n), level + 1], 1e-9)
         slope = tail * (1 - tail)
+        like /= weight
         ds = -(slope[np.arange(n), level] - slope[np.arange(n), level + 1]) / like / n
         dt = np.zeros(k)
         for j in range(k):
@@ -92,7 +97,7 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, ridge: float = 5e-4) -> Ordin
         return np.concatenate([x.back(ds) + 2 * ridge * p[:m], steps])
 
     start = np.zeros(m + k)
-    share = above.mean(axis=0).clip(1e-3, 1 - 1e-3)
+    share = np.average(above, axis=0, weights=weight).clip(1e-3, 1 - 1e-3)
     t0 = -np.log(share / (1 - share))
     start[m] = t0[0]
     start[m + 1 :] = np.log(np.maximum(np.diff(t0), 1e-2))
@@ -110,7 +115,9 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str = "quality", id_col
     known = labels.where(crc_bucket(id_col, modulus) != held)
     rows = labelled_sample(docs, known, grade_col, sample, id_col, text_col, features, "id long, label int, raw binary")
     rows.sort(key=lambda r: (r.id, r.raw))
-    return fit([np.frombuffer(r.raw, dtype=np.int32) for r in rows], np.array([r.label for r in rows]))
+    counts = {r.label: r["count"] for r in label_of_ids(known, grade_col, id_col).groupBy("label").count().collect()}
+    weight = np.array([counts[r.label] / min(counts[r.label], sample) for r in rows])
+    return fit([np.frombuffer(r.raw, dtype=np.int32) for r in rows], np.array([r.label for r in rows]), weight=weight)
 
 
 def quality(docs: DataFrame, labels: DataFrame, grade_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", wanted: int | None = None, least: float = 0.5, modulus: int = 5, held: int = 0) -> DataFrame:

@@ -79,6 +79,26 @@ def test_quality_orders_three_grades(spark):
     assert len(edge) == len(EDGE)
 
 
+def test_quality_does_not_depend_on_the_bound_of_a_grade(spark):
+    """Grades capped to equal numbers must keep the corpus' shares: 9 of grade 1 and 2 to 1 of grade 0."""
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for i in range(3000):
+        g = 0 if i % 10 == 0 else 1 + i % 2
+        mark = ("low", "mid", "top")[g] if rng.random() < 0.4 else "word"
+        rows.append((i, " ".join([mark] + list(rng.choice(["one", "two", "three", "four"], 20)))))
+        labels.append((i, g))
+    docs, graded = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    texts = [t for _, t in rows]
+    tails = {}
+    for n in (3000, 150):
+        model = quality.train(docs, graded, sample=n)
+        tails[n] = np.array([model.tails(t) for t in texts]).mean(axis=0)
+    share = [np.mean([g > k for _, g in labels]) for k in (0, 1)]
+    assert abs(tails[3000] - share).max() < 0.04
+    assert abs(tails[150] - share).max() < 0.06
+
+
 def test_quality_query_held_out(spark, data):
     m = QUERIES["op3_quality"](spark, data).toPandas().merge(pd.read_parquet(f"{data}/labels.parquet"), on="doc_id")
     assert ((m["tail"] >= 0.5).astype(int) == m.quality).mean() > 0.85
