@@ -157,7 +157,7 @@ def shortest_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hops between pairs, direction ignored."""
     n, e = _graph(spark, sf_dir)
     pairs = spark.createDataFrame([("O:7", "O:7", t) for t in ("P:3", "S:1", "R:1")], "query_id string, id string, target string")
-    return traverse.shortest_depth(n, e, pairs, limit=3)
+    return traverse.shortest_depth(n, e, pairs)
 
 
 @query("select id, count(*)::bigint as degree from (select source as id from edges union all select target from edges) group by id", graph=True)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import queries
 from graphloom.operators import diff, edges as E, pack, rank, resolve, state, supplement, symbols, traverse, triage
 
 NODE = "id string, label string, source_file string, source_location string, _callable boolean, qualified_name string, origin string, node_pos long"
@@ -273,3 +274,19 @@ def test_slots_and_refresh(spark, tmp_path):
     rows, report = state.refresh(spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "path string, v int"), manifest, files, lambda f: f.select("path", F.lit(2).alias("v")))
     assert {r.path: r.v for r in rows.collect()} == {"a": 1, "b": 2, "d": 2}
     assert {r.path: r.reason for r in report.collect()} == {"b": "edited", "c": "deleted", "d": "added"}
+
+
+def test_shortest_depth_query_walks_as_far_as_the_operator(spark, monkeypatch):
+    """A chain with O:7 at one end: 4, 8 and 9 hops to the targets, held against a plain breadth-first search."""
+    chain = ["O:7", "a", "b", "c", "S:1", "d", "e", "f", "P:3", "R:1"]
+    pairs = [(chain[i], chain[i + 1]) if i % 2 else (chain[i + 1], chain[i]) for i in range(len(chain) - 1)]
+    nodes = spark.createDataFrame([node(i, x, x, "f", i) for i, x in enumerate(chain)], NODE)
+    edges = spark.createDataFrame([edge(i, s, t, "calls") for i, (s, t) in enumerate(pairs)], EDGE)
+    monkeypatch.setattr(queries, "_graph", lambda *_: (nodes, edges))
+    near, depth, hops = {"O:7"}, {"O:7": 0}, 0
+    while near and hops < 8:
+        hops += 1
+        near = {y for s, t in pairs for x, y in ((s, t), (t, s)) if x in near and y not in depth}
+        depth |= dict.fromkeys(near, hops)
+    got = {r.target: r.depth for r in queries.QUERIES["shortest_depth"](spark, "").collect()}
+    assert got == {x: depth.get(x) for x in ("S:1", "P:3", "R:1")} == {"S:1": 4, "P:3": 8, "R:1": None}
