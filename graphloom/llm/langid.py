@@ -4,8 +4,9 @@ For each language a suffix automaton is built of labelled text. A text is parsed
 into the longest phrases that occur in a language's labelled text; the language
 that needs the fewest phrases for each letter, weighted by what pointing into
 its labelled text costs, wins. Parsing runs over all texts of a batch at once:
-the automata are one dense transition table and the texts are read in blocks of
-``BLOCK`` characters side by side; a phrase ends at a block's end.
+the automata are one dense transition table, with a sorted list beside it for
+letters beyond a language's ``DENSE`` commonest, and the texts are read in blocks
+of ``BLOCK`` characters side by side; a phrase ends at a block's end.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, or
 when nothing was labelled; with one language known it wins with score 1; ties
@@ -30,33 +31,47 @@ from .common import crc_bucket, keep_rows, map_batches
 
 #: Bounds of the labelled sample: documents and characters for each language.
 SAMPLE_DOCS, SAMPLE_CHARS = 96, 32_768
-#: Bound of the alphabet; rarer letters share one class.
-MOST_LETTERS = 120
-MOST_LANGUAGES = 200
+#: Letters of a language with a column of their own in the dense table; transitions of its others are looked up in a sorted list.
+DENSE = 60
 #: Characters of a block; blocks parsed side by side; characters held at a time.
 BLOCK, SIDE, SLICE = 512, 4096, 1 << 20
-_SPACE, _OTHER, _PAD = 0, 1, 2
+_SPACE, _OTHER, _PAD, _RARE = 0, 1, 2, 3
 _PLANES = 0x30000
 
 
-def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
-    """Transitions (states x width, -1 for none) of the automaton of all substrings; state 0 is the root."""
+def suffix_automaton(codes: np.ndarray, width: int) -> tuple[np.ndarray, dict[int, dict[int, int]]]:
+    """Transitions of the automaton of all substrings; state 0 is the root.
+
+    Codes below ``width`` are columns of a table (states x width, -1 for none),
+    the others keys of a dictionary for each state that has any.
+    """
     n = len(codes)
     move = np.full((2 * n + 1, width), -1, dtype=np.int32)
     link, size, last, states = [-1] * (2 * n + 1), [0] * (2 * n + 1), 0, 1
     rows = move  # plain indexing below; Python lists would cost width times the memory
+    more: dict[int, dict[int, int]] = {}
+
+    def get(state: int, c: int) -> int:
+        return int(rows[state, c]) if c < width else more.get(state, {}).get(c, -1)
+
+    def put(state: int, c: int, to: int) -> None:
+        if c < width:
+            rows[state, c] = to
+        else:
+            more.setdefault(state, {})[c] = to
+
     for c in codes.tolist():
         new = states
         states += 1
         size[new] = size[last] + 1
         p = last
-        while p >= 0 and rows[p, c] < 0:
-            rows[p, c] = new
+        while p >= 0 and get(p, c) < 0:
+            put(p, c, new)
             p = link[p]
         if p < 0:
             link[new] = 0
         else:
-            q = int(rows[p, c])
+            q = get(p, c)
             if size[p] + 1 == size[q]:
                 link[new] = q
             else:
@@ -64,12 +79,14 @@ def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
                 states += 1
                 size[copy], link[copy] = size[p] + 1, link[q]
                 rows[copy] = rows[q]
-                while p >= 0 and rows[p, c] == q:
-                    rows[p, c] = copy
+                if q in more:
+                    more[copy] = dict(more[q])
+                while p >= 0 and get(p, c) == q:
+                    put(p, c, copy)
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    return move[:states]
+    return move[:states], more
 
 
 class Alphabet:
@@ -77,7 +94,7 @@ class Alphabet:
 
     def __init__(self, letters: list[str]) -> None:
         self.width = len(letters) + 3
-        table = np.full(_PLANES, _SPACE, dtype=np.uint8)
+        table = np.full(_PLANES, _SPACE, dtype=np.int32)
         known = {c: k + 3 for k, c in enumerate(letters)}
         for cp in range(_PLANES):
             c = chr(cp)
@@ -103,21 +120,45 @@ class Parser:
     def __init__(self, samples: dict[str, str]) -> None:
         self.names = sorted(samples)
         letters = Counter(c for t in samples.values() for c in t.lower() if c.isalpha())
-        self.alphabet = Alphabet([c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:MOST_LETTERS]])
-        tables, self.roots, self.closed, self.cost, at = [], [], [], [], 0
-        for name in self.names:
-            codes, _ = self.alphabet.codes([samples[name]])
-            move = suffix_automaton(codes, self.alphabet.width)
-            move = np.concatenate([move, np.full((1, self.alphabet.width), -1, dtype=np.int32)])  # no phrase is open
+        self.alphabet = Alphabet([c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))])
+        coded = [self.alphabet.codes([samples[name]])[0] for name in self.names]
+        counts = [np.bincount(codes, minlength=self.alphabet.width) for codes in coded]
+        own = [np.lexsort((np.arange(len(n) - 3), -n[3:]))[: np.count_nonzero(n[3:])] + 3 for n in counts]
+        self.width = _RARE + 1 + min(DENSE, max(map(len, own), default=0))
+        #: Column of each class in each language's part of the table.
+        self.column = np.full((len(self.names), self.alphabet.width), _OTHER, dtype=np.int32)
+        tables, keys, targets, self.roots, self.closed, self.cost, at = [], [], [], [], [], [], 0
+        for j, codes in enumerate(coded):
+            self.column[j, [_SPACE, _PAD]] = _SPACE, _PAD
+            self.column[j, own[j][:DENSE]] = np.arange(min(DENSE, len(own[j]))) + _RARE + 1
+            self.column[j, own[j][DENSE:]] = _RARE
+            column = self.column[j][codes]
+            move, more = suffix_automaton(np.where(column == _RARE, self.width + codes, column), self.width)
+            move = np.concatenate([move, np.full((1, self.width), -1, dtype=np.int32)])  # no phrase is open
             move[:, _OTHER] = -1  # letters of which nothing is known match nowhere
             move[:, _PAD] = np.arange(len(move))
             move[move >= 0] += at
             tables.append(move.ravel())
+            for state, found in more.items():
+                for c, to in found.items():
+                    keys.append((at + state) * self.alphabet.width + c - self.width)
+                    targets.append(at + to)
             self.roots.append(at)
             self.closed.append(at + len(move) - 1)
             self.cost.append(math.log2(max(2, len(codes))))
             at += len(move)
         self.move = np.concatenate(tables) if tables else np.array([], dtype=np.int32)
+        order = np.argsort(np.array(keys, dtype=np.int64))
+        self.keys, self.targets = np.array(keys, dtype=np.int64)[order], np.array(targets, dtype=np.int32)[order]
+
+    def _to(self, state: np.ndarray, column: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """States reached from ``state`` (in units of the width) by classes ``c``, whose columns are given; -1 for none."""
+        to = self.move[state + column]
+        if len(self.keys) and len(rare := np.flatnonzero(column == _RARE)):
+            key = (state[rare] // self.width) * self.alphabet.width + c[rare]
+            spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            to[rare] = np.where(self.keys[spot] == key, self.targets[spot], -1)
+        return to
 
     def phrases(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Phrases each text needs in each language (texts x languages), ``SIDE`` blocks at a time."""
@@ -135,17 +176,19 @@ class Parser:
         return out
 
     def _parse(self, codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        width, k = self.alphabet.width, len(self.names)
+        width, k = self.width, len(self.names)
         roots = np.repeat(np.array(self.roots, dtype=np.int64) * width, len(start))
         closed = np.repeat(np.array(self.closed, dtype=np.int64), len(start))
         state, count = closed * width, np.zeros(len(roots), dtype=np.int32)
         for step in range(int(min(BLOCK, (stop - start).max()))):
             at = start + step
-            c = np.tile(np.where(at < stop, codes[np.minimum(at, len(codes) - 1)], _PAD), k)
-            to = self.move[state + c]
+            c = np.where(at < stop, codes[np.minimum(at, len(codes) - 1)], _PAD)
+            column = self.column[:, c].ravel()
+            c = np.tile(c, k) if len(self.keys) else c
+            to = self._to(state, column, c)
             if len(miss := np.flatnonzero(to < 0)):
                 count[miss] += 1  # a phrase begins here; a letter that never occurs is one by itself
-                again = self.move[roots[miss] + c[miss]]
+                again = self._to(roots[miss], column[miss], c[miss] if len(self.keys) else c)
                 to[miss] = np.where(again < 0, closed[miss], again)
             state = to.astype(np.int64) * width
         return count
@@ -196,7 +239,7 @@ def sample(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.coalesce(crc_bucket(id_col, modulus) != held, F.lit(False)))
     ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    picked = ids.withColumn("rank", rank).where(F.col("rank") <= most_docs).select("id", "lang").limit(MOST_LANGUAGES * most_docs).collect()
+    picked = ids.withColumn("rank", rank).where(F.col("rank") <= most_docs).select("id", "lang").collect()
     if not picked:
         return {}
     share = chars // most_docs

@@ -145,6 +145,25 @@ def test_language_edge_cases(spark):
     assert langid.language_id(docs.limit(0)).count() == 0
 
 
+def test_every_letter_of_the_samples_counts():
+    """Two languages of 300 letters of their own each, against plain search; a third of plain Latin."""
+    rng = np.random.default_rng(4)
+    script = {"x1": [chr(0x4E00 + i) for i in range(300)], "x2": [chr(0xAC00 + i) for i in range(300)]}
+    chain = {n: [s[rng.permutation(300)[0]] for _ in range(900)] + s for n, s in script.items()}
+    samples = {n: "".join(t) for n, t in chain.items()} | {"en": "the quick brown fox jumps over the lazy dog"}
+    p = langid.Parser(samples)
+    texts = [samples["x1"][100:160] + "".join(script["x1"][250:280]), "".join(script["x2"][::-7]) + samples["x2"][:50], "the fox " + samples["x1"][7:19]]
+    codes, ends = p.alphabet.codes(texts)
+    assert p.phrases(codes, ends).tolist() == [[brute_phrases(t, samples[n]) for n in p.names] for t in texts]
+    rare = "".join(script["x2"][200:300])
+    assert p.judge([texts[0], rare, "the dog"])[0] == ["x1", "x2", "en"]
+
+
+def test_every_language_is_sampled(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", f"l{i:03d}") for i in range(401)], "doc_id long, text string, lang string")
+    assert len(langid.sample(docs, held=9, most_docs=1)) == 401
+
+
 def test_long_texts_are_parsed_whole():
     p = langid.Parser({"en": "the and with that", "de": "und der die das"})
     text = "the and with that " * 1000 + "und der die das " * 80000
