@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's documents. A stage works on all
 rows its predecessor kept. Columns of ``documents`` other than id and text pass
-through unchanged; rows repeated with one id stay together; a null id is never
-rejected as a duplicate.
+through unchanged; duplicates are told by row, so that a repeated or null id
+neither saves a copy nor takes another row with it.
 """
 
 from __future__ import annotations
@@ -31,12 +31,17 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    joined = materialize(njaccard.ngram_jaccard(docs, n=WORDS, num=SIMILARITY, den=100), "duplicates")
-    gone = materialize(joined.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    # counted first: up to a bound the ids are broadcast, so that texts stay where they are; beyond it both sides are shuffled
+    """Of each group of near duplicates one row with the smallest id stays, null ids last."""
+    # written before use: the rows' keys must be the same in every later read
+    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    joined = materialize(njaccard.ngram_jaccard(keyed, n=WORDS, num=SIMILARITY, den=100, id_col="_row"), "duplicates")
+    others = joined.where("component_id <> _row").select("_row", "component_id")
+    group = others.union(others.select("component_id", "component_id").distinct()).join(keyed.select("_row", "doc_id"), "_row")
+    stays = group.groupBy("component_id").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("stays"))
+    gone = materialize(group.join(stays, "component_id").where("_row <> stays").select("_row"), "gone")
+    # counted first: up to a bound the keys are broadcast, so that texts stay where they are; beyond it both sides are shuffled
     few = gone.count() <= njaccard.MOST_BROADCAST
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    return keyed.join(F.broadcast(gone) if few else gone, "_row", "left_anti").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

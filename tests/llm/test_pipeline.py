@@ -57,6 +57,14 @@ def test_stages(spark, tmp_path):
     assert single == set(low.values()) and packed == single
 
 
+def test_duplicates_go_by_row(spark, tmp_path):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(12)) for x in "abcd")
+    rows = [(5, a), (1, a), (5, b), (3, c), (3, c), (None, d), (None, d)]
+    out = corpus_pipeline.duplicates_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert out.columns == ["doc_id", "text"]
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([(1, a), (5, b), (3, c), (None, d)], key=str)
+
+
 def test_run_and_registration(spark, data):
     import __spark_entry__ as entry
 
