@@ -271,8 +271,14 @@ def _parser(samples: dict[str, str]) -> Parser:
 
 
 def with_language(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, held: int = 2) -> DataFrame:
-    """``docs`` without the rows whose language is ``und``; all columns stay, nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(sample(docs, lang_col, id_col, text_col, modulus, held))
+    """``docs`` without the rows whose language is ``und``; all columns stay, nothing is shuffled.
+
+    Where no language is known, only null texts and those without a letter go.
+    """
+    samples = sample(docs, lang_col, id_col, text_col, modulus, held)
+    if not samples:
+        return keep_rows(docs, text_col, lambda texts: [any(map(str.isalpha, t or "")) for t in texts])
+    shared = docs.sparkSession.sparkContext.broadcast(samples)
     return keep_rows(docs, text_col, lambda texts: [x != "und" for x in _parser(shared.value).judge(texts)[0]])
 
 

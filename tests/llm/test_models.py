@@ -145,6 +145,12 @@ def test_language_edge_cases(spark):
     assert langid.language_id(docs.limit(0)).count() == 0
 
 
+def test_lettered_documents_stay_where_no_language_is_known(spark):
+    rows = [(1, "some text", None), (2, None, None), (3, "12 !!", None), (4, "", None), (5, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in langid.with_language(docs).collect()) == [1, 5]
+
+
 def test_every_letter_of_the_samples_counts():
     """Two languages of 300 letters of their own each, against plain search; a third of plain Latin."""
     rng = np.random.default_rng(4)
