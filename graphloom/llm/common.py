@@ -77,6 +77,17 @@ def keep_rows(df: DataFrame, column: str, keep: Callable[[list], "list[bool]"])
     return map_batches(df, run, df.schema)
 
 
+_MODELS: dict = {}
+
+
+def model(key, build: Callable):
+    """What ``build`` makes, kept until another key is asked for: one model for each Python worker at a time."""
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = build()
+    return _MODELS[key]
+
+
 class Memo(dict):
     """A bounded memo in two generations, with lookups at C speed.
 

@@ -2,7 +2,7 @@
 
 Texts become pieces of at most ``capacity`` tokens. How pieces combine depends
 on their lengths only, so the plan is made over the counts of each length (at
-most ``capacity`` numbers, whatever the data): for the longest length left, the
+most ``capacity`` numbers, whatever the data): for the longest length left, an
 index of single, pair and triple sums is asked for lengths that fill the gap
 exactly, each combination is used as often as the counts allow, and what no
 combination fills is packed best-fit. Every step uses up a length, so planning
@@ -11,16 +11,21 @@ their rank among pieces of their length.
 
 Defined results: a null text counts as empty and gives one piece, the end
 token; an empty table gives an empty result; repeated documents are packed each
-on its own; other columns are ignored.
+on its own, as are documents of one id or of none; ties between pieces of one
+length go by their place in the table; columns not asked for are ignored, and
+``keep`` may not name ``_row``, ``_bucket`` or ``_rank``.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,185 +37,184 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from .bpe import byte_chars
-from .common import Memo, map_batches, materialize
+from .common import map_batches, materialize, model
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level vocabularies of this kind.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Buckets that pieces of one length are ranked in; a length may hold most of all pieces.
-BUCKETS = 128
-_BEFORE_WORD = re.compile(r" (?=\S)")
-_LOOSE = re.compile(r" (?:\s|\Z)")
+#: Pieces of one length that are ranked together; a length may hold most of all pieces.
+RANKED = 500_000
+#: Characters encoded at a time.
+SLICE = 1 << 20
+_BEFORE_WORD, _GAP = re.compile(r"(?<=\S)(?= \S)"), re.compile(r"(?<=\S) (?=\S)")
 _PLAIN = "ԯ"  # beyond it, Unicode versions differ on letters; the file's own library decides
 
 
 class Ids:
-    """Token ids of texts as little-endian uint32 bytes; a pre-token never spans the gap before a single space."""
+    """Token ids of texts as little-endian uint32; the vocabulary's ranks are all that the plain letters need.
+
+    Only words with letters beyond ``_PLAIN`` go to the file's own library. A
+    pre-token never spans the gap before a single space, so texts may be cut there.
+    """
 
     def __init__(self, spec: str, end: int) -> None:
         j = json.loads(spec)
         to_byte = {c: b for b, c in enumerate(byte_chars())}
         special = {t["content"]: t["id"] for t in j["added_tokens"]}
         ranks = {bytes(to_byte[c] for c in t): i for t, i in j["model"]["vocab"].items() if t not in special}
-        self.encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encode = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.library = Tokenizer.from_str(spec)
-        self.special = {k: np.array([v], dtype="<u4").tobytes() for k, v in special.items()}
+        self.special = special
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")").split if special else None
-        self.end = np.array([end], dtype="<u4").tobytes()
-        self.memo = Memo(self._chunk, 150_000)
-
-    def _chunk(self, chunk: str) -> bytes:
-        if not chunk:
-            return b""
-        ids = self.encoding.encode_ordinary(chunk) if max(chunk) <= _PLAIN else self.library.encode(chunk, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        self.end = end
 
-    def of(self, text: str) -> bytes:
+    def _ordinary(self, text: str) -> list[int]:
+        if text.isascii() or max(text) <= _PLAIN:
+            return self.encode(text) if len(text) <= SLICE else [i for x in self._slices(text) for i in self.encode(x)]
         out = []
-        for part in self.cut(text) if self.cut else (text,):
-            if part in self.special:
-                out.append(self.special[part])
-                continue
-            words = _BEFORE_WORD.split(part) if _LOOSE.search(part) else part.split(" ")
-            out.append(self.memo[words[0]])
-            out += map(self.memo.__getitem__, [" " + w for w in words[1:]])
-        self.memo.trim()
-        return b"".join(out) + self.end
-
-
-_IDS: dict[str, Ids] = {}
+        for plain, run in groupby(_BEFORE_WORD.split(text), lambda w: not w or max(w) <= _PLAIN):
+            part = "".join(run)
+            out += self.encode(part) if plain else self.library.encode(part, add_special_tokens=False).ids
+        return out
+
+    @staticmethod
+    def _slices(text: str) -> Iterator[str]:
+        at = 0
+        while at < len(text):
+            gap = _GAP.search(text, at + SLICE)
+            to = gap.start() if gap else len(text)
+            yield text[at:to]
+            at = to
+
+    def of(self, text: str) -> array:
+        out = []
+        if self.cut and any(map(text.__contains__, self.special)):
+            for part in self.cut(text):
+                out += [self.special[part]] if part in self.special else self._ordinary(part)
+        else:
+            out = self._ordinary(text)
+        out.append(self.end)
+        return array("I", out)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", tokens: bool = False) -> DataFrame:
-    """``id_col, piece, start, length, ids_crc32`` (and ``ids`` with ``tokens=True``): only documents over ``capacity`` are cut, their first piece takes the remainder."""
+def pieces(docs: DataFrame, tokenizer_path: str, end: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", tokens: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """``id_col, piece, start, length, ids_crc32``, with ``tokens=True`` also ``ids``, and the columns ``keep``: only documents over ``capacity`` are cut, their first piece takes the remainder."""
     spec = docs.sparkSession.sparkContext.broadcast(open(tokenizer_path).read())
-    kind = docs.schema[id_col].dataType.simpleString()
+    carried = docs.select(F.col(id_col), F.col(text_col), *(F.col(c) for c in keep))
+    fields = [f"`{id_col}` {carried.schema[0].dataType.simpleString()}", "piece int", "start long", "length long", "ids_crc32 long", *(["ids array<int>"] if tokens else [])]
+    fields += [f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[2:]]
+    names = [id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if tokens else []), *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hashlib.sha256(spec.value.encode()).hexdigest() + str(end)
-        if key not in _IDS:
-            _IDS.clear()
-            _IDS[key] = Ids(spec.value, end)
-        encode = _IDS[key].of
+        encode = model(("packing", spec.value, end), lambda: Ids(spec.value, end)).of
         for batch in batches:
-            row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                raw = encode(text.as_py() or "")
-                n, at, k = len(raw) // 4, 0, 0
-                size = n if n <= capacity else n % capacity or capacity
-                while at < n:
-                    part = raw[4 * at : 4 * (at + size)]
-                    row.append(i)
-                    piece.append(k)
-                    start.append(at)
-                    length.append(size)
-                    crc.append(zlib.crc32(part))
-                    if tokens:
-                        ids.append(np.frombuffer(part, dtype="<u4").astype(np.int32))
-                    at, k, size = at + size, k + 1, capacity
-            arrays = [pc.take(batch.column(0), pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            names = [id_col, "piece", "start", "length", "ids_crc32"]
-            if tokens:
-                arrays.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
+            encoded = [encode(t or "") for t in batch.column(1).to_pylist()]
+            n = np.array([len(ids) for ids in encoded], dtype=np.int64)
+            many = -(-n // capacity)
+            row = np.repeat(np.arange(len(n)), many)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            head = np.repeat(n - (many - 1) * capacity, many)
+            start = np.where(piece == 0, 0, head + (piece - 1) * capacity)
+            length = np.where(piece == 0, head, capacity)
+            views = list(map(memoryview, encoded))
+            crc = [zlib.crc32(views[i][x:y]) for i, x, y in zip(row.tolist(), start.tolist(), (start + length).tolist(), strict=True)]
+            which = pa.array(row)
+            arrays = [pc.take(batch.column(0), which), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+            if tokens:  # pieces follow one another as their documents' ids do
+                flat = np.concatenate([np.frombuffer(ids, dtype=np.int32) for ids in encoded]) if encoded else np.array([], dtype=np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(flat)))
+            arrays += [pc.take(batch.column(k), which) for k in range(2, batch.num_columns)]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return map_batches(docs.select(F.col(id_col), F.col(text_col)), run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if tokens else ""))
+    return map_batches(carried, run, ", ".join(fields))
 
 
 class Sums:
-    """Which lengths under their counts sum to a gap: singles, pairs, triples, longest part first."""
+    """Index of the single, pair and triple sums of the lengths in stock, under their counts.
+
+    ``pairs[s]`` lists the longer part ``a`` of each pair ``a + b = s``,
+    ``triples[s]`` the longest part of each triple, shortest first. A list is
+    looked through from its end; entries whose lengths have run out leave it,
+    and as counts only fall they never come back.
+    """
 
     def __init__(self, counts: np.ndarray) -> None:
-        self.n = counts
-
-    def single(self, gap: int) -> tuple[int, ...] | None:
-        return (gap,) if gap > 0 and self.n[gap] > 0 else None
-
-    def pair(self, gap: int, most: int | None = None) -> tuple[int, ...] | None:
-        top = min(gap - 1, most if most is not None else gap)
-        low = (gap + 1) // 2
-        if top < low:
-            return None
-        a = np.arange(top, low - 1, -1)
-        ok = (self.n[a] > 0) & (self.n[gap - a] > (a * 2 == gap))
-        return (int(a[k]), gap - int(a[k])) if ok[k := int(np.argmax(ok))] else None
-
-    def triple(self, gap: int) -> tuple[int, ...] | None:
-        for a in range(gap - 2, (gap + 2) // 3 - 1, -1):
-            if self.n[a] > 0:
-                self.n[a] -= 1
-                rest = self.pair(gap - a, a)
-                self.n[a] += 1
-                if rest:
-                    return (a, *rest)
+        self.n = counts.tolist()
+        capacity = len(counts) - 1
+        stock = [k for k in range(1, capacity + 1) if self.n[k]]
+        self.pairs: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.triples: list[list[int]] = [[] for _ in range(capacity + 1)]
+        for a in stock:
+            for b in stock:
+                if b > a or a + b > capacity:
+                    break
+                self.pairs[a + b].append(a)
+        for a in stock:
+            for rest in range(2, capacity + 1 - a):
+                if self.pairs[rest] and self.pairs[rest][0] <= a:
+                    self.triples[a + rest].append(a)
+
+    def free(self, length: int, held: tuple[int, ...]) -> bool:
+        return self.n[length] > held.count(length)
+
+    def pair(self, gap: int, held: tuple[int, ...], most: int) -> tuple[int, ...] | None:
+        found = self.pairs[gap]
+        k = bisect_right(found, most)
+        for a in reversed(found[:k]):
+            if self.free(a, held) and self.free(gap - a, (*held, a)):
+                return a, gap - a
+        if k == len(found):
+            self.pairs[gap] = [a for a in found if self.n[a] and self.n[gap - a]]
         return None
 
-    def fill(self, gap: int, reach: int) -> tuple[int, ...] | None:
-        """Pairs and triples for gaps up to ``reach``; wider gaps get their largest piece first."""
-        return self.single(gap) or (self.pair(gap) or self.triple(gap) if gap <= reach else None)
-
-
-def _times(counts: np.ndarray, parts: tuple[int, ...]) -> int:
-    need = {p: parts.count(p) for p in parts}
-    return min(int(counts[p]) // k for p, k in need.items())
-
+    def triple(self, gap: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
+        found = self.triples[gap]
+        for a in reversed(found):
+            if self.free(a, held) and (rest := self.pair(gap - a, (*held, a), a)):
+                return a, *rest
+        self.triples[gap] = [a for a in found if self.n[a] and self.pairs[gap - a]]
+        return None
 
-def _planned(histogram: dict[int, int], capacity: int, defer: bool, reach: int) -> list[tuple[tuple[int, ...], int]]:
-    counts = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in histogram.items():
-        counts[length] += n
-    done: list[tuple[tuple[int, ...], int]] = []
-    left = np.zeros_like(counts)
+    def exact(self, gap: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
+        """Lengths in stock beside ``held`` that fill ``gap`` exactly, as few as can be."""
+        return (gap,) if self.free(gap, held) else self.pair(gap, held, gap) or self.triple(gap, held)
 
-    def use(parts: tuple[int, ...]) -> None:
-        times = _times(counts, parts)
-        for p in parts:
-            counts[p] -= times
-        done.append((parts, times))
-
-    def filled(length: int, best_fit: bool) -> tuple[int, ...] | None:
-        """One sequence around a piece: filled exactly if it can be, before or after the largest piece that fits."""
-        parts = [length]
-        counts[length] -= 1
-        whole = length == capacity
-        while not whole and (gap := capacity - sum(parts)) > 0:
-            if exact := Sums(counts).fill(gap, reach):
-                parts += exact
-                for p in exact:
-                    counts[p] -= 1
-                whole = True
-            elif best_fit and len(fit := np.flatnonzero(counts[1 : gap + 1])):
-                parts.append(int(fit[-1]) + 1)
-                counts[parts[-1]] -= 1
-            else:
-                break
-        for p in parts:
-            counts[p] += 1
-        return tuple(parts) if whole or best_fit or sum(parts) == capacity else None
+    def fitting(self, gap: int, held: tuple[int, ...]) -> int:
+        """Longest length in stock beside ``held`` that fits into ``gap``; 0 if there is none."""
+        return next((k for k in range(gap, 0, -1) if self.n[k] and self.free(k, held)), 0)
 
-    for length in range(capacity, 0, -1):
-        while counts[length] > 0:
-            if (parts := filled(length, not defer)) is None:
-                left[length], counts[length] = counts[length], 0
-            else:
-                use(parts)
-    if defer:
-        counts = left
-        for length in range(capacity, 0, -1):
-            while counts[length] > 0:
-                use(filled(length, True))
-    return done
+    def use(self, parts: tuple[int, ...]) -> int:
+        """Takes the parts as often as the counts allow; how often that is."""
+        need = Counter(parts)
+        times = min(self.n[p] // k for p, k in need.items())
+        for p, k in need.items():
+            self.n[p] -= times * k
+        return times
 
 
 def plan(histogram: dict[int, int], capacity: int = 1024) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of one sequence, how many such sequences), using every counted length up.
 
-    Lengths that no combination fills exactly are packed best-fit, at once or
-    after all others, and small pieces are spent on wide gaps or kept for narrow
-    ones; whichever way takes the fewest sequences is kept.
+    From the longest length down, the index is asked for lengths that fill its
+    gap exactly, and each combination is used as often as the counts allow. What
+    no combination fills is packed best-fit: the longest piece that fits goes
+    in, and the index is asked again for the gap that it leaves.
     """
-    plans = [_planned(histogram, capacity, True, capacity), *(_planned(histogram, capacity, False, capacity // k) for k in (1, 4, 16, 64, 256))]
-    return min(plans, key=lambda p: sum(times for _, times in p))
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    for length, n in histogram.items():
+        counts[length] += n
+    sums, done = Sums(counts), []
+    for length in range(capacity, 0, -1):
+        while sums.n[length]:
+            parts: tuple[int, ...] = (length,)
+            while (gap := capacity - sum(parts)) > 0:
+                if rest := sums.exact(gap, parts):
+                    parts += rest
+                elif fit := sums.fitting(gap, parts):
+                    parts += (fit,)
+                else:
+                    break
+            done.append((parts, sums.use(parts)))
+    return done
 
 
 def places(planned: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[int, np.ndarray]:
@@ -226,38 +230,50 @@ def places(planned: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[in
     return {p: np.array(r, dtype=np.int64) for p, r in runs.items()}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", tokens: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", tokens: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """``pieces`` with ``sequence_id`` and a gapless ``offset`` for each.
 
-    Texts are encoded once; the pieces are written to the shared folder, as
-    they are read for the histogram and for the places. To the driver come at
-    most ``capacity * BUCKETS`` counts; the plan that goes back is bounded by
+    Texts are encoded once; the pieces are written to the shared folder with a
+    number for each row, as they are read again for the counts and for the
+    places. Whole sequences, most of the pieces of long documents, take that
+    number as their sequence's and are not shuffled. Of the others at most
+    ``RANKED`` are ranked together; to the driver come ``capacity`` counts and
+    then one for each such bucket, and the plan that goes back is bounded by
     ``capacity`` alone.
     """
-    cut = materialize(pieces(docs, tokenizer_path, end, capacity, id_col, text_col, tokens), "pieces")
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece"), F.lit(BUCKETS)).cast("int"))
-    counted = sorted((r.length, r.bucket, r["n"]) for r in cut.groupBy("length", "bucket").agg(F.count("*").alias("n")).collect())
-    histogram: dict[int, int] = {}
-    base = np.zeros((capacity + 1, BUCKETS), dtype=np.int64)
-    for length, bucket, n in counted:
-        base[length, bucket] = histogram.get(length, 0)
-        histogram[length] = histogram.get(length, 0) + n
-    shared = docs.sparkSession.sparkContext.broadcast((base, places(plan(histogram, capacity), capacity)))
-    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy(id_col, "piece", "ids_crc32")))
+    spark = docs.sparkSession
+    cut = materialize(pieces(docs, tokenizer_path, end, capacity, id_col, text_col, tokens, keep).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    part = cut.where(F.col("length") < capacity)
+    histogram = {r.length: r["count"] for r in part.groupBy("length").count().collect()}
+    several = {length: -(-n // RANKED) for length, n in histogram.items() if n > RANKED}
+    split = F.pmod(F.xxhash64("_row"), F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in several.items() for x in kv)), F.col("length")), F.lit(1))).cast("int") if several else F.lit(0)
+    part = part.withColumn("_bucket", split)
+    base: dict[tuple[int, int], int] = {}
+    for length in several:
+        base[length, 0] = 0
+    if several:
+        at = dict.fromkeys(several, 0)
+        for r in sorted(part.where(F.col("length").isin(list(several))).groupBy("length", "_bucket").count().collect()):
+            base[r.length, r["_bucket"]] = at[r.length]
+            at[r.length] += r["count"]
+    planned = plan(histogram, capacity)
+    shared = spark.sparkContext.broadcast((base, places(planned, capacity)))
+    ranked = part.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("_row")))
+    kept = [c for c in cut.columns if c != "_row"]
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, runs = shared.value
         for b in batches:
-            lengths = b.column("length").to_numpy()
-            ranks = b.column("rank").to_numpy() - 1 + base[lengths, b.column("bucket").to_numpy()]
+            lengths, buckets, ranks = (b.column(c).to_numpy() for c in ("length", "_bucket", "_rank"))
             sequence, offset = np.empty(len(ranks), dtype=np.int64), np.empty(len(ranks), dtype=np.int64)
-            for p in np.unique(lengths):
-                mine, run = lengths == p, runs[int(p)]
-                k = np.searchsorted(run[:, 0], ranks[mine], side="right") - 1
-                sequence[mine] = run[k, 1] + ranks[mine] - run[k, 0]
+            for p, bucket in {*zip(lengths.tolist(), buckets.tolist(), strict=True)}:
+                mine, run = (lengths == p) & (buckets == bucket), runs[p]
+                rank = ranks[mine] - 1 + base.get((p, bucket), 0)
+                k = np.searchsorted(run[:, 0], rank, side="right") - 1
+                sequence[mine] = run[k, 1] + rank - run[k, 0]
                 offset[mine] = run[k, 2]
-            kept = [n for n in b.schema.names if n not in ("bucket", "rank")]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name != "bucket")
-    return map_batches(ranked, put, f"{fields}, sequence_id long, offset long")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name != "_row")
+    whole = cut.where(F.col("length") == capacity).select(*kept, (F.col("_row") + sum(times for _, times in planned)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return map_batches(ranked, put, f"{fields}, sequence_id long, offset long").unionByName(whole)

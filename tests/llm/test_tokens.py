@@ -1,12 +1,14 @@
 """BPE round trip and packing against the tokenizers library."""
 
 import hashlib
+import itertools
 import os
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from graphloom.llm import bpe, packing
@@ -139,3 +141,46 @@ def test_plan_uses_exact_complements_up():
     for _ in range(20):
         h = {random.randint(1, 100): random.randint(1, 50) for _ in range(30)}
         assert total(h) >= -(-sum(k * v for k, v in h.items()) // 100)
+
+
+def test_sums_are_indexed_under_their_counts():
+    sums = packing.Sums(np.bincount([10, 20, 20, 30, 45], minlength=101))
+    assert sums.exact(45, ()) == (45,) and sums.exact(75, ()) == (45, 30) and sums.exact(95, ()) == (45, 30, 20)
+    assert sums.exact(40, ()) == (30, 10) and sums.exact(40, (10,)) == (20, 20) and sums.exact(40, (10, 20)) is None
+    assert sums.use((20, 20)) == 1 and sums.exact(20, ()) is None and sums.exact(50, ()) is None and sums.fitting(44, (30,)) == 10
+    for s in range(1, 101):  # against a search of all combinations
+        random.seed(s)
+        lengths = [random.randint(1, 60) for _ in range(6)]
+        sums = packing.Sums(np.bincount(lengths, minlength=101))
+        some = any(sum(c) == s for k in (1, 2, 3) for c in itertools.combinations(lengths, k))
+        assert (sums.exact(s, ()) is not None) == some
+
+
+def test_plan_is_close_to_the_bound():
+    random.seed(3)
+    h = {k: random.randint(1, 400) for k in range(1, 1024)}
+    used = sum(t for _, t in packing.plan(h))
+    # no two pieces over half a sequence go together
+    assert used <= 1.002 * max(sum(k * v for k, v in h.items()) / 1024, sum(v for k, v in h.items() if k > 512)) + 1
+
+
+def test_ids_of_long_mixed_and_special_texts_match_the_library():
+    library = Tokenizer.from_file(BYTE)
+    ids = packing.Ids(open(BYTE).read(), 2)
+    long = "word, don't  stop\n\n at 12 gaps " * 70_000
+    for text in ["", " ", "  a  b ", "a\x1cb \x1c c", "漢字 and words — “quoted” 🎉 x", "<|endoftext|> a<|endoftext|>", "a" * 300_000, " " * 200_001 + "x", long, "é漢 " * 2000]:
+        assert list(ids.of(text)) == [*library.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_packing_splits_a_length_held_by_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 7)
+    df = spark.createDataFrame([(None if i % 3 else i, "same text") for i in range(90)] + [(500, "word " * 5000)], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    out = packing.pack(df, BYTE, tokens=True, keep=["lang"]).collect()
+    assert len(out) == 95 and len({(r.sequence_id, r.offset) for r in out}) == 95 and {r.lang for r in out} == {"en"}
+    by_seq = {}
+    for r in out:
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) == r.ids_crc32
+        by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by_seq.values():
+        places.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and places[0][0] == 0 and sum(places[-1]) <= 1024
