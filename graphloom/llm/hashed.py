@@ -80,28 +80,29 @@ def label_of_ids(labels: DataFrame, label_col: str, id_col: str) -> DataFrame:
     return labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_label: dict[int, int] | int, id_col: str, text_col: str, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, max_labels: int = 16) -> list:
-    """Rows of ``rows`` over a bounded sample of labelled documents.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_label: dict[int, int] | int, id_col: str, text_col: str, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], made: str) -> list:
+    """``id, label`` and the columns ``made`` that ``rows`` makes of a bounded sample of labelled documents.
 
     At most ``per_label`` ids of each label value, those with the smallest
     xxhash64 of the id; a label given more than once counts with its largest
-    value. The ids (bounded) are broadcast, so the documents are read once and
-    not shuffled; texts stay on the executors, only what ``rows`` makes of them
-    comes back.
+    value, an id of several documents with the text of smallest hash. The ids
+    (bounded) are broadcast, so the documents are read once, and only sampled
+    texts, one an id, are shuffled; they stay on the executors, and only what
+    ``rows`` makes of them comes back.
     """
     clean = label_of_ids(labels, label_col, id_col)
-    values = sorted(r.label for r in clean.select("label").distinct().limit(max_labels + 1).collect())
-    if len(values) > max_labels:
-        raise ValueError(f"more than {max_labels} grades in {label_col}")
+    bound = lambda v: per_label if isinstance(per_label, int) else per_label.get(v, 0)
+    values = [r.label for r in clean.select("label").distinct().collect()] if isinstance(per_label, int) else sorted(per_label)
     picked = []
-    for v in values:
-        bound = per_label if isinstance(per_label, int) else per_label.get(v, 0)
-        picked += [(r.id, v) for r in clean.where(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(bound).select("id").collect()]
+    for v in sorted(values):
+        picked += [(r.id, v) for r in clean.where(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(bound(v)).select("id").collect()]
     if not picked:
         return []
-    ids = docs.sparkSession.createDataFrame(picked, "id long, label int")
+    kind = labels.schema[id_col].dataType.simpleString()
+    ids = docs.sparkSession.createDataFrame(picked, f"id {kind}, label int")
     some = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), "id")
-    return map_batches(some.select("id", "label", "text"), rows, schema).collect()
+    one = some.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return map_batches(one, rows, f"id {one.schema['id'].dataType.simpleString()}, label int, {made}").collect()
 
 
 def screen(rows: list[np.ndarray], target: np.ndarray, most: int, least_rows: int = 3) -> np.ndarray:

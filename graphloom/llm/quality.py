@@ -7,8 +7,9 @@ are sampled up to a bound each; a sampled row weighs as many labelled ids as it
 stands for, so that the result does not depend on where the bound cuts.
 
 Defined results: a null or empty text gets the score of an empty text; with one
-grade only, that grade is expected everywhere; repeated documents are rated
-alike; columns other than id and text are not read.
+grade only, that grade is expected everywhere, without labels 0; repeated
+documents are rated alike; ids may be of any type; an empty table gives an empty
+result; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 def token_features(token: str) -> tuple[int, ...]:
     """The lower-cased token, and its shape: runs of letters as ``a`` (``A`` if upper case), of digits as ``9``."""
     shape = _DIGITS.sub("9", _LETTERS.sub(lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a", token))
-    return hashed("w" + token.lower()[:40]), hashed("s" + shape[:40])
+    return hashed("w" + token.lower()), hashed("s" + shape)
 
 
 def text_features(text: str, tokens: list[str]) -> list[int]:
@@ -113,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str = "quality", id_col
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], ["id", "label", "raw"])
 
     known = labels.where(crc_bucket(id_col, modulus) != held)
-    rows = labelled_sample(docs, known, grade_col, sample, id_col, text_col, features, "id long, label int, raw binary")
+    rows = labelled_sample(docs, known, grade_col, sample, id_col, text_col, features, "raw binary")
     rows.sort(key=lambda r: (r.id, r.raw))
     counts = {r.label: r["count"] for r in label_of_ids(known, grade_col, id_col).groupBy("label").count().collect()}
     weight = np.array([counts[r.label] / min(counts[r.label], sample) for r in rows])
