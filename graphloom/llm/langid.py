@@ -6,20 +6,22 @@ that needs the fewest phrases for each letter, weighted by what pointing into
 its labelled text costs, wins. Parsing runs over all texts of a batch at once:
 the automata are one dense transition table, with a sorted list beside it for
 letters beyond a language's ``DENSE`` commonest, and the texts are read in blocks
-of ``BLOCK`` characters side by side; a phrase ends at a block's end.
+of ``BLOCK`` characters side by side. A block is first parsed as if a phrase
+began with it; then the phrase left open before it is carried on, and from the
+first place where both begin a phrase they agree. So every text is parsed whole.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, or
 when nothing was labelled; with one language known it wins with score 1; ties
-go to the name that sorts first; repeated documents are judged alike; columns
-other than id, text and lang are not read.
+go to the name that sorts first; repeated documents are judged alike; an id given
+to several rows is learned from once a language; ids may be of any type; an empty
+table gives an empty result; columns other than id, text and lang are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_bucket, keep_rows, map_batches
+from .common import crc_bucket, keep_rows, map_batches, model
 
-#: Bounds of the labelled sample: documents and characters for each language.
+#: Bounds of the labelled sample: documents and characters for each language. Documents count whole.
 SAMPLE_DOCS, SAMPLE_CHARS = 96, 32_768
+#: Longer documents are sampled only after all others.
+LONG = SAMPLE_CHARS // 8
 #: Letters of a language with a column of their own in the dense table; transitions of its others are looked up in a sorted list.
 DENSE = 60
-#: Characters of a block; blocks parsed side by side; characters held at a time.
-BLOCK, SIDE, SLICE = 512, 4096, 1 << 20
+#: Characters of a block; blocks (times languages) parsed side by side; characters held at a time.
+BLOCK, SIDE, SLICE = 512, 16_384, 1 << 20
 _SPACE, _OTHER, _PAD, _RARE = 0, 1, 2, 3
-_PLANES = 0x30000
+_PLANES = 0x110000
 
 
 def suffix_automaton(codes: np.ndarray, width: int) -> tuple[np.ndarray, dict[int, dict[int, int]]]:
@@ -102,16 +106,18 @@ class Alphabet:
                 table[cp] = known.get(c.lower()[:1], _OTHER)
         self.table = table
 
-    def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Classes of all texts one behind the other, runs of blanks as one, and each text's end."""
+    def codes(self, texts: list[str], after_blank: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Classes of all texts one behind the other, runs of blanks as one, and each text's end; ``after_blank``: the first goes on behind one."""
         ends = np.cumsum([len(t) for t in texts])
         cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        codes = self.table[np.minimum(cp, _PLANES - 1)]
+        codes = self.table[cp]
         blank = codes == _SPACE
         drop = np.zeros(len(codes), dtype=bool)
         drop[1:] = blank[1:] & blank[:-1]
         begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         drop[begins[begins < len(codes)]] = False
+        if after_blank and len(codes) and blank[0]:
+            drop[0] = True
         kept = np.concatenate([[0], np.cumsum(~drop)])
         return codes[~drop], kept[ends]
 
@@ -160,38 +166,83 @@ class Parser:
             to[rare] = np.where(self.keys[spot] == key, self.targets[spot], -1)
         return to
 
-    def phrases(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Phrases each text needs in each language (texts x languages), ``SIDE`` blocks at a time."""
+    def phrases(self, codes: np.ndarray, ends: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases each text needs in each language (texts x languages), and the last text's open phrases.
+
+        ``before``: phrases (one a language) still open where the first text goes on.
+        """
         k = len(self.names)
         begins = np.concatenate([[0], ends[:-1]])
         blocks = -(-(ends - begins) // BLOCK)
         owner = np.repeat(np.arange(len(ends)), blocks)
         start = begins[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
         out = np.zeros((len(ends), k))
-        for low in range(0, len(owner), SIDE):
-            own = owner[low : low + SIDE]
-            count = self._parse(codes, start[low : low + SIDE], ends[own]).reshape(k, len(own))
+        last, of = before, 0 if before is not None else -1  # open phrases, and of which text
+        side = max(1, SIDE // k)
+        for low in range(0, len(owner), side):
+            own = owner[low : low + side]
+            goes_on = np.concatenate([[own[0] == of], own[1:] == own[:-1]])
+            count, last = self._parse(codes, start[low : low + side], ends[own], goes_on, last)
+            of = own[-1]
             for j in range(k):
                 out[:, j] += np.bincount(own, weights=count[j], minlength=len(ends))
-        return out
-
-    def _parse(self, codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        width, k = self.width, len(self.names)
-        roots = np.repeat(np.array(self.roots, dtype=np.int64) * width, len(start))
-        closed = np.repeat(np.array(self.closed, dtype=np.int64), len(start))
-        state, count = closed * width, np.zeros(len(roots), dtype=np.int32)
-        for step in range(int(min(BLOCK, (stop - start).max()))):
-            at = start + step
-            c = np.where(at < stop, codes[np.minimum(at, len(codes) - 1)], _PAD)
-            column = self.column[:, c].ravel()
-            c = np.tile(c, k) if len(self.keys) else c
-            to = self._to(state, column, c)
-            if len(miss := np.flatnonzero(to < 0)):
-                count[miss] += 1  # a phrase begins here; a letter that never occurs is one by itself
-                again = self._to(roots[miss], column[miss], c[miss] if len(self.keys) else c)
-                to[miss] = np.where(again < 0, closed[miss], again)
-            state = to.astype(np.int64) * width
-        return count
+        if of != len(ends) - 1 or last is None:
+            last = np.array(self.closed, dtype=np.int64) * self.width
+        return out, last
+
+    def _step(self, state: np.ndarray, column: np.ndarray, c: np.ndarray, root: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and where phrases begin; a letter that never occurs is one by itself."""
+        to = self._to(state, column, c)
+        miss = np.flatnonzero(to < 0)
+        if len(miss):
+            again = self._to(root[miss], column[miss], c[miss] if len(self.keys) else c)
+            to[miss] = np.where(again < 0, closed[miss], again)
+        return to.astype(np.int64) * self.width, miss
+
+    def _parse(self, codes: np.ndarray, start: np.ndarray, stop: np.ndarray, goes_on: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each block (languages x blocks), and the phrases open behind the last block.
+
+        ``goes_on``: blocks that follow the block before them, the first one ``before``.
+        """
+        width, k, n = self.width, len(self.names), len(start)
+        root = np.repeat(np.array(self.roots, dtype=np.int64) * width, n)
+        closed = np.repeat(np.array(self.closed, dtype=np.int64), n)
+        steps = int(min(BLOCK, (stop - start).max()))
+        state, begun = closed * width, np.zeros((steps, k * n), dtype=bool)
+        text = codes[np.minimum(start[None, :] + np.arange(steps)[:, None], len(codes) - 1)]
+        text[start[None, :] + np.arange(steps)[:, None] >= stop[None, :]] = _PAD
+        for step in range(steps):
+            c = text[step]
+            state, miss = self._step(state, self.column[:, c].ravel(), np.tile(c, k) if len(self.keys) else c, root, closed)
+            begun[step, miss] = True
+        count = begun.sum(axis=0, dtype=np.int64)
+        # carry open phrases on, until they agree with what was parsed; again where a block's true end turns out another
+        change, end = np.zeros(k * n, dtype=np.int64), state.copy()
+        used = np.full(k * n, -1, dtype=np.int64)
+        follows = np.tile(goes_on, k)
+        while True:
+            wanted = np.roll(end, 1)
+            if before is not None:
+                wanted[::n] = before
+            todo = np.flatnonzero(follows & (wanted != used))
+            if not len(todo):
+                return (count + change).reshape(k, n), end[n - 1 :: n]
+            used[todo] = now = wanted[todo]
+            change[todo], end[todo] = 0, state[todo]
+            language, block = todo // n, todo % n
+            for step in range(steps):
+                c = text[step, block]
+                now, miss = self._step(now, self.column[language, c], c, root[todo], closed[todo])
+                begins = np.zeros(len(todo), dtype=bool)
+                begins[miss] = True
+                already = begun[step, todo]
+                change[todo] += begins.astype(np.int64) - already
+                apart = ~(begins & already)
+                if not apart.all():
+                    todo, language, block, now = todo[apart], language[apart], block[apart], now[apart]
+                    if not len(todo):
+                        break
+            end[todo] = now
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Texts are taken in slices of ``SLICE`` characters, so that memory does not depend on their length."""
@@ -199,12 +250,16 @@ class Parser:
         if not k:
             return ["und"] * n, np.zeros(n)
         bits, letters = np.zeros((n, k)), np.zeros(n, dtype=np.int64)
+        last, before, blank = -1, None, False
         for part in self._slices(texts):
             who = np.array([i for i, _ in part])
-            codes, ends = self.alphabet.codes([t for _, t in part])
+            on = who[0] == last
+            codes, ends = self.alphabet.codes([t for _, t in part], on and blank)
             lettered = np.concatenate([[0], np.cumsum(codes != _SPACE)])
             np.add.at(letters, who, lettered[ends] - lettered[np.concatenate([[0], ends[:-1]])])
-            np.add.at(bits, who, self.phrases(codes, ends))
+            count, before = self.phrases(codes, ends, before if on else None)
+            np.add.at(bits, who, count)
+            last, blank = who[-1], self.alphabet.table[ord(part[-1][1][-1])] == _SPACE
         bits *= np.array(self.cost)
         best = bits.argmin(axis=1)
         low = bits[np.arange(n), best]
@@ -227,51 +282,42 @@ class Parser:
             yield part
 
 
-_PARSERS: dict[str, Parser] = {}
-
-
 def sample(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, held: int = 2, most_docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Labelled text of each language, at most ``chars`` characters of at most ``most_docs`` documents.
+    """Labelled text of each language: whole documents, at most ``most_docs``, in the order of their ids' hashes, while ``chars`` holds them.
 
-    Each document gives an equal share, taken from its middle if it has more,
-    so that one very long document cannot stand for a language.
+    Documents over ``LONG`` characters come last, so that one cannot stand for a
+    language; only where the first by itself exceeds ``chars``, its middle is taken.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.coalesce(crc_bucket(id_col, modulus) != held, F.lit(False)))
-    ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    picked = ids.withColumn("rank", rank).where(F.col("rank") <= most_docs).select("id", "lang").collect()
+    rows = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    order = F.struct((F.length("text") > LONG).alias("long"), F.xxhash64("id").alias("hash"), F.col("id"), F.length("text").alias("size"))
+    heads = rows.select("lang", order.alias("at")).groupBy("lang", F.col("at.id").alias("id")).agg(F.min("at").alias("at"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
+    picked: dict[str, list] = {}
+    room: dict[str, int] = {}
+    for r in heads.withColumn("rank", rank).where(F.col("rank") <= most_docs).orderBy("lang", "rank").collect():
+        left = room.setdefault(r.lang, chars)
+        if r["at"]["size"] < left or r.lang not in picked:
+            picked.setdefault(r.lang, []).append((r.id, r.lang, r["at"]["size"]))
+            room[r.lang] = left - r["at"]["size"] - 1
     if not picked:
         return {}
-    share = chars // most_docs
-    some = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(docs.sparkSession.createDataFrame(picked, "id long, lang string").distinct()), ["id", "lang"])
-    cut = F.substring("text", F.greatest(F.lit(1), (F.length("text") / 2 - share).cast("int")), F.lit(4 * share))
+    wanted = docs.sparkSession.createDataFrame([x for found in picked.values() for x in found], f"id {rows.schema['id'].dataType.simpleString()}, lang string, size int")
+    some = rows.withColumn("size", F.length("text")).join(F.broadcast(wanted), ["id", "lang", "size"])
+    cut = F.substring("text", F.greatest(F.lit(1), ((F.length("text") - chars) / 2).cast("int")), F.lit(chars))
+    some = some.groupBy("lang", "id").agg(F.min_by(cut, F.struct(F.xxhash64("text"), "text")).alias("text"))
     texts: dict[str, list[str]] = {}
-    for r in sorted(some.select("id", "lang", cut.alias("text")).collect(), key=lambda r: (r.lang, r.id, r.text)):
+    for r in sorted(some.collect(), key=lambda r: (r.lang, r.id)):
         texts.setdefault(r.lang, []).append(r.text)
-    # shares of short documents go to the others
-    out = {}
-    for lang, parts in texts.items():
-        room, left = chars, len(parts)
-        chosen = []
-        for t in sorted(parts, key=len):
-            t = t[: room // left]
-            chosen.append(t)
-            room, left = room - len(t), left - 1
-        out[lang] = " ".join(chosen)
-    return out
+    return {lang: " ".join(parts) for lang, parts in texts.items()}
 
 
 def _parser(samples: dict[str, str]) -> Parser:
-    """One parser for each Python worker and sample."""
-    key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = Parser(samples)
-    return _PARSERS[key]
+    return model(("langid", tuple(sorted(samples.items()))), lambda: Parser(samples))
 
 
-def with_language(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, held: int = 2) -> DataFrame:
-    """``docs`` without the rows whose language is ``und``; all columns stay, nothing is shuffled.
+def with_language(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, held: int = 2, wanted: Collection[str] | None = None) -> DataFrame:
+    """``docs`` without the rows whose language is ``und``, or not among the ``wanted`` ones if these are given; all columns stay, nothing is shuffled.
 
     Where no language is known, only null texts and those without a letter go.
     """
@@ -279,7 +325,8 @@ def with_language(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id
     if not samples:
         return keep_rows(docs, text_col, lambda texts: [any(map(str.isalpha, t or "")) for t in texts])
     shared = docs.sparkSession.sparkContext.broadcast(samples)
-    return keep_rows(docs, text_col, lambda texts: [x != "und" for x in _parser(shared.value).judge(texts)[0]])
+    good = None if wanted is None else frozenset(wanted)
+    return keep_rows(docs, text_col, lambda texts: [x != "und" and (good is None or x in good) for x in _parser(shared.value).judge(texts)[0]])
 
 
 def language_id(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, held: int = 2) -> DataFrame:
