@@ -41,8 +41,9 @@ from .common import map_batches, materialize, model
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level vocabularies of this kind.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces of one length that are ranked together; a length may hold most of all pieces.
-RANKED = 500_000
+#: A length may hold most of all pieces, so its pieces are ranked in buckets: of so many pieces at
+#: least, and at most so many buckets beside one for each length.
+RANKED, BUCKETS = 1000, 10_000
 #: Characters encoded at a time.
 SLICE = 1 << 20
 _BEFORE_WORD, _GAP = re.compile(r"(?<=\S)(?= \S)"), re.compile(r"(?<=\S) (?=\S)")
@@ -236,26 +237,22 @@ def pack(docs: DataFrame, tokenizer_path: str, end: int = 2, capacity: int = 102
     Texts are encoded once; the pieces are written to the shared folder with a
     number for each row, as they are read again for the counts and for the
     places. Whole sequences, most of the pieces of long documents, take that
-    number as their sequence's and are not shuffled. Of the others at most
-    ``RANKED`` are ranked together; to the driver come ``capacity`` counts and
-    then one for each such bucket, and the plan that goes back is bounded by
-    ``capacity`` alone.
+    number as their sequence's and are not shuffled. The others are ranked in
+    buckets of their length; to the driver come ``capacity`` counts and at most
+    ``capacity + BUCKETS`` counts of buckets, and the plan that goes back is
+    bounded by ``capacity`` alone.
     """
     spark = docs.sparkSession
     cut = materialize(pieces(docs, tokenizer_path, end, capacity, id_col, text_col, tokens, keep).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     part = cut.where(F.col("length") < capacity)
     histogram = {r.length: r["count"] for r in part.groupBy("length").count().collect()}
-    several = {length: -(-n // RANKED) for length, n in histogram.items() if n > RANKED}
-    split = F.pmod(F.xxhash64("_row"), F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in several.items() for x in kv)), F.col("length")), F.lit(1))).cast("int") if several else F.lit(0)
-    part = part.withColumn("_bucket", split)
-    base: dict[tuple[int, int], int] = {}
-    for length in several:
-        base[length, 0] = 0
-    if several:
-        at = dict.fromkeys(several, 0)
-        for r in sorted(part.where(F.col("length").isin(list(several))).groupBy("length", "_bucket").count().collect()):
-            base[r.length, r["_bucket"]] = at[r.length]
-            at[r.length] += r["count"]
+    each = max(RANKED, -(-sum(histogram.values()) // BUCKETS))
+    buckets = [-(-histogram.get(length, 0) // each) for length in range(1, capacity + 1)]
+    part = part.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.expr(f"element_at(array({', '.join(map(str, buckets))}), cast(length as int))")).cast("int"))
+    base, at = {}, dict.fromkeys(histogram, 0)
+    for r in sorted(part.groupBy("length", "_bucket").count().collect()):
+        base[r.length, r["_bucket"]] = at[r.length]
+        at[r.length] += r["count"]
     planned = plan(histogram, capacity)
     shared = spark.sparkContext.broadcast((base, places(planned, capacity)))
     ranked = part.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("_row")))
@@ -268,7 +265,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end: int = 2, capacity: int = 102
             sequence, offset = np.empty(len(ranks), dtype=np.int64), np.empty(len(ranks), dtype=np.int64)
             for p, bucket in {*zip(lengths.tolist(), buckets.tolist(), strict=True)}:
                 mine, run = (lengths == p) & (buckets == bucket), runs[p]
-                rank = ranks[mine] - 1 + base.get((p, bucket), 0)
+                rank = ranks[mine] - 1 + base[p, bucket]
                 k = np.searchsorted(run[:, 0], rank, side="right") - 1
                 sequence[mine] = run[k, 1] + rank - run[k, 0]
                 offset[mine] = run[k, 2]

@@ -2,7 +2,6 @@
 
 import numpy as np
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import langid, quality, toxicity
@@ -32,11 +31,51 @@ def test_toxicity_held_out_and_swaps(spark):
     out = toxicity.toxicity(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
     held = out[out.held_out]
     assert len(held) > 50 and (held.predicted == held.toxic).mean() > 0.98
-    change = {}
-    for penalty in (0.0, 20.0):
+    # neutral mentions of the groups: fewer are taken for toxic by default than without the penalty, and toxic texts are still told
+    rng = np.random.default_rng(9)
+    words = ["alpha", "beta", "gamma", "delta", "river", "stone", "cloud", "light"]
+    neutral = [" ".join([g, *rng.choice(words, 12)]) for g in ("women", "women women", "men") for _ in range(40)]
+    toxic = [" ".join([g, bad, *rng.choice(words, 12)]) for g in ("women", "river") for bad in ("vileone", "viletwo", "grossness") for _ in range(10)]
+    wrong = {}
+    for penalty in (0.0, toxicity.PENALTY):
         m = toxicity.train(docs, labels, penalty=penalty)
-        change[penalty] = abs(m.weights.score("women alpha beta") - m.weights.score("men alpha beta"))
-    assert change[20.0] < 0.5 * change[0.0]
+        assert m.pairs > 400  # every sampled text gives pairs, whether it names a group or not
+        wrong[penalty] = np.mean([m.score(t) for t in neutral]), sum(m.score(t) >= 0.5 for t in neutral)
+        assert all(m.score(t) >= 0.5 for t in toxic)
+    assert wrong[toxicity.PENALTY][0] < wrong[0.0][0] and wrong[toxicity.PENALTY][1] <= wrong[0.0][1]
+
+
+def test_neutral_mentions_are_not_taken_for_toxic():
+    """A corpus whose toxic texts nearly all name a group, in words that are weak signs by themselves."""
+    rng = np.random.default_rng(6)
+    words = [f"{a}{b}" for a in ("alpha", "beta", "gamma", "delta") for b in ("x", "y", "z", "q", "k")]
+    swaps, rows, pairs, y = toxicity.Counterfactuals(), [], [], []
+    for i in range(1500):
+        bad = i % 3 == 0
+        text = [*rng.choice(words, 15), *(rng.choice(["vile", "gross", "awful"], 2) if rng.random() < (0.8 if bad else 0.1) else [])]
+        text += ["muslims"] if rng.random() < (0.9 if bad else 0.05) else []
+        raw = toxicity.FEATURES.all(" ".join(text))
+        rows.append(raw)
+        pairs += swaps.pairs(" ".join(text), raw)
+        y.append(float(bad))
+    neutral = [" ".join([g, *rng.choice(words, 15)]) for g in ("muslims", "christians") for _ in range(50)]
+    toxic = [" ".join(["vile", "gross", *rng.choice(words, 15)]) for _ in range(50)]
+    wrong, caught = {}, {}
+    for penalty in (0.0, toxicity.PENALTY):
+        m = toxicity.fit(rows, pairs, np.array(y), penalty, terms=swaps.features())
+        wrong[penalty] = sum(m.score(t) >= 0.5 for t in neutral)
+        caught[penalty] = sum(m.score(t) >= 0.5 for t in toxic)
+    assert wrong[0.0] >= 25 and wrong[toxicity.PENALTY] == 0
+    assert caught[toxicity.PENALTY] >= 45
+
+
+def test_counterfactuals_in_four_languages():
+    swaps = toxicity.Counterfactuals()
+    assert swaps.swapped("Women and Frauen, femmes y mujeres") == "men and männer, hommes y hombres"
+    named, other = swaps.texts("the women sang"), swaps.texts("no group here")
+    assert named == [("the women sang", "the men sang"), ("the women sang", "the   sang")]
+    assert len(other) == 2 and all(a != b for a, b in other) and other[1][0] == "no group here"
+    assert toxicity.Counterfactuals(()).pairs("the women", np.array([], dtype=np.int32)) == []
 
 
 def test_toxicity_edge_cases(spark):
@@ -127,7 +166,7 @@ def test_phrases_equal_plain_search():
         for name in p.names:
             base = shown({"en": a, "fr": b}[name])
             want[-1].append(brute_phrases(shown(t).replace(chr(98), "\0"), base))
-    assert p.phrases(codes, ends).tolist() == want
+    assert p.phrases(codes, ends)[0].tolist() == want
 
 
 def test_language_edge_cases(spark):
@@ -160,7 +199,7 @@ def test_every_letter_of_the_samples_counts():
     p = langid.Parser(samples)
     texts = [samples["x1"][100:160] + "".join(script["x1"][250:280]), "".join(script["x2"][::-7]) + samples["x2"][:50], "the fox " + samples["x1"][7:19]]
     codes, ends = p.alphabet.codes(texts)
-    assert p.phrases(codes, ends).tolist() == [[brute_phrases(t, samples[n]) for n in p.names] for t in texts]
+    assert p.phrases(codes, ends)[0].tolist() == [[brute_phrases(t, samples[n]) for n in p.names] for t in texts]
     rare = "".join(script["x2"][200:300])
     assert p.judge([texts[0], rare, "the dog"])[0] == ["x1", "x2", "en"]
 
@@ -181,5 +220,84 @@ def test_language_query_held_out(spark, data):
     m = QUERIES["op8_language_id"](spark, data).toPandas().merge(docs, on="doc_id")
     held = m[m.held_out]
     assert len(held) > 20 and (held.lang_pred == held.lang).mean() > 0.97
-    with pytest.raises(ValueError):
-        toxicity.labelled_sample(spark.range(1), spark.range(40).select(F.col("id").alias("doc_id"), F.col("id").alias("q")), "q", 1, "doc_id", "text", None, "x int")
+
+
+def brute_parse(parser, text):
+    """Phrases of the whole text in each language, one letter after the other."""
+    codes, _ = parser.alphabet.codes([text])
+    out = []
+    for j in range(len(parser.names)):
+        state, n = np.array([parser.closed[j]]) * parser.width, 0
+        for c in codes:
+            c = np.array([c])
+            state, miss = parser._step(state, parser.column[j, c], c, np.array([parser.roots[j]]) * parser.width, np.array([parser.closed[j]]))
+            n += len(miss)
+        out.append(n)
+    return out
+
+
+def test_texts_of_many_blocks_equal_the_parse_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(8)
+    letters = list("abc ")
+    samples = {"x": "".join(rng.choice(letters, 3000)) + "z" * 1500, "y": "".join(rng.choice(letters[:2], 3000)) + "漢字" * 300, "w": "a"}
+    p = langid.Parser(samples)
+    texts = ["".join(rng.choice(letters, 4000)), samples["x"][500:2900] + "z" * 2000, "", "ab", samples["y"] * 2, "z" * 1400 + samples["y"][:100], "q" * 700, " a" * 900 + "   b" * 300]
+    want = [brute_parse(p, t) for t in texts]
+    for block, side, cut in ((512, 16_384, 1 << 20), (7, 16_384, 1 << 20), (16, 12, 50), (512, 3, 1000), (5, 9, 37)):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        monkeypatch.setattr(langid, "SIDE", side)
+        monkeypatch.setattr(langid, "SLICE", cut)
+        bits = np.zeros((len(texts), 3))
+        last, before, blank = -1, None, False
+        for part in p._slices(texts):
+            who = [i for i, _ in part]
+            codes, ends = p.alphabet.codes([t for _, t in part], who[0] == last and blank)
+            count, before = p.phrases(codes, ends, before if who[0] == last else None)
+            np.add.at(bits, who, count)
+            last, blank = who[-1], p.alphabet.table[ord(part[-1][1][-1])] == 0
+        assert bits.tolist() == want, (block, side, cut)
+        judged = p.judge(texts)
+        if (block, side) == (512, 16_384):
+            first = judged
+        assert judged[0] == first[0] and np.array_equal(judged[1], first[1])
+
+
+def test_two_hundred_languages_and_letters_of_all_planes(spark):
+    script = {f"l{i:03d}": [chr(0x4E00 + 40 * i + k) for k in range(40)] for i in range(200)} | {"g": [chr(0x30000 + k) for k in range(40)]}
+    rng = np.random.default_rng(2)
+    text = lambda n: "".join(rng.choice(script[n], 150))
+    docs = spark.createDataFrame([(f"id-{n}-{k}", text(n), n) for n in script for k in range(8)], "doc_id string, text string, lang string")
+    out = langid.language_id(docs.withColumn("score", F.lit("clash"))).collect()
+    assert len(out) == 1608 and sum(r.lang_pred == r.doc_id.split("-")[1] for r in out) >= 1590
+
+
+def test_ties_go_to_the_first_name():
+    p = langid.Parser({"b": "same text", "a": "same text"})
+    assert p.judge(["same text", "xyz"])[0] == ["a", "a"]
+
+
+def test_samples_hold_whole_documents_and_hot_ids_once(spark):
+    rows = [(i, f"text number {i} of the set", "en") for i in range(500)] + [(7, "text number 7 of the set", "en")] * 2000 + [(900, "w" * 100_000, "xx"), (901, "v" * 9000 + " end", "en")]
+    got = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), held=9, most_docs=40)
+    assert got["en"].count("text number") <= 40 and got["en"].count("text number 7 of") <= 1 and "v" not in got["en"] and len(got["xx"]) == langid.SAMPLE_CHARS
+
+
+def test_quality_edges(spark):
+    long = "x" * 100
+    docs = spark.createDataFrame([(f"d{i}", long + ("good" if i % 2 else "poor") + " text here", i) for i in range(120)] + [("d1", None, 1), (None, "", 1), ("big", "word " * 50_000, 2)], "doc_id string, text string, tail int")
+    labels = spark.createDataFrame([(f"d{i}", i % 2, None) for i in range(120)] + [(None, 1, None), ("gone", 1, None), ("d2", None, None)], "doc_id string, quality int, text string")
+    out = quality.quality(docs, labels).collect()
+    assert len(out) == 123 and all(0 <= r["tail"] <= 1 for r in out)
+    by = {r.doc_id: r for r in out if r.doc_id != "d1"}
+    assert all(by[f"d{i}"].selected == bool(i % 2) for i in range(2, 120))  # letters beyond the fortieth tell the grade
+    assert quality.quality(docs.limit(0), labels).count() == 0
+    many = spark.createDataFrame([(f"d{i}", i % 30) for i in range(120)], "doc_id string, quality int")
+    assert len(quality.quality(docs, many).collect()) == 123
+
+
+def test_toxicity_ids_of_any_type(spark):
+    docs, labels = toxic_fixture(spark)
+    as_text = lambda x: x.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    twice = as_text(docs).union(as_text(docs))
+    out = toxicity.toxicity(twice, as_text(labels)).collect()
+    assert len(out) == 1200 and all(isinstance(r.doc_id, str) for r in out)
