@@ -5,12 +5,16 @@ more bytes follow: a merge can only be undone by a competing merge of lower
 rank that starts on its right edge, that one by a still lower one further
 right, and so on. ``MergeTable.lookahead`` is the longest such chain, in bytes.
 A token is emitted as soon as that many bytes are known behind it, so a word of
-any length is encoded in constant memory. Decoding feeds the tokens' bytes to an
-incremental UTF-8 state machine.
+any length is encoded in constant memory; a word shorter than the lookahead is
+stable only at its end, and what it then emits is remembered. Decoding feeds the
+tokens' bytes to one incremental UTF-8 state machine for the whole text. A text is
+read in blocks; digests take the ids and the decoded text of each block as they
+come, and nothing else of the text is kept.
 
 Defined results: a null text counts as empty; an empty text has no tokens and
 decodes to the empty string; repeated rows each give their own row; a null
-``doc_id`` is carried through; other columns are ignored.
+``doc_id`` is carried through, and ids may be of any type; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import json
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
 
 import pyarrow as pa
 import regex
@@ -29,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Memo, map_batches
+from .common import Memo, map_batches, model
 
 _SHIFT, _NONE = 20, 1 << 60
 #: Bytes handed to the transducer at a time when a word is very long.
 _FEED = 1024
+#: Characters read at a time.
+_SLICE = 1 << 16
 #: Words of up to this many symbols are merged by plain scans.
 _SHORT = 40
 
@@ -61,39 +68,39 @@ class MergeTable:
         self.last = [vocab[c + suffix] for c in chars]
         self.shown = {i: t.encode() for t, i in vocab.items()}
         self.pairs: dict[int, int] = {}
-        made: dict[int, tuple[int, int, int]] = {}
+        made: dict[int, list[tuple[int, int, int]]] = {}
         length = {i: len(t.removesuffix(suffix) if suffix else t) for t, i in vocab.items()}
         cut = len(suffix)
         for rank, (a, b) in enumerate(merges):
             left, right = vocab[a], vocab[b]
             new = vocab[(a[: len(a) - cut] if cut and a.endswith(suffix) else a) + b]
             self.pairs.setdefault(left << _SHIFT | right, rank << _SHIFT | new)
-            made.setdefault(new, (left, right, rank))
+            made.setdefault(new, []).append((left, right, rank))
         self.longest = max(length.values())
         self.lookahead = self._lookahead(made, length)
         to_byte = {c: b for b, c in enumerate(chars)}
         self.token_bytes = {i: bytes(to_byte[c] for c in (t.removesuffix(suffix) if suffix else t)) for t, i in vocab.items() if set(t.removesuffix(suffix) if suffix else t) <= to_byte.keys()}
 
     @staticmethod
-    def _lookahead(made: dict[int, tuple[int, int, int]], length: dict[int, int]) -> int:
+    def _lookahead(made: dict[int, list[tuple[int, int, int]]], length: dict[int, int]) -> int:
         """Longest chain of ever lower-ranked competitors along right edges, in bytes.
 
         Rules are taken in rank order; for the symbols down the right edge of a
         rule's right part, only rules that rank before the edge's own merge can
         take the symbol away, and each reaches as far as its right part plus
-        what can in turn undo it.
+        what can in turn undo it. A symbol that several rules make has as many
+        right edges.
         """
         by_left: dict[int, tuple[list[int], list[int]]] = {}
         most = 0
-        for new, (left, right, rank) in sorted(made.items(), key=lambda x: x[1][2]):
-            reach, at, consumer = 0, right, rank
-            while True:
+        for rank, left, right in sorted((rank, left, right) for rules in made.values() for left, right, rank in rules):
+            reach, edges = 0, [(right, rank)]
+            while edges:
+                at, consumer = edges.pop()
                 ranks, best = by_left.get(at, ((), ()))
                 if (k := bisect_left(ranks, consumer)) > 0:
                     reach = max(reach, best[k - 1])
-                if at not in made:
-                    break
-                _, at, consumer = made[at]
+                edges += [(inner, earlier) for _, inner, earlier in made.get(at, ())]
             reach += length[right]
             ranks, best = by_left.setdefault(left, ([], []))
             ranks.append(rank)
@@ -175,12 +182,16 @@ class Decoder:
     def feed(self, tokens: Iterable[int]) -> str:
         """The text that is complete once these tokens are read."""
         if self.joined:
-            shown = b" ".join(map(self.shown.__getitem__, tokens))
-            shown = b" " + shown if self.begun and shown else shown
-            self.begun = self.begun or bool(shown)
-            return self.state.decode(shown)
+            return self.feed_bytes([self.shown[t] for t in tokens])
         return "".join([self.state.decode(b"", True) + self.special[t] if t in self.special else self.state.decode(self.table.token_bytes[t]) for t in tokens])
 
+    def feed_bytes(self, shown: list[bytes]) -> str:
+        """The same for tokens given as what the vocabulary shows for them, one or several in each item."""
+        if not shown:
+            return ""
+        begun, self.begun = self.begun, True
+        return self.state.decode((b" " if begun else b"") + b" ".join(shown))
+
     def finish(self) -> str:
         self.begun = False
         return self.state.decode(b"", True)
@@ -206,19 +217,23 @@ class WordCodec:
         self.special_ids = {v: k for k, v in self.special.items()}
         self.splitter = regex.compile("(" + "|".join(regex.escape(x) for x in self.special_ids) + ")")
         self.find = regex.compile(WORD_PATTERN).findall
-        self.space = regex.compile(r"\s+").split
+        self.space, self.gap = regex.compile(r"\s+").split, regex.compile(r"\s").search
         self.library = Tokenizer.from_str(spec)
         self.to_byte = {c: b for b, c in enumerate(byte_chars())}
+        self.names = {i: str(i) for i in self.table.shown}
         self.words = Memo(self._word, memo)
         self.chunks = Memo(self._chunk, memo)
-        self.texts = Memo(self._decoded, memo)
 
-    def _word(self, word: str) -> str:
+    def _tokens(self, tokens: Iterable[int]) -> tuple[str, bytes]:
+        tokens = list(tokens)
+        return " ".join(map(self.names.__getitem__, tokens)), b" ".join(map(self.table.shown.__getitem__, tokens))
+
+    def _word(self, word: str) -> tuple[str, bytes]:
         raw, t = word.encode(), self.table
         if len(raw) <= t.lookahead:  # its end comes before anything is stable
             first = t.first
-            return " ".join(map(str, t.merged([*[first[b] for b in raw[:-1]], t.last[raw[-1]]])))
-        return " ".join(map(str, self.stream(raw)))
+            return self._tokens(t.merged([*[first[b] for b in raw[:-1]], t.last[raw[-1]]]))
+        return self._tokens(self.stream(raw))
 
     def stream(self, word: bytes) -> Iterator[int]:
         transducer = WordTransducer(self.table)
@@ -226,63 +241,90 @@ class WordCodec:
             yield from transducer.feed(word[i : i + _FEED])
         yield from transducer.finish()
 
-    def _chunk(self, chunk: str) -> str:
+    def _split(self, chunk: str) -> list[str]:
+        """Words of a text without white space."""
         if max(chunk) > _PLAIN:
             shown = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
-            return " ".join(self.words[bytes(map(self.to_byte.__getitem__, x)).decode()] for x, _ in shown)
+            return [bytes(map(self.to_byte.__getitem__, x)).decode() for x, _ in shown]
         low = unicodedata.normalize("NFC", chunk)
         low = "".join(c.lower() for c in low) if "Σ" in low else low.lower()
-        return " ".join(map(self.words.__getitem__, self.find(low)))
-
-    def pieces(self, text: str) -> Iterator[list[str]]:
-        """Token ids of the text's parts between special tokens, as decimal strings."""
+        return self.find(low)
+
+    def _chunk(self, chunk: str) -> tuple[str, bytes]:
+        words = self._split(chunk)
+        if len(words) == 1:
+            return self.words[words[0]]
+        found = [self.words[w] for w in words]
+        return " ".join([ids for ids, _ in found]), b" ".join([shown for _, shown in found])
+
+    def _chunks(self, text: str) -> Iterator[tuple[list[str], bool]]:
+        """Texts without white space between them, some at a time, and whether one is very long."""
+        at = 0
+        while at < len(text):
+            gap = self.gap(text, at + _SLICE) if len(text) - at > _SLICE else None
+            part = text[at : gap.start() if gap else len(text)]
+            at += len(part)
+            # the file's white space is a little less than Python's
+            chunks = [x for x in self.space(part) if x] if any(c in part for c in _CONTROL) else part.split()
+            yield chunks, len(part) > _SLICE and max(map(len, chunks), default=0) > _SLICE
+
+    def blocks(self, text: str) -> Iterator[tuple[list[str], list[bytes]]]:
+        """Decimal ids, and what the vocabulary shows for them, of the text's parts one after the other."""
         for part in self.splitter.split(text) if "<|" in text else (text,):
             if part in self.special_ids:
-                yield [str(self.special_ids[part])]
+                yield [str(self.special_ids[part])], [part.encode()]
                 continue
-            chunks = part.split()
-            if any(c in part for c in _CONTROL):
-                chunks = [x for x in self.space(part) if x]
-            yield list(map(self.chunks.__getitem__, chunks))
-
-    def encode(self, text: str) -> str:
-        """Decimal ids, joined by one space."""
-        out = " ".join(x for part in self.pieces(text) for x in part)
-        self.trim()
-        return out
-
-    def encoded_and_decoded(self, text: str) -> tuple[str, str]:
-        parts = [x for part in self.pieces(text) for x in part]
-        decoded = " ".join(map(self.texts.__getitem__, parts))
-        self.trim()
-        return " ".join(parts), decoded
+            for chunks, any_long in self._chunks(part):
+                for long, some in groupby(chunks, lambda x: len(x) > _SLICE) if any_long else ((False, chunks),):
+                    if long:
+                        for word in (w for x in some for w in self._split(x)):
+                            yield from self._long(word.encode())
+                    elif found := list(map(self.chunks.__getitem__, some)):
+                        yield [ids for ids, _ in found], [shown for _, shown in found]
+                self.trim()
+
+    def _long(self, word: bytes) -> Iterator[tuple[list[str], list[bytes]]]:
+        stream = self.stream(word)
+        while tokens := list(islice(stream, _FEED)):
+            ids, shown = self._tokens(tokens)
+            yield [ids], [shown]
 
     def trim(self) -> None:
-        for memo in (self.words, self.chunks, self.texts):
+        for memo in (self.words, self.chunks):
             memo.trim()
 
-    def _decoded(self, ids: str) -> str:
-        return self.decode(map(int, ids.split(" ")))
+    def encode(self, text: str) -> str:
+        """Decimal ids, joined by one space."""
+        return " ".join([ids for block, _ in self.blocks(text) for ids in block])
 
     def decode(self, ids: Iterable[int]) -> str:
         machine = Decoder(self.table, self.special, joined=True)
         return machine.feed(ids) + machine.finish()
 
+    def round_trip(self, text: str, keep: list[tuple[str, str]] | None = None) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of them and of the decoded text, in one pass; ``keep`` takes the blocks."""
+        machine, n, of_ids, of_text = Decoder(self.table, self.special, joined=True), 0, hashlib.sha256(), hashlib.sha256()
+
+        def out(ids: str, decoded: str) -> None:
+            of_ids.update(ids.encode())
+            of_text.update(decoded.encode())
+            if keep is not None:
+                keep.append((ids, decoded))
 
-_CODECS: dict[str, WordCodec] = {}
+        for ids, shown in self.blocks(text):
+            block = " ".join(ids)
+            gap, n = " " if n else "", n + block.count(" ") + 1
+            out(gap + block, machine.feed_bytes(shown))
+        out("", machine.finish())
+        return n, of_ids.hexdigest(), of_text.hexdigest()
 
 
 def codec(spec: bytes) -> WordCodec:
-    """One codec for each Python worker and tokenizer file."""
-    key = hashlib.sha256(spec).hexdigest()
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = WordCodec(spec.decode())
-    return _CODECS[key]
+    return model(("bpe", spec), lambda: WordCodec(spec.decode()))
 
 
 def bpe_roundtrip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
-    """Encode and decode every whole text; no shuffle, one pass, memory bounded by the longest text.
+    """Encode and decode every whole text; no shuffle, one pass, and beside the texts themselves memory of one block.
 
     Returns ``id_col, n_tokens, ids_sha256, decoded_sha256`` and, with
     ``texts=True``, ``ids array<int>`` and ``decoded string``. The tokenizer
@@ -295,15 +337,14 @@ def bpe_roundtrip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(spec.value)
         for batch in batches:
-            counts, first, second, ids, decoded = [], [], [], [], []
-            for text in batch.column(1):
-                a, b = c.encoded_and_decoded(text.as_py() or "")
-                counts.append(a.count(" ") + 1 if a else 0)
-                first.append(hashlib.sha256(a.encode()).hexdigest())
-                second.append(hashlib.sha256(b.encode()).hexdigest())
+            made, ids, decoded = [], [], []
+            for text in batch.column(1).to_pylist():
+                keep = [] if texts else None
+                made.append(c.round_trip(text or "", keep))
                 if texts:
-                    ids.append([int(x) for x in a.split(" ")] if a else [])
-                    decoded.append(b)
+                    ids.append([int(x) for block, _ in keep for x in block.split()])
+                    decoded.append("".join([x for _, x in keep]))
+            counts, first, second = zip(*made, strict=True) if made else ((), (), ())
             arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if texts:

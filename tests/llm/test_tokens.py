@@ -66,6 +66,29 @@ def test_round_trip_rows(spark, word):
     assert bpe.bpe_roundtrip(df.limit(0), WORD).count() == 0
 
 
+def test_texts_of_megabytes_in_blocks(spark, word, monkeypatch):
+    monkeypatch.setattr(bpe, "_SLICE", 5000)
+    codec, library = word
+    for text in ["some words, and MORE of them\n" * 3000, "x" * 20_000 + " y " + "don't,stop" * 2000, " " * 12_000 + "end", "<|endoftext|>" * 40 + "a" * 5001, "\x1c" * 6000 + "b"]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        want = len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert codec.round_trip(text) == want
+    monkeypatch.undo()
+    text = "the quick brown fox, 12 jumps\n" * 120_000
+    r = bpe.bpe_roundtrip(spark.createDataFrame([("big", text)], "doc_id string, text string"), WORD).collect()[0]
+    assert r.n_tokens == 120_000 * len(library.encode("the quick brown fox, 12 jumps\n", add_special_tokens=False).ids)
+
+
+def test_lookahead_counts_every_rule_of_a_token():
+    chars = bpe.byte_chars()
+    vocab = {c: i for i, c in enumerate(chars)}
+    for t in ("bc", "cd", "ab", "abc", "bcd"):
+        vocab[t] = len(vocab)
+    few = bpe.MergeTable(vocab | {c + "_": 900 + i for i, c in enumerate(chars)}, [("c", "d"), ("a", "b"), ("ab", "c")], "_")
+    more = bpe.MergeTable(vocab | {c + "_": 900 + i for i, c in enumerate(chars)}, [("c", "d"), ("a", "b"), ("ab", "c"), ("a", "bc")], "_")
+    assert more.lookahead >= few.lookahead
+
+
 def test_query_matches_library_on_whole_documents(spark, data, word):
     from graphloom.llm.queries import QUERIES
 
