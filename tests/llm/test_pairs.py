@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import ann, neardup, njaccard
@@ -92,6 +93,39 @@ def test_jaccard_query(spark, data):
     assert got == brute(docs.doc_id.tolist(), docs.text.tolist(), 3, 90, 100)
 
 
+def test_batches_of_texts_have_the_same_sets_as_single_texts(monkeypatch):
+    """Sets of words by plain splitting stand one to one for sets of hashes, whatever the batch and the chunk."""
+    texts = near_texts() + ["x" * 200 + " y", "x" * 200, "X" * 199, " lead and trail \n", "a\x00b c", "one two three four five six"]
+    for chunk in (1 << 20, 64, 5):
+        monkeypatch.setattr(njaccard, "_CHUNK", chunk)
+        for n in (1, 3, 5):
+            got = [frozenset(h.tolist()) for h in njaccard.Shingler(n).batch(pa.array(texts))]
+            want = [frozenset(x) for x in sets_of(texts, n)]
+            assert [len(g) for g in got] == [len(w) for w in want]
+            assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+            assert [frozenset(h.tolist()) for h in njaccard.Shingler(n).batch(pa.array(texts).slice(7, 9))] == got[7:16]
+    assert njaccard.Shingler(3).batch(pa.array([], pa.string())) == [] and len(njaccard.Shingler(3).batch(pa.array([None], pa.string()))[0]) == 0
+
+
+def test_sets_that_share_half_a_key_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(njaccard, "set_keys", lambda h: (len(h), int(h.sum() >> np.uint64(1)) if len(h) else 0))
+    texts = ["a b c d", "e f g h", "a b c d", "i j k l m", "n o p q r", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in njaccard.ngram_jaccard(df, 3, 90, 100).collect()}
+    assert got == brute(list(range(7)), texts, 3, 90, 100)
+
+
+@pytest.mark.parametrize("part,broadcast", [(8, 1_000_000), (1, 0)])
+def test_columns_in_parts_and_joins_by_shuffle(spark, monkeypatch, part, broadcast):
+    monkeypatch.setattr(njaccard, "PART", part)
+    monkeypatch.setattr(njaccard, "MOST_BROADCAST", broadcast)
+    texts = near_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for n, num in ((5, 80), (1, 50)):
+        got = {(r.doc_id, r.n_shingles, r.component_id) for r in njaccard.ngram_jaccard(df, n, num, 100).collect()}
+        assert got == brute(list(range(len(texts))), texts, n, num, 100)
+
+
 def test_bitmaps_never_exceed_the_difference():
     rng = np.random.default_rng(3)
     for _ in range(200):
