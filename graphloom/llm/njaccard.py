@@ -26,9 +26,10 @@ that share the first half are told apart by the other, so only n-grams of two
 compared documents can be mistaken for each other, once in some 10^13 pairs of
 documents of a thousand words.
 
-Columns that the sketch shows to be very wide are dealt out in salted parts, so
-that no task sorts a column that all documents share; what the parts leave
-unconnected is paired across components like any wide column.
+Columns that the sketch shows to be very wide are dealt out in salted parts, in
+two ways that cross each other, so that no task sorts a column that all
+documents share and the parts still hang together; what they leave unconnected
+is paired across components like any wide column.
 
 Defined results: words are cut at ASCII white space after lower-casing A-Z; a
 document with fewer words than ``n`` has its whole sequence as its one n-gram;
@@ -283,6 +284,12 @@ def _columns(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray, ke
                 rest.append(np.arange(size - 1, size - 1 - some, -1, dtype=np.int32))
                 several = parts[common[first]]
                 part.append(np.where(several > 1, key % several + 1, 0).astype(np.int32))
+                if len(again := np.flatnonzero(several > 1)):  # dealt out a second time, another way, so that the parts hang together
+                    grams.append(h[first[again]])
+                    keys.append(np.full(len(again), key, dtype=np.int64))
+                    sizes.append(np.full(len(again), size, dtype=np.int32))
+                    rest.append(size - 1 - again.astype(np.int32))
+                    part.append(-((key >> 24) % several[again] + 1).astype(np.int32))
             if grams:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([g.view(np.int64) for g in grams], part, keys, sizes, rest)], ["gram", "part", "key", "size", "rest"])
 
@@ -395,12 +402,12 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     partner = lambda x, *more: x.select("gram", F.col("key").alias("key_b"), F.col("size").alias("size_b"), F.col("rest").alias("rest_b"), *more)
     # keys are hashes, so the next rows in their order are random ones; in a narrow column they are all there are
     order = Window.partitionBy("gram", "part").orderBy("key")
-    is_wide = (F.col("width") > NARROW) | (F.col("part") > 0)
+    is_wide = (F.col("width") > NARROW) | (F.col("part") != 0)
     after = F.array_compact(F.array(*[F.lead(F.struct("key", "size", "rest"), k).over(order) for k in range(1, NARROW)]))
     near = columns.withColumn("after", after).select("key", "size", "rest", is_wide.alias("wide"), F.explode("after").alias("n")).select("key", "size", "rest", "wide", F.col("n.key").alias("key_b"), F.col("n.size").alias("size_b"), F.col("n.rest").alias("rest_b"))
     # a pair may be missed in the wide column where it could first be told, so there the sizes alone decide
     near = near.where(_sizes_fit(num, den) & (F.col("wide") | _reach_fits(num, den))).select(a, b)
-    wide = columns.where(is_wide)
+    wide = columns.where(is_wide & (F.col("part") >= 0))
     verify = lambda pairs: _verified(pairs, docs, classes, n, num, den, key_of)
     links = _settle(materialize(_plausible(near, classes, num, den), "plausible"), None, verify)
     label = components(links)
