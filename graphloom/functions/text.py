@@ -7,7 +7,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,6 +113,11 @@ def is_file_node(file: Column, location: Column, label: Column, flag: Column) ->
     return F.coalesce(file.isNotNull() & (file != "") & (location == "L1") & ~is_callable(flag, label) & named, F.lit(False))
 
 
+def label_kind(label: Column) -> Column:
+    """``function`` if the label ends in ``()``, ``file`` if it ends in a suffix, else null."""
+    return F.when(label.endswith("()"), "function").when(label.rlike(r"[^/.]\.[A-Za-z0-9]+$"), "file")
+
+
 def slot_name(branch: Column) -> Column:
     """A name fit for a partition value: other characters become ``-``; a hash tells changed names apart."""
     clean = F.regexp_replace(F.regexp_replace(branch, r"[^A-Za-z0-9._-]", "-"), r"^\.+|\.+$", "")
@@ -159,6 +164,16 @@ def folded(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x).casefold())
 
 
+def with_folded(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with each column folded. Only rows that hold letters beyond ASCII go through Python; for all others folding is ``lower``."""
+    df = df.select("*", *[c.alias(name) for name, c in columns.items()])
+    plain = F.lit(True)
+    for name in columns:
+        plain = plain & F.coalesce(~F.col(name).rlike(r"[^\x00-\x7F]"), F.lit(True))
+    put = lambda rows, f: rows.withColumns({name: f(F.col(name)) for name in columns})
+    return put(df.where(plain), F.lower).unionByName(put(df.where(~plain), folded))
+
+
 def slug_text(text: str) -> str:
     """Case folding and NFKC until nothing changes, then word characters joined by single ``_``."""
     for _ in range(6):
@@ -177,3 +192,9 @@ def slug(text: pd.Series) -> pd.Series:
 def json_cost(text: pd.Series) -> pd.Series:
     """Tokens of a value given as JSON text, as a quarter of its length with the usual separators."""
     return text.map(lambda x: len(json.dumps(json.loads(x))) // 4 if x is not None else None).astype("Int64")
+
+
+@F.pandas_udf(T.DoubleType())
+def rounded(value: pd.Series, digits: pd.Series) -> pd.Series:
+    """Half to even on the exact binary value, as Python rounds."""
+    return pd.Series([None if v is None or v != v else round(v, int(d)) for v, d in zip(value, digits)], dtype="float64")

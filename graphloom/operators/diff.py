@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .edges import finding_key
+
 TOLERANCE = 1e-9
 
 
@@ -14,6 +16,21 @@ def edge_diff(before: DataFrame, after: DataFrame, columns: tuple[str, ...] = ("
     return b.subtract(a).withColumn("change", F.lit("added")).unionByName(a.subtract(b).withColumn("change", F.lit("removed")))
 
 
+def fingerprints(edges: DataFrame, ids: DataFrame, columns: tuple[str, ...] = ("source", "target", "relation", "confidence", "origin")) -> DataFrame:
+    """``id, edges``: the edges of each node as sorted, distinct canonical JSON; an empty list for a node without any."""
+    prints = edges.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("id"), finding_key(*columns).alias("f"))
+    mine = prints.join(ids.distinct(), "id").groupBy("id").agg(F.sort_array(F.collect_set("f")).alias("edges"))
+    return ids.distinct().join(mine, "id", "left").select("id", F.coalesce("edges", F.array().cast("array<string>")).alias("edges"))
+
+
+def fingerprint_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``id, added, removed``, sorted, of the nodes whose fingerprints differ."""
+    j = before.select("id", F.col("edges").alias("a")).join(after.select("id", F.col("edges").alias("b")), "id", "full_outer")
+    none = F.array().cast("array<string>")
+    out = j.select("id", F.array_except(F.coalesce("b", none), F.coalesce("a", none)).alias("added"), F.array_except(F.coalesce("a", none), F.coalesce("b", none)).alias("removed"))
+    return out.where((F.size("added") > 0) | (F.size("removed") > 0))
+
+
 def exit_code(diff: DataFrame) -> int:
     """0 without a difference, 2 with one."""
     return 0 if diff.isEmpty() else 2

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import bare, is_callable, is_test_path, leaf, leaf_any_parens, location_line
+from ..functions.text import bare, is_test_path, leaf, leaf_any_parens, location_line, with_folded
 from ..schema import INJECTABLE_RELATIONS, INJECTED
 from .resolve import resolve
 from .traverse import first_wins
 
 
 def finding_key(*cols: str) -> Column:
-    """Canonical JSON of the columns, in name order, without null fields."""
+    """Canonical JSON of the columns, in name order, without null fields: what a fingerprint consists of."""
     return F.to_json(F.struct(*sorted(cols)))
 
 
@@ -67,10 +67,11 @@ def merge(edges: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def unique_name_links(nodes: DataFrame, strip_dots: bool = False) -> DataFrame:
-    """``test_id, target_id``: a test named after exactly one production callable. ``strip_dots`` also links members."""
+    """``test_id, target_id``: a test named after exactly one labelled node outside the tests, case folded. ``strip_dots`` also links members."""
     name = leaf if strip_dots else bare
-    n = nodes.where(is_callable(F.col("_callable"), F.col("label"))).select("id", F.lower(name(F.col("label"))).alias("name"), is_test_path(F.col("source_file")).alias("is_test"))
-    tests = n.where("is_test").withColumn("target", F.regexp_extract("name", r"^test[_ ]?(.+)$", 1)).where("target <> ''")
+    n = with_folded(nodes.where("id is not null and label <> ''").select("id", "label", is_test_path(F.col("source_file")).alias("is_test")), folded=F.col("label"))
+    n = n.select("id", name(F.col("folded")).alias("name"), "is_test")
+    tests = n.where("is_test").withColumn("target", F.regexp_extract("name", r"(?U)^test[_ ]?(\w+)$", 1)).where("target <> ''")
     single = n.where("not is_test").groupBy(F.col("name").alias("target")).agg(F.count("*").alias("n"), F.min("id").alias("target_id")).where("n = 1")
     return tests.join(single, "target").select(F.col("id").alias("test_id"), "target_id")
 
@@ -115,3 +116,20 @@ def related_tests(nodes: DataFrame, edges: DataFrame, shown: DataFrame, excluded
     ends = e.select(F.col("source").alias("test_id"), F.col("target").alias("touches"), "relation").unionByName(e.select(F.col("target").alias("test_id"), F.col("source").alias("touches"), "relation")).where("test_id <> touches")
     tests = nodes.where(is_test_path(F.col("source_file"))).select(F.col("id").alias("test_id"))
     return ends.join(tests, "test_id", "left_semi").join(shown.select("query_id", F.col("id").alias("touches")), "touches").select("query_id", "test_id", "touches", "relation").distinct()
+
+
+def tests_in_order(tests: DataFrame, seeds: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``related_tests`` with ``rank``: tests of the seed itself first, then ``tests`` edges, then by file and label."""
+    own = seeds.select("query_id", F.col("id").alias("seed"))
+    info = nodes.select(F.col("id").alias("test_id"), F.col("source_file").alias("file"), "label")
+    order = Window.partitionBy("query_id").orderBy(F.col("touches") != F.col("seed"), F.col("relation") != "tests", "file", "label", "touches", "relation")
+    return tests.join(own, "query_id").join(info, "test_id").withColumn("rank", F.row_number().over(order)).drop("seed")
+
+
+def reapply(nodes: DataFrame, edges: DataFrame, defs: DataFrame, findings: DataFrame, stale: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, report) of a rebuilt graph: the supplement first, since findings may name what it adds, then the stored findings."""
+    from . import supplement
+
+    n, e = supplement.apply(nodes, edges, defs, stale)
+    merged, report = merge(e, validated(resolve_findings(findings, n)))
+    return n, merged, report

@@ -56,12 +56,47 @@ def speedup(timings: DataFrame, label: str = "label", seconds: str = "seconds",
     return t.join(F.broadcast(base), how="left").select(label, "best", "middle", (F.col("base") / F.col("best")).alias("ratio"))
 
 
-def funnel(rows: DataFrame, reasons: list[tuple[str, Column]], kept: str = "kept") -> DataFrame:
-    """``reason, n``: each row counts under the first reason that drops it, or as kept."""
+def funnel(rows: DataFrame, reasons: list[tuple[str, Column]], kept: str = "kept", limit: int | None = None, order: str | None = None) -> DataFrame:
+    """``reason, n``: each row counts under the first reason that drops it, or as kept.
+
+    With ``limit``, rows are taken in ``order`` (a unique column) until so many
+    are kept; later ones are not counted.
+    """
     reason = F.lit(kept)
     for name, drops in reversed(reasons):
         reason = F.when(drops, F.lit(name)).otherwise(reason)
-    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    told = rows.withColumn("reason", reason)
+    if limit is not None:
+        first = told.where(F.col("reason") == kept).select(F.col(order).alias("_o")).orderBy("_o").limit(limit)
+        last = first.agg(F.when(F.count("*") == limit, F.max("_o")).alias("_last"))
+        told = told.join(F.broadcast(last), F.col("_last").isNull() | (F.col(order) <= F.col("_last")))
+    return told.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def most_common(rows: DataFrame, key: str, pos: str) -> DataFrame:
+    """``key, n, rank``: the commonest first, of equal counts the one seen first."""
+    counted = rows.groupBy(key).agg(F.count("*").alias("n"), F.min(pos).alias("_first"))
+    return counted.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "_first"))).drop("_first")
+
+
+def sums(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """``tasks`` and the sum of each column: what packs disclose as unresolved, unmodelled or omitted."""
+    return rows.groupBy(*by).agg(F.count("*").alias("tasks"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])
+
+
+def reading_cost(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct ``files`` to open, and total, mean and greatest ``tokens``."""
+    return rows.groupBy(*by).agg(F.countDistinct("file").alias("files"), F.sum("tokens").alias("tokens"), F.avg("tokens").alias("mean_tokens"), F.max("tokens").alias("most_tokens"))
+
+
+def resolve_rates(runs: DataFrame, arm: str = "arm", rep: str = "rep") -> DataFrame:
+    """Runs, resolved, rate, turns, cost and runs without an edit, of each arm (rep null) and of each of its repetitions."""
+    counts = [
+        F.count("*").alias("runs"), F.count_if("resolved").alias("resolved"), F.avg(F.col("resolved").cast("int")).alias("rate"), F.avg("turns").alias("mean_turns"),
+        F.avg("cost").alias("mean_cost"), F.sum("cost").alias("total_cost"), F.count_if(F.coalesce(F.size("edited"), F.lit(0)) == 0).alias("no_edit"),
+    ]
+    each = runs.groupBy(arm, rep).agg(*counts)
+    return each.unionByName(runs.groupBy(arm).agg(*counts).withColumn(rep, F.lit(None).cast(runs.schema[rep].dataType)).select(each.columns))
 
 
 def carry_forward(rows: DataFrame, by: list[str], order: list, value: Column, name: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,23 +55,34 @@ def ranked(rows: DataFrame, order: str = "mention-first") -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*keys)))
 
 
-def greedy_fill(rows: DataFrame, budget: int, key: str = "query_id", rank: str = "rank", cost: str = "cost", always: str | None = None) -> DataFrame:
+def greedy_fill(rows: DataFrame, budget: int | str, key: str = "query_id", rank: str = "rank", cost: str = "cost", always: str | None = None) -> DataFrame:
     """``rows`` with ``taken`` and ``used``: walked in rank order, a row is taken if it still fits; later, smaller ones may fit after one that did not.
 
-    Not a running sum, so the rows of one query are folded in order. A query's
-    rows are bounded by its traversal's ``max_nodes``; queries are independent.
+    Not a running sum: each row's fate depends on those before it. A query's
+    rows lie sorted in one partition and stream past a single number, so memory
+    does not depend on how many they are. ``budget``: a number, or a column of
+    one for each query.
     """
-    held = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(cost).cast("long").alias("c"), (F.col(always) if always else F.lit(False)).alias("a"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<r:int,taken:boolean,used:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = x["a"] | (acc["used"] + x["c"] <= budget)
-        used = acc["used"] + F.when(fits, x["c"]).otherwise(F.lit(0).cast("long"))
-        return F.struct(used.alias("used"), F.concat(acc["out"], F.array(F.struct(x["r"].cast("int").alias("r"), fits.alias("taken"), used.alias("used")))).alias("out"))
-
-    folded = rows.groupBy(key).agg(F.aggregate(held, start, step, lambda a: a["out"]).alias("fold"))
-    flat = folded.select(key, F.inline("fold")).withColumnRenamed("r", rank)
-    return rows.join(flat, [key, rank])
+    own = F.lit(budget) if isinstance(budget, int) else F.col(budget)
+    held = F.col(always) if always else F.lit(False)
+    df = rows.withColumns({"_most": own.cast("long"), "_cost": F.col(cost).cast("long"), "_held": F.coalesce(held, F.lit(False))})
+    kept = rows.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", taken boolean, used long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, used = object(), 0
+        for b in batches:
+            taken, totals = [], []
+            for k, most, c, always_ in zip(b.column(key).to_pylist(), b.column("_most").to_pylist(), b.column("_cost").to_pylist(), b.column("_held").to_pylist(), strict=True):
+                if k != query:
+                    query, used = k, 0
+                fits = always_ or used + c <= most
+                used += c if fits else 0
+                taken.append(fits)
+                totals.append(used)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(taken, pa.bool_()), pa.array(totals, pa.int64())], [*kept, "taken", "used"])
+
+    return df.repartition(key).sortWithinPartitions(key, rank).mapInArrow(run, schema)
 
 
 def two_tier_fill(rows: DataFrame, budget: int, reserve: int, dynamic: bool = True, body_depth: int | None = None) -> DataFrame:
@@ -85,18 +99,9 @@ def two_tier_fill(rows: DataFrame, budget: int, reserve: int, dynamic: bool = Tr
     spent = body.groupBy("query_id").agg(F.max("body_used").alias("spent"))
     waiting = body.where("not taken").select(*rows.columns, F.lit("budget").alias("why")).unionByName(rows.where(deep).select(*rows.columns, F.lit("depth").alias("why")))
     cap = F.greatest(F.lit(reserve), F.lit(budget) - F.coalesce("spent", F.lit(0))) if dynamic and reserve > 0 else F.lit(reserve)
-    # each query has its own cap: what it lacks to the largest one counts as used from the start
     waiting = waiting.join(spent, "query_id", "left").withColumn("cap", cap.cast("long"))
-    held = F.array_sort(F.collect_list(F.struct(F.col("rank").alias("r"), F.col("index_cost").cast("long").alias("c"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, x: Column, most: Column) -> Column:
-        fits = (F.lit(reserve) > 0) & (acc["used"] + x["c"] <= most)
-        return F.struct((acc["used"] + F.when(fits, x["c"]).otherwise(F.lit(0).cast("long"))).alias("used"), F.when(fits, F.concat(acc["out"], F.array(x["r"].cast("int")))).otherwise(acc["out"]).alias("out"))
-
-    grouped = waiting.groupBy("query_id").agg(held.alias("held"), F.max("cap").alias("most"))
-    taken = grouped.select("query_id", F.explode(F.aggregate("held", start, lambda a, x: step(a, x, F.col("most")), lambda a: a["out"])).alias("rank")).withColumn("listed", F.lit(True))
-    rest = waiting.join(taken, ["query_id", "rank"], "left").select(*rows.columns, F.when(F.col("listed"), "index").otherwise("omitted").alias("tier"), F.when(F.col("listed"), F.col("why")).when(F.col("why") == "budget", "budget").otherwise("index_budget").alias("reason"))
+    index = greedy_fill(waiting, "cap", cost="index_cost").withColumn("listed", F.col("taken") & F.lit(reserve > 0))
+    rest = index.select(*rows.columns, F.when(F.col("listed"), "index").otherwise("omitted").alias("tier"), F.when(F.col("listed"), F.col("why")).when(F.col("why") == "budget", "budget").otherwise("index_budget").alias("reason"))
     bodies = body.where("taken").select(*rows.columns, F.lit("body").alias("tier"), F.lit(None).cast("string").alias("reason"))
     return bodies.unionByName(rest).drop("_seed")
 

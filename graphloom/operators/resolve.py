@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import bare, file_and_line, is_callable, is_file_node, leaf, location_line, posix
+from ..functions.text import bare, file_and_line, is_callable, is_file_node, leaf, location_line, posix, with_folded
+from ..plans.lineage import cut
 
-#: Lines a bucket of the interval join spans.
-BUCKET = 64
-#: Queries that a substring search may broadcast.
-MOST_QUERIES = 100_000
+#: Lines a bucket of the interval join spans, and those of the as-of join.
+BUCKET, SPAN = 64, 4096
+#: Search texts that are looked for in every node directly; more are met through trigrams.
+DIRECT = 200
 
 RUNGS = ("id", "location", "label", "qualified_name", "bare", "leaf", "file", "substring")
 
@@ -23,31 +26,39 @@ def locate(findings: DataFrame, nodes: DataFrame, file_lines: DataFrame | None =
     callable above; ``any``: else the last node of any kind above; no row if
     none. With ``file_lines`` (file, line, text): past the file's end there is no
     row, and an unindented, non-blank line that defines nothing belongs to the
-    file's own node. Nodes and findings are merged and sorted within a file, so
-    the work is linear in both.
+    file's own node. Nodes and findings are merged and sorted within spans of
+    lines, so that a very long file is no single task; what an earlier span
+    ends with, one row a span, is carried into the later ones.
     """
     at = nodes.select(
-        posix(F.col("source_file")).alias("file"), location_line(F.col("source_location")).alias("line"), F.struct("id", "node_pos").alias("node"),
+        posix(F.col("source_file")).alias("file"), location_line(F.col("source_location")).alias("line"), F.struct("node_pos", "id").alias("node"),
         is_callable(F.col("_callable"), F.col("label")).alias("calls"), is_file_node(F.col("source_file"), F.col("source_location"), F.col("label"), F.col("_callable")).alias("is_file"),
     ).where("line is not null")
     ask = findings.select("query_id", posix(F.col("file")).alias("file"), "line")
-    merged = ask.select("file", "line", F.lit(1).alias("asks"), "query_id", F.lit(None).cast(at.schema["node"].dataType).alias("node"), F.lit(False).alias("calls")).unionByName(
-        at.where("not is_file").select("file", "line", F.lit(0).alias("asks"), F.lit(None).cast(ask.schema["query_id"].dataType).alias("query_id"), "node", "calls")
+    span = F.floor(F.col("line") / SPAN).alias("span")
+    defined = at.where("not is_file").select("file", "line", span, F.struct("line", "node").alias("any"), F.when(F.col("calls"), F.struct("line", "node")).alias("near"))
+    kind = defined.schema["any"].dataType
+    merged = ask.select("file", "line", span, F.lit(1).alias("asks"), "query_id", F.lit(None).cast(kind).alias("any"), F.lit(None).cast(kind).alias("near")).unionByName(
+        defined.select("file", "line", "span", F.lit(0).alias("asks"), F.lit(None).cast(ask.schema["query_id"].dataType).alias("query_id"), "any", "near")
     )
-    w = Window.partitionBy("file").orderBy("line", "asks", "node.node_pos").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("file", "span").orderBy("line", "asks", "any.node.node_pos").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda c: F.last(c, ignorenulls=True).over(w)
-    found = merged.withColumn("near", last(F.when(F.col("calls"), F.struct("node.id", "line")))).withColumn("any", last(F.when(F.col("asks") == 0, F.col("node.id")))).where("asks = 1")
+    found = merged.withColumn("near", last("near")).withColumn("any", last("any")).where("asks = 1")
+    ends = defined.groupBy("file", "span").agg(F.max("near").alias("near"), F.max("any").alias("any")).unionByName(ask.select("file", span).distinct(), allowMissingColumns=True).groupBy("file", "span").agg(F.max("near").alias("near"), F.max("any").alias("any"))
+    before = Window.partitionBy("file").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("file", "span", F.last("near", ignorenulls=True).over(before).alias("near_before"), F.last("any", ignorenulls=True).over(before).alias("any_before")).where("any_before is not null")
+    found = found.join(carried, ["file", "span"], "left").withColumn("near", F.coalesce("near", "near_before")).withColumn("any", F.coalesce("any", "any_before"))
     if file_lines is None:
         out = found.withColumn("own", F.lit(None).cast("string")).withColumn("inside", F.lit(True)).withColumn("outer", F.lit(False))
     else:
         text = file_lines.select(posix(F.col("file")).alias("file"), "line", "text")
-        ends = text.groupBy("file").agg(F.max("line").alias("last_line"))
+        last_lines = text.groupBy("file").agg(F.max("line").alias("last_line"))
         own = at.where("is_file").groupBy("file").agg(F.min_by("node.id", "node.node_pos").alias("own"))
-        out = found.join(text, ["file", "line"], "left").join(ends, "file", "left").join(own, "file", "left")
+        out = found.join(text, ["file", "line"], "left").join(last_lines, "file", "left").join(own, "file", "left")
         out = out.withColumn("inside", F.coalesce(F.col("line") <= F.col("last_line"), F.lit(True))).withColumn("outer", F.coalesce(F.col("text").rlike(r"^\S"), F.lit(False)))
     exact = F.col("near.line") == F.col("line")
     how = F.when(exact, "exact").when(F.col("outer"), "file").when(F.col("near").isNotNull(), "preceding").otherwise("any")
-    chosen = F.when(exact, F.col("near.id")).when(F.col("outer"), F.col("own")).otherwise(F.coalesce("near.id", "any"))
+    chosen = F.when(exact, F.col("near.node.id")).when(F.col("outer"), F.col("own")).otherwise(F.coalesce("near.node.id", "any.node.id"))
     return out.where("inside").select("query_id", chosen.alias("id"), how.alias("how")).where("id is not null")
 
 
@@ -71,64 +82,80 @@ def insertion_anchor(points: DataFrame, extents: DataFrame) -> DataFrame:
     return here.join(below, ["query_id", "file", "name", "start"]).select("query_id", "name")
 
 
+def _path(path: Column) -> Column:
+    """A path as it is compared: posix, without empty and ``.`` segments and without a slash at its end."""
+    p = F.regexp_replace(F.regexp_replace(posix(path), r"(?<=/)(\./)+|^(\./)+(?=.)", ""), r"/+", "/")
+    return F.when(p == "/", p).otherwise(F.regexp_replace(p, r"/$", ""))
+
+
+def containing(texts: DataFrame, text: str, asked: DataFrame, probe: str) -> DataFrame:
+    """Rows of ``texts`` and of ``asked`` where the column ``text`` contains the column ``probe``.
+
+    Few probes travel as a constant and each row is looked at once, where it
+    lies. Beyond ``DIRECT``, rows meet probes through the grams of three
+    characters that they share (all of a shorter probe), and containment is
+    tested behind that equi-join. There is no nested loop either way.
+    """
+    asked = asked.where(F.col(probe) != "")
+    some = asked.limit(DIRECT + 1).collect()
+    if len(some) <= DIRECT:
+        kind = f"array<{asked.schema.simpleString()}>"
+        each = F.from_json(F.lit(json.dumps([r.asDict(True) for r in some])), kind)
+        return texts.select("*", F.inline(F.filter(each, lambda a: F.contains(F.col(text), a[probe]))))
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substr(F.col(text), i, n)))))
+    met = texts.where(F.col(text) != "").withColumn("_gram", F.explode(grams)).join(asked.withColumn("_gram", F.substring(probe, 1, 3)), "_gram")
+    return met.where(F.contains(F.col(text), F.col(probe))).drop("_gram")
+
+
 def resolve(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """``query_id, id, rung``: the first rung of the ladder with exactly one match; a rung with several falls through.
 
-    Rungs are equi-joins on derived keys; only what none of them decides takes
-    part in the substring rung, whose query side is broadcast while it is small.
+    Case is folded on every rung but the id's. Nodes and queries are spread into
+    one key a rung and meet in one equi-join. A query in the form of a location
+    that is no id is answered from the location alone, or not at all. Only what
+    no rung decides is looked for in the labels.
     """
-    q = queries.select("query_id", "query").withColumn("query", F.trim("query"))
-    n = nodes.select("id", "label", "qualified_name", posix(F.col("source_file")).alias("file"), "source_location", "_callable")
-    first_line = n.where(F.col("source_location") == "L1")
-    names = {
-        "id": n.select("id", F.col("id").alias("key")),
-        "label": n.select("id", F.col("label").alias("key")),
-        "qualified_name": n.select("id", F.col("qualified_name").alias("key")),
-        "bare": n.select("id", bare(F.col("label")).alias("key")),
-        "leaf": n.select("id", leaf(F.col("label")).alias("key")),
-        "file": n.select("id", F.col("file").alias("key")),
-    }
-    keyed = q.withColumn("bare", bare(F.col("query"))).withColumn("leaf", leaf(F.col("query"))).withColumn("file", posix(F.col("query")))
-    tagged = []
-    for k, (rung, table) in enumerate(names.items()):
-        probe = {"bare": "bare", "leaf": "leaf", "file": "file"}.get(rung, "query")
-        hits = keyed.select("query_id", F.col(probe).alias("key")).join(table.where("key is not null and key <> ''"), "key")
-        hits = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-        if rung == "file":  # a file with several nodes means its one node at line 1
-            single = keyed.select("query_id", F.col("file").alias("key")).join(first_line.select("id", F.col("file").alias("key")), "key").groupBy("query_id").agg(F.count("*").alias("n1"), F.min("id").alias("id1"))
-            hits = hits.join(single, "query_id", "left").select("query_id", F.when((F.col("n") > 1) & (F.col("n1") == 1), 1).otherwise(F.col("n")).alias("n"), F.when((F.col("n") > 1) & (F.col("n1") == 1), F.col("id1")).otherwise(F.col("id")).alias("id"))
-        tagged.append(hits.where("n = 1").select("query_id", "id", F.lit(RUNGS.index(rung)).alias("rung")))
-    at = keyed.withColumn("at", file_and_line(F.col("query"))).where("at is not null").select("query_id", "at.file", "at.line")
-    tagged.append(locate(at, nodes).select("query_id", "id", F.lit(1).alias("rung")))
-    exact = tagged[0]
-    for t in tagged[1:]:
-        exact = exact.unionByName(t)
-    exact = exact.groupBy("query_id").agg(F.min_by("id", "rung").alias("id"), F.min("rung").alias("rung"))
-    # a location never falls back to a name that merely contains it
-    open_ = keyed.join(exact, "query_id", "left_anti").join(at.select("query_id"), "query_id", "left_anti").where("query <> ''")
-    loose = n.join(open_, F.lower(n["label"]).contains(F.lower(open_["query"])) | F.lower(n["id"]).contains(F.lower(open_["query"])))
-    loose = loose.groupBy("query_id").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").select("query_id", "id", F.lit(7).alias("rung"))
+    q = with_folded(queries.select("query_id", "query"), q=F.coalesce(F.nullif(F.regexp_replace("query", r"[/\\]+$", ""), F.lit("")), F.col("query")), qpath=_path(F.col("query")))
+    q = cut(q.withColumn("at", file_and_line(F.trim("query"))), "asked")
+    n = with_folded(nodes.select("id", F.coalesce(F.col("source_location") == "L1", F.lit(False)).alias("first"), "label", "qualified_name", "source_file"), l=F.col("label"), qn=F.col("qualified_name"), path=_path(F.col("source_file")))
+    key = lambda rung, c: F.struct(F.lit(RUNGS.index(rung)).alias("rung"), c.alias("key"))
+    spread = lambda df, *keys: F.explode(F.filter(F.array(*keys), lambda k: k["key"].isNotNull() & (k["key"] != ""))).alias("k")
+    ours = n.select("id", "first", spread(n, key("id", F.col("id")), key("label", F.col("l")), key("qualified_name", F.col("qn")), key("bare", bare(F.col("l"))), key("leaf", leaf(F.col("l"))), key("file", F.col("path"))))
+    named = F.col("at").isNull()
+    theirs = q.select("query_id", spread(q, key("id", F.col("query")), *(key(rung, F.when(named, c)) for rung, c in (("label", F.col("q")), ("qualified_name", F.col("q")), ("bare", bare(F.col("q"))), ("leaf", leaf(F.col("q"))), ("file", F.col("qpath"))))))
+    met = ours.select("id", "first", "k.rung", "k.key").join(theirs.select("query_id", "k.rung", "k.key"), ["rung", "key"]).groupBy("query_id", "rung")
+    hits = met.agg(F.count("*").alias("n"), F.min("id").alias("id"), F.count_if("first").alias("n1"), F.min(F.when(F.col("first"), F.col("id"))).alias("id1"))
+    # a file with several nodes means its one node at line 1
+    by_first = (F.col("rung") == RUNGS.index("file")) & (F.col("n") > 1) & (F.col("n1") == 1)
+    one = hits.where((F.col("n") == 1) | by_first).select("query_id", "rung", F.when(by_first, F.col("id1")).otherwise(F.col("id")).alias("id"))
+    at = q.where("at is not null").select("query_id", "at.file", "at.line")
+    one = one.unionByName(locate(at, nodes).select("query_id", F.lit(RUNGS.index("location")).alias("rung"), "id"))
+    exact = cut(one.groupBy("query_id").agg(F.min_by("id", "rung").alias("id"), F.min("rung").alias("rung")), "exact")
+    rest = q.where(named).join(exact, "query_id", "left_anti").select("query_id", "q")
+    loose = containing(n.select("id", "l"), "l", rest, "q").groupBy("query_id").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").select("query_id", "id", F.lit(RUNGS.index("substring")).alias("rung"))
     every = exact.unionByName(loose)
     return every.select("query_id", "id", F.element_at(F.array(*map(F.lit, RUNGS)), F.col("rung") + 1).alias("rung"))
 
 
 def candidates(queries: DataFrame, nodes: DataFrame, limit: int = 25) -> DataFrame:
-    """``query_id, id, match, rank``: the best ``limit`` nodes for a search term, case ignored.
+    """``query_id, id, match, rank``: the best ``limit`` nodes for a search term, case folded.
 
     0 exact id, label, bare, leaf or qualified name; 1 leaf of the qualified
     name; 2 part of label or qualified name; 3 part of id or path. Callables
     come first within a rank, then ids ascend.
     """
-    t = queries.select("query_id", F.lower(F.trim("query")).alias("q")).where("q <> ''")
-    n = nodes.select("id", "label", "qualified_name", "source_file", "_callable")
-    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    exact = low(F.col("id")).eqNullSafe(F.col("q")) | (low(F.col("label")) == F.col("q")) | (low(bare(F.col("label"))) == F.col("q")) | (low(leaf(F.col("label"))) == F.col("q")) | (low(F.col("qualified_name")) == F.col("q"))
-    rank = (
-        F.when(exact, 0).when(F.substring_index(low(F.col("qualified_name")), ".", -1) == F.col("q"), 1)
-        .when(low(F.col("label")).contains(F.col("q")) | low(F.col("qualified_name")).contains(F.col("q")), 2)
-        .when(low(F.col("id")).contains(F.col("q")) | low(posix(F.col("source_file"))).contains(F.col("q")), 3)
+    t = with_folded(queries.select("query_id", "query"), q=F.trim("query")).where("q <> ''")
+    # whatever matches holds the term's leaf somewhere
+    t = cut(t.withColumn("probe", F.when(leaf(F.col("q")) != "", leaf(F.col("q"))).otherwise(F.col("q"))), "asked")
+    n = nodes.select("id", "label", F.col("_callable").alias("flag"), F.coalesce("qualified_name", F.lit("")).alias("qualified_name"), F.coalesce("source_file", F.lit("")).alias("source_file"))
+    n = with_folded(n, l=F.coalesce("label", F.lit("")), qn=F.col("qualified_name"), path=F.col("source_file"), low=F.col("id")).withColumn("all", F.concat_ws("\n", "l", "qn", "low", "path"))
+    met = containing(n, "all", t, "probe")
+    q, label, qual = F.col("q"), F.col("l"), F.col("qn")
+    exact = (label == q) | (bare(label) == bare(q)) | (leaf(label) == leaf(q)) | ((qual != "") & (qual == q)) | (F.col("id") == F.col("query"))
+    match = (
+        F.when(exact, 0).when((qual != "") & (F.substring_index(qual, ".", -1) == leaf(q)), 1).when(F.contains(label, q) | F.contains(qual, q), 2)
+        .when(F.contains(F.col("low"), q) | F.contains(F.col("path"), q), 3)
     )
-    part = F.lower(F.concat_ws("\n", "id", "label", "qualified_name", posix(F.col("source_file"))))
-    met = n.join(t, part.contains(F.col("q"))).withColumn("match", rank).where("match is not null")
-    order = Window.partitionBy("query_id").orderBy("match", (~is_callable(F.col("_callable"), F.col("label"))).cast("int"), "id")
+    met = met.withColumn("match", match).where("match is not null")
+    order = Window.partitionBy("query_id").orderBy("match", (~is_callable(F.col("flag"), label)).cast("int"), "id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "id", "match", "rank")

@@ -46,15 +46,27 @@ def seed_slot(spark: SparkSession, path: str, active: str, new: str) -> None:
     write_slot(read_slot(spark, path, active), path, new)
 
 
-def refresh(known: DataFrame, manifest: DataFrame, files: DataFrame, extract) -> tuple[DataFrame, DataFrame]:
+def refresh(known: DataFrame, manifest: DataFrame, files: DataFrame, extract, now: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, report): rows of files that did not change are kept, changed and new ones are extracted again.
 
     ``known`` has a ``path`` column; ``extract`` takes files (path, text, md5) and
-    returns rows like ``known``. Deleted files lose their rows.
+    returns rows like ``known``. Deleted files lose their rows. ``still_stale``
+    tells the files that changed once more meanwhile, by their hashes in ``now``
+    (path, md5), or that gave no rows though they should have.
     """
     changed = stale(manifest, files)
     added = files.join(manifest.select("path"), "path", "left_anti").select("path", F.lit("added").alias("reason"))
     todo = changed.unionByName(added)
     again = files.join(todo.select("path"), "path", "left_semi")
     rows = known.join(todo.select("path"), "path", "left_anti").unionByName(extract(again))
-    return rows, todo
+    if now is None:
+        return rows, todo.withColumn("still_stale", F.lit(False))
+    seen = files.select("path", "md5").join(todo.select("path"), "path", "left_semi")
+    moved = stale(seen, now).select("path", F.lit(True).alias("moved"))
+    return rows, todo.join(moved, "path", "left").select("path", "reason", F.coalesce("moved", F.lit(False)).alias("still_stale"))
+
+
+def render_refresh(report: DataFrame) -> DataFrame:
+    """``text``: a refresh in one line a file, by reason and path."""
+    line = F.concat(F.col("reason"), F.lit(" "), F.col("path"), F.when(F.col("still_stale"), " (still stale)").otherwise(""))
+    return report.agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))

@@ -1,8 +1,11 @@
 """Bounded traversal, closures and inheritance.
 
 All functions take several seeds at once, told apart by ``query_id``, and run one
-equi-join a hop. Up to ``LAZY_HOPS`` hops stay one plan that Catalyst
-optimises; deeper walks cut lineage each hop.
+equi-join a hop: the frontier meets the edges first, and only what it finds is
+held against the nodes. Each hop is written to the shared folder, which cuts
+lineage and gives the planner the frontier's true size: a small one is broadcast
+to where the edges lie, so that neither edges nor nodes are shuffled for it, a
+large one is joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -15,11 +18,8 @@ from ..functions.text import bare
 from ..plans.lineage import cut
 from ..schema import INHERIT_RELATIONS, MEMBER_RELATIONS, TAINT_RELATIONS, TRAVERSAL_RELATIONS
 
-LAZY_HOPS = 3
-
-
-def adjacency(nodes: DataFrame, edges: DataFrame, direction: str, relations: tuple[str, ...]) -> DataFrame:
-    """``id, to, turn, edge_pos``: edges to follow from a node, in-edges (turn 0) before out-edges (turn 1); ends that are no nodes are dropped."""
+def adjacency(edges: DataFrame, direction: str, relations: tuple[str, ...]) -> DataFrame:
+    """``id, to, turn, edge_pos``: edges to follow from a node, in-edges (turn 0) before out-edges (turn 1)."""
     if direction not in ("up", "down", "both"):
         raise ValueError(f"direction must be up, down or both, not {direction!r}")
     kept = edges.where(F.col("relation").isin(*relations))
@@ -28,8 +28,12 @@ def adjacency(nodes: DataFrame, edges: DataFrame, direction: str, relations: tup
         turns.append(kept.select(F.col("target").alias("id"), F.col("source").alias("to"), F.lit(0).alias("turn"), "edge_pos"))
     if direction in ("down", "both"):
         turns.append(kept.select(F.col("source").alias("id"), F.col("target").alias("to"), F.lit(1).alias("turn"), "edge_pos"))
-    both = turns[0] if len(turns) == 1 else turns[0].unionByName(turns[1])
-    return both.join(nodes.select(F.col("id").alias("to")).distinct(), "to", "left_semi")
+    return turns[0] if len(turns) == 1 else turns[0].unionByName(turns[1])
+
+
+def existing(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Distinct rows of ``found`` whose ``id`` is a node. ``found`` is the side that may be broadcast."""
+    return nodes.select("id").join(found, "id").select(found.columns).distinct()
 
 
 def seeded(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, members: bool = True) -> DataFrame:
@@ -38,32 +42,32 @@ def seeded(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, members: bool =
     if not members:
         return own.distinct()
     owned = edges.where(F.col("relation").isin(*MEMBER_RELATIONS)).select(F.col("source").alias("id"), F.col("target").alias("to"))
-    found = own.join(owned, "id").select("query_id", F.col("to").alias("id")).join(nodes.select("id"), "id", "left_semi").select("query_id", "id")
-    return own.unionByName(found).distinct()
+    found = cut(own.join(owned, "id").select("query_id", F.col("to").alias("id")).distinct(), "members")
+    return own.unionByName(existing(nodes, found)).distinct()
 
 
 def radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2, direction: str = "up", relations: tuple[str, ...] = TRAVERSAL_RELATIONS, max_nodes: int | None = None, members: bool = True) -> DataFrame:
-    """``query_id, id, depth, truncated``: breadth-first reach of each seed within ``depth`` hops.
+    """``query_id, id, depth, truncated``: breadth-first reach of each seed within ``depth`` hops; ends of edges that are no nodes are dropped.
 
     ``max_nodes`` bounds the nodes of a query in the order a queue would find
     them: by the parent's place, in-edges first, then the edges' order. Seeds
     and their members are exempt but count. A query whose seed is no node
-    raises KeyError.
+    raises KeyError. The result may be put in ``ordered`` for display.
     """
-    known = seeds.join(nodes.select("id"), "id", "left_anti").select("id").limit(5).collect()
-    if known:
-        raise KeyError(f"no such nodes: {[r.id for r in known]}")
-    adj = adjacency(nodes, edges, direction, relations)
-    first = seeded(nodes, edges, seeds, members)
+    adj = adjacency(edges, direction, relations)
+    asked = cut(seeds.select("id").distinct(), "asked")
+    unknown = asked.join(cut(existing(nodes, asked), "known"), "id", "left_anti").limit(5).collect()
+    if unknown:
+        raise KeyError(f"no such nodes: {[r.id for r in unknown]}")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("id")).cast("long") if max_nodes else F.lit(0).cast("long")
-    seen = first.withColumn("depth", F.lit(0)).withColumn("place", place)
+    seen = cut(seeded(nodes, edges, seeds, members).withColumn("depth", F.lit(0)).withColumn("place", place), "hop")
     dropped: DataFrame | None = None
     frontier = seen
     for hop in range(1, depth + 1):
         step = frontier.select("query_id", "id", "place").join(adj, "id")
-        order = F.min(F.struct("place", "turn", "edge_pos")) if max_nodes else F.lit(None)
-        found = step.groupBy("query_id", F.col("to").alias("id")).agg(order.alias("order")) if max_nodes else step.select("query_id", F.col("to").alias("id")).distinct()
-        found = found.join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        order = [F.min(F.struct("place", "turn", "edge_pos")).alias("order")] if max_nodes else []
+        found = step.groupBy("query_id", F.col("to").alias("id")).agg(*order) if order else step.select("query_id", F.col("to").alias("id")).distinct()
+        found = existing(nodes, cut(found.join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti"), "found"))
         if max_nodes:
             so_far = seen.groupBy("query_id").agg(F.count("*").alias("so_far"))
             ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("order", "id"))).join(so_far, "query_id").withColumn("place", F.col("so_far") + F.col("rank")).withColumn("depth", F.lit(hop))
@@ -72,10 +76,8 @@ def radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2,
             dropped = over if dropped is None else dropped.union(over)
             frontier = ranked.where(F.col("place") <= max_nodes)
         else:
-            frontier = found.withColumn("depth", F.lit(hop)).withColumn("place", F.lit(0).cast("long"))
-            if depth > LAZY_HOPS:
-                frontier = cut(frontier, "hop")
-        if (max_nodes or depth > LAZY_HOPS) and frontier.isEmpty():
+            frontier = cut(found.withColumn("depth", F.lit(hop)).withColumn("place", F.lit(0).cast("long")), "hop")
+        if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier.select(seen.columns))
     out = seen.select("query_id", "id", "depth")
@@ -84,6 +86,11 @@ def radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2,
     return out.join(dropped.distinct().withColumn("cut", F.lit(True)), "query_id", "left").select("query_id", "id", "depth", F.coalesce("cut", F.lit(False)).alias("truncated"))
 
 
+def ordered(reach: DataFrame) -> DataFrame:
+    """A radius as it is shown: with ``pos`` from 1 within its query, by depth and then id."""
+    return reach.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("depth", "id")))
+
+
 def first_wins(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """One row a key, the first in ``order``."""
     return df.withColumn("_first", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_first = 1").drop("_first")
@@ -146,3 +153,13 @@ def shortest_depth(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, limit:
 def degree(edges: DataFrame) -> DataFrame:
     """``id, degree``: both ends of every edge; a self-loop counts twice."""
     return edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+
+
+def relation_set(*groups: tuple[str, ...]) -> tuple[str, ...]:
+    """The relations of several sets, each once, in the order they are first named."""
+    return tuple(dict.fromkeys(r for g in groups for r in g))
+
+
+def is_subset(part: DataFrame, whole: DataFrame, keys: tuple[str, ...] = ("query_id", "id")) -> bool:
+    """Whether a narrowed reach lies inside another."""
+    return part.select(*keys).join(whole.select(*keys), list(keys), "left_anti").isEmpty()

@@ -39,3 +39,13 @@ def triage(report: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2
     for p in parts:
         out = out.join(p, "query_id", "left")
     return out
+
+
+def summarize(rows: DataFrame) -> DataFrame:
+    """``query_id, text``: one line a finding, as it is shown."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    found = F.format_string(
+        "- %s: %s [radius: %d nodes/%d edges%s; taint-exposed: %d; %s; overrides: %d; config deps: %d]", F.col("query_id"), F.col("seed"), F.coalesce("n_nodes", F.lit(0)), F.coalesce("n_edges", F.lit(0)),
+        F.when(F.col("truncated"), ", TRUNCATED").otherwise(""), size("exposed"), F.when(size("covered_by") > 0, "covered").otherwise("NO TEST COVERAGE"), size("overrides"), size("config"),
+    )
+    return rows.select("query_id", F.when(F.col("seed").isNull(), F.format_string("- %s: UNRESOLVED", F.col("query_id"))).otherwise(found).alias("text"))

@@ -46,7 +46,8 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
+    """``distinct=False`` leaves repeated edges in and needs no shuffle."""
     t = lambda name: table(spark, sf_dir, name)
     i = lambda p, c: F.concat(F.lit(f"{p}:"), F.col(c).cast("string"))
 
@@ -55,6 +56,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     n, c, o = t("nation"), t("customer"), t("orders")
     lines = t("lineitem")
+    pairs = lambda *c: lines.select(*c).distinct() if distinct else lines.select(*c)
     parts = [
         edge(n, i("R", "n_regionkey"), "contains", i("N", "n_nationkey")),
         edge(n, i("N", "n_nationkey"), "inherits", i("R", "n_regionkey")),
@@ -62,8 +64,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         edge(t("supplier"), i("N", "s_nationkey"), "method", i("S", "s_suppkey")),
         edge(o, i("C", "o_custkey"), "calls", i("O", "o_orderkey")),
         edge(o.where("o_orderstatus = 'F'"), i("C", "o_custkey"), "taints", i("O", "o_orderkey"), "EXTERNAL"),
-        edge(lines.select("l_orderkey", "l_partkey").distinct(), i("O", "l_orderkey"), "references", i("P", "l_partkey")),
-        edge(lines.select("l_suppkey", "l_partkey").distinct(), i("S", "l_suppkey"), "uses", i("P", "l_partkey"), "INFERRED"),
+        edge(pairs("l_orderkey", "l_partkey"), i("O", "l_orderkey"), "references", i("P", "l_partkey")),
+        edge(pairs("l_suppkey", "l_partkey"), i("S", "l_suppkey"), "uses", i("P", "l_partkey"), "INFERRED"),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -41,8 +41,9 @@ def _case(table_: dict, key: str, other) -> str:
     return f"case {key} " + " ".join(f"when '{k}' then {v}" for k, v in table_.items()) + f" else {other} end"
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return projection.nodes(spark, sf_dir), projection.edges(spark, sf_dir)
+def _graph(spark: SparkSession, sf_dir: str, distinct: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Walks and closures keep the first of equal edges by themselves, so they may take them as they come."""
+    return projection.nodes(spark, sf_dir), projection.edges(spark, sf_dir, distinct)
 
 
 def _seeds(spark: SparkSession, *ids: str) -> DataFrame:
@@ -68,7 +69,7 @@ def _reach_sql(ids: tuple[str, ...], depth: int, direction: str, members: bool =
 
 def _reach_query(name: str, ids: tuple[str, ...], depth: int, direction: str, members: bool = False) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        n, e = _graph(spark, sf_dir)
+        n, e = _graph(spark, sf_dir, distinct=False)
         return traverse.radius(n, e, _seeds(spark, *ids), depth, direction, members=members).drop("truncated")
 
     run.__name__ = name
@@ -87,7 +88,7 @@ _reach_query("blast_member_seed", ("N:3", "R:1"), 1, "down", members=True)
 select query_id, source, target, relation, confidence from pairs qualify row_number() over (partition by query_id, source, target, relation order by edge_pos) = 1""", graph=True, recursive=True)
 def blast_closure_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every edge, of any relation, between nodes of a radius."""
-    n, e = _graph(spark, sf_dir)
+    n, e = _graph(spark, sf_dir, distinct=False)
     return traverse.closure_edges(e, traverse.radius(n, e, _seeds(spark, "P:1"), 2, "up", members=False)).select("query_id", "source", "target", "relation", "confidence")
 
 
@@ -96,7 +97,7 @@ def blast_closure_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 select query_id, source as id from t union select query_id, target from t""", graph=True, recursive=True)
 def taint_exposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that a taint edge of the radius touches."""
-    n, e = _graph(spark, sf_dir)
+    n, e = _graph(spark, sf_dir, distinct=False)
     return traverse.taint_exposed(traverse.closure_edges(e, traverse.radius(n, e, _seeds(spark, "P:1", "P:2"), 2, "up", members=False)))[1]
 
 
@@ -109,7 +110,7 @@ every as (select 'P:1' as id, 0 as depth union all select id, 1 from kept1 union
 select 'P:1' as query_id, id, depth::int as depth, ((select count(*) from one) > 29 or (select count(*) from two) + 1 + (select count(*) from kept1) > 30) as truncated from every""", graph=True)
 def blast_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A radius cut off at 30 nodes in discovery order."""
-    n, e = _graph(spark, sf_dir)
+    n, e = _graph(spark, sf_dir, distinct=False)
     return traverse.radius(n, e, _seeds(spark, "P:1"), 2, "up", max_nodes=30, members=False)
 
 
@@ -147,7 +148,7 @@ select distinct query_id, source as id, 'caller' as role, relation from kept joi
 union select distinct query_id, target, 'callee', relation from kept join s on source = query_id where source <> target""", graph=True)
 def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direct callers and callees."""
-    n, e = _graph(spark, sf_dir)
+    n, e = _graph(spark, sf_dir, distinct=False)
     return traverse.neighbours(n, e, _seeds(spark, "O:7", "P:3"))
 
 
@@ -155,7 +156,7 @@ def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 select p.query_id, p.id, p.target, r.depth from pairs p left join reach r on r.query_id = p.query_id and r.id = p.target""", graph=True, recursive=True)
 def shortest_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hops between pairs, direction ignored."""
-    n, e = _graph(spark, sf_dir)
+    n, e = _graph(spark, sf_dir, distinct=False)
     pairs = spark.createDataFrame([("O:7", "O:7", t) for t in ("P:3", "S:1", "R:1")], "query_id string, id string, target string")
     return traverse.shortest_depth(n, e, pairs)
 
@@ -165,68 +166,125 @@ def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.degree(projection.edges(spark, sf_dir))
 
 
-@query(f"select relation, count(*)::bigint as n, relation in {_in(TRAVERSAL_RELATIONS)} as followed from edges group by relation", graph=True)
+@query(f"select relation, count(*)::bigint as n, row_number() over (order by count(*) desc, min(edge_pos))::int as rank, relation in {_in(TRAVERSAL_RELATIONS)} as followed from edges group by relation", graph=True)
 def relation_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of each relation and whether a walk follows it by default."""
+    """Edges of each relation, commonest first, and whether a walk follows it by default."""
     e = projection.edges(spark, sf_dir)
-    return e.groupBy("relation").agg(F.count("*").alias("n")).withColumn("followed", F.col("relation").isin(*TRAVERSAL_RELATIONS)).orderBy(F.desc("n"), "relation")
-
-
-@query("""with low as (select 'S:' || s_suppkey as query_id from supplier order by s_acctbal, s_suppkey limit 5), used as (select distinct query_id, target as id from low join edges on source = query_id and relation = 'uses')
-select l.query_id, n.label, n.source_file as file, (select count(*) from used u where u.query_id = l.query_id)::bigint as n_uses,
-  (select count(distinct e.source) from used u join edges e on e.target = u.id and e.relation in ('references', 'uses') where u.query_id = l.query_id and e.source <> l.query_id)::bigint as n_exposed,
-  (select count(distinct t.source) from used u join edges e on e.target = u.id and e.relation = 'references' join edges t on t.target = e.source and t.relation = 'taints' where u.query_id = l.query_id)::bigint as n_tainting
-from low l join nodes n on n.id = l.query_id""", graph=True)
+    return evaluate.most_common(e, "relation", "edge_pos").withColumn("followed", F.col("relation").isin(*TRAVERSAL_RELATIONS))
+
+
+@query(_reach_sql(("P:1", "O:7"), 2, "up") + " select query_id, id, row_number() over (partition by query_id order by depth, id)::int as pos from reach", graph=True, recursive=True)
+def blast_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A radius in the order it is shown in: by depth, then id."""
+    n, e = _graph(spark, sf_dir, distinct=False)
+    return traverse.ordered(traverse.radius(n, e, _seeds(spark, "P:1", "O:7"), 2, "up", members=False)).select("query_id", "id", "pos")
+
+
+def _extra_edges(spark: SparkSession, sf_dir: str, e: DataFrame) -> DataFrame:
+    """The projection's edges, and tests and configuration that no star schema has: test customers test the part of their number, parts read a region."""
+    i = lambda p, c: F.concat(F.lit(f"{p}:"), c.cast("string"))
+    make = lambda df, s, r, t: df.select(s.alias("source"), t.alias("target"), F.lit(r).alias("relation"), F.lit("INFERRED").alias("confidence")).withColumn("edge_pos", F.concat_ws("|", "relation", "source", "target"))
+    tests = make(table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'"), i("C", F.col("c_custkey")), "tests", i("P", F.col("c_custkey")))
+    config = make(table(spark, sf_dir, "part"), i("P", F.col("p_partkey")), "reads_config", i("R", F.col("p_partkey") % 5))
+    return e.unionByName(tests).unionByName(config)
+
+
+_TRIAGE_SQL = f"""with low as (select s_suppkey, s_name from supplier order by s_acctbal, s_suppkey limit 5),
+report as (select 'V' || s_suppkey as query_id, s_name as description, 'P:' || (select min(l_partkey) from lineitem where l_suppkey = s_suppkey) as seed from low
+  union all select 'L1', 'in a file', (select id from nodes where source_file = 'nation_3' and line <= 25 order by line desc limit 1) union all select 'X1', 'nowhere', null),
+e2 as (select source, target, relation from edges union all select 'C:' || c_custkey, 'P:' || c_custkey, 'tests' from customer where c_mktsegment = 'BUILDING' union all select 'P:' || p_partkey, 'R:' || (p_partkey % 5), 'reads_config' from part),
+adj as (select target as id, source as next from e2 where relation in {_in(TRAVERSAL_RELATIONS)}),
+walk(query_id, id, depth) as (select query_id, seed, 0 from report where seed is not null union select w.query_id, a.next, w.depth + 1 from walk w join adj a using (id) where w.depth < 2),
+reach as (select distinct query_id, id from walk),
+closure as (select distinct r1.query_id, e.source, e.target, e.relation from e2 e join reach r1 on e.source = r1.id join reach r2 on e.target = r2.id and r1.query_id = r2.query_id),
+taints as (select * from closure where relation in {_in(TAINT_RELATIONS)}), exposed as (select query_id, source as id from taints union select query_id, target from taints)
+select r.query_id, r.description, r.seed, (select count(*) from reach x where x.query_id = r.query_id and r.seed is not null)::bigint as n_nodes, (select count(*) from closure x where x.query_id = r.query_id)::bigint as n_edges,
+  (select count(distinct source) from e2 where target = r.seed and relation in {_in(TRAVERSAL_RELATIONS)})::bigint as n_callers, (select count(distinct target) from e2 where source = r.seed and relation in {_in(TRAVERSAL_RELATIONS)})::bigint as n_callees,
+  (select count(*) from exposed x where x.query_id = r.query_id)::bigint as n_exposed, exists (select 1 from e2 where target = r.seed and relation = 'tests') as covered,
+  coalesce((select string_agg(distinct target, ',' order by target) from e2 where source = r.seed and relation = 'reads_config'), '') as config
+from report r"""
+
+
+@query(_TRIAGE_SQL, graph=True, recursive=True)
 def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The suppliers with the lowest balance: what they use, what else depends on it, and whose taint reaches it. All seeds in one traversal."""
-    n, e = _graph(spark, sf_dir)
-    low = table(spark, sf_dir, "supplier").orderBy("s_acctbal", "s_suppkey").limit(5).select(F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("query_id"))
-    used = low.join(e.where("relation = 'uses'"), F.col("source") == F.col("query_id")).select("query_id", F.col("target").alias("id")).distinct()
-    up = used.join(e.where("relation in ('references', 'uses')").select(F.col("target").alias("id"), "source", "relation"), "id").where("source <> query_id")
-    taints = up.where("relation = 'references'").join(e.where("relation = 'taints'").select(F.col("target").alias("source"), F.col("source").alias("by")), "source")
-    counts = [
-        used.groupBy("query_id").agg(F.count("*").alias("n_uses")), up.groupBy("query_id").agg(F.countDistinct("source").alias("n_exposed")), taints.groupBy("query_id").agg(F.countDistinct("by").alias("n_tainting")),
-    ]
-    out = low.join(n.select(F.col("id").alias("query_id"), "label", F.col("source_file").alias("file")), "query_id")
-    for c in counts:
-        out = out.join(c, "query_id", "left")
-    return out.na.fill(0, ["n_uses", "n_exposed", "n_tainting"]).select("query_id", "label", "file", "n_uses", "n_exposed", "n_tainting")
+    """Triage of a report: the first part of each of the suppliers with the lowest balance, a place in a file, and one that is nowhere. One traversal for all."""
+    from .operators import triage as T
+
+    n, e = _graph(spark, sf_dir, distinct=False)
+    n = n.withColumn("source_file", F.concat("source_file", F.lit(".py")))
+    low = table(spark, sf_dir, "supplier").orderBy("s_acctbal", "s_suppkey").limit(5).select("s_suppkey", "s_name")
+    first = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.min("l_partkey").alias("p"))
+    none = lambda t: F.lit(None).cast(t)
+    found = low.join(first, low["s_suppkey"] == first["l_suppkey"]).select(F.concat(F.lit("V"), F.col("s_suppkey").cast("string")).alias("query_id"), F.col("s_name").alias("description"), none("string").alias("file"), none("int").alias("line"), F.concat(F.lit("P:"), F.col("p").cast("string")).alias("function"))
+    placed = spark.createDataFrame([("L1", "in a file", "nation_3.py", 25, None), ("X1", "nowhere", "nation_99.py", 3, None)], found.schema)
+    out = T.triage(found.unionByName(placed), n, _extra_edges(spark, sf_dir, e), max_nodes=None)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return out.select(
+        "query_id", "description", "seed", F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"), size("callers").alias("n_callers"), size("callees").alias("n_callees"),
+        size("exposed").alias("n_exposed"), (size("covered_by") > 0).alias("covered"), F.coalesce(F.array_join("config", ","), F.lit("")).alias("config"),
+    )
 
 
 # --- resolution ----------------------------------------------------------------
 
-#: Fixed values of the resolution queries.
-_ASKED = ("N:3", "Customer#000000017()", "Customer#000000018", ".Supplier#000000003()", "nation_3:L25", "red widget", "EUROPE", "no such thing", "order_77()", "er#000000042", "nation_5:11")
+#: Fixed values of the resolution queries: other cases than the graph's, locations that parse, names with several meanings.
+_ASKED = ("N:3", "n:3", "CUSTOMER#000000017()", "customer#000000018", ".SUPPLIER#000000003()", "nation_3.py:L25", "nation_3.py:17", "tests/nation_5.py:11", "nation_99.py:3", "red widget", "europe", "no such thing", "ORDER_77/", "ER#000000042", "dER_77()", "./nation_5.PY")
+_BARE, _LEAF = "regexp_replace({}, '\\(\\)$', '')", "regexp_replace(regexp_replace({}, '\\(\\)$', ''), '^\\.+', '')"
 
 
-@query(f"""with asked(query_id) as (values {", ".join(f"('{a}')" for a in _ASKED)}),
+@query(f"""with ask as (select query_id, lower(regexp_replace(query_id, '/+$', '')) as q, regexp_matches(query_id, '^[^:]+[.][A-Za-z0-9_]+:L?[0-9]+$') as placed from (values {", ".join(f"('{a}')" for a in _ASKED)}) t(query_id)),
+n as (select id, lower(label) as label, lower(source_file) || '.py' as path, source_file || '.py' as file, line from nodes),
 hits as (
-  select query_id, 0 as rung, id from asked join nodes on id = query_id
-  union all select query_id, 2, id from asked join nodes on label = query_id
-  union all select query_id, 4, id from asked join nodes on regexp_replace(label, '\\(\\)$', '') = regexp_replace(query_id, '\\(\\)$', '')
-  union all select query_id, 5, id from asked join nodes on regexp_replace(regexp_replace(label, '\\(\\)$', ''), '^\\.+', '') = regexp_replace(regexp_replace(query_id, '\\(\\)$', ''), '^\\.+', '')
-  union all select query_id, 6, id from asked join nodes on source_file = query_id),
-one as (select query_id, rung, min(id) as id from hits group by query_id, rung having count(*) = 1),
+  select query_id, 0 as rung, id from ask join n on id = query_id
+  union all select query_id, 2, id from ask join n on label = q where not placed
+  union all select query_id, 4, id from ask join n on {_BARE.format('label')} = {_BARE.format('q')} where not placed
+  union all select query_id, 5, id from ask join n on {_LEAF.format('label')} = {_LEAF.format('q')} where not placed
+  union all select query_id, 6, id from ask join n on path = regexp_replace(q, '^[.]/', '') where not placed),
+one as (select query_id, rung, min(id) as id from hits group by query_id, rung having count(*) = 1
+  union all select query_id, 1, max_by(id, line) from ask join n on file = regexp_extract(query_id, '^(.*):L?[0-9]+$', 1) and line <= regexp_extract(query_id, '([0-9]+)$', 1)::int where placed group by query_id),
 best as (select query_id, min(rung) as rung, arg_min(id, rung) as id from one group by query_id),
-loose as (select query_id, 7 as rung, min(id) as id from asked join nodes on contains(lower(label), lower(query_id)) or contains(lower(id), lower(query_id)) where query_id not in (select query_id from best) group by query_id having count(*) = 1)
-select query_id, id, case rung when 0 then 'id' when 2 then 'label' when 4 then 'bare' when 5 then 'leaf' when 6 then 'file' else 'substring' end as rung from (select query_id, rung, id from best union all select query_id, rung, id from loose)""", graph=True)
+loose as (select query_id, 7 as rung, min(id) as id from ask join n on contains(label, q) where not placed and query_id not in (select query_id from best) group by query_id having count(*) = 1)
+select query_id, id, case rung when 0 then 'id' when 1 then 'location' when 2 then 'label' when 4 then 'bare' when 5 then 'leaf' when 6 then 'file' else 'substring' end as rung from (select query_id, rung, id from best union all select query_id, rung, id from loose)""", graph=True)
 def resolve_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rung of the ladder that names exactly one node."""
+    """The first rung of the ladder that names exactly one node, case folded."""
     asked = spark.createDataFrame([(a, a) for a in _ASKED], "query_id string, query string")
-    return resolve.resolve(asked, projection.nodes(spark, sf_dir))
+    return resolve.resolve(asked, projection.nodes(spark, sf_dir).withColumn("source_file", F.concat("source_file", F.lit(".py"))))
+
+
+_TERMS = ("CUSTOMER#00000001", "Widget", "o:12", "EUROPE", "Order_77", ".order_78()", "tests/nation_7")
 
 
-@query("""with asked(query_id) as (values ('customer#00000001'), ('widget'), ('o:12'), ('europe')),
-met as (select query_id, id, case when lower(id) = query_id or lower(label) = query_id or lower(regexp_replace(label, '\\(\\)$', '')) = query_id then 0
-  when contains(lower(label), query_id) then 2 when contains(lower(id), query_id) or contains(lower(coalesce(source_file, '')), query_id) then 3 end as match, ends_with(label, '()') as calls from asked, nodes),
+@query(f"""with asked as (select query_id, lower(query_id) as q from (values {", ".join(f"('{a}')" for a in _TERMS)}) t(query_id)),
+met as (select query_id, id, case when lower(label) = q or {_BARE.format('lower(label)')} = {_BARE.format('q')} or {_LEAF.format('lower(label)')} = {_LEAF.format('q')} or id = query_id then 0
+  when contains(lower(label), q) then 2 when contains(lower(id), q) or contains(lower(coalesce(source_file, '')), q) then 3 end as match, ends_with(label, '()') as calls from asked, nodes),
 r as (select query_id, id, match::int as match, row_number() over (partition by query_id order by match, not calls, id)::int as rank from met where match is not null)
 select * from r where rank <= 15""", graph=True)
 def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 15 best candidates for a search term."""
-    asked = spark.createDataFrame([(a, a) for a in ("customer#00000001", "widget", "o:12", "europe")], "query_id string, query string")
+    """The 15 best candidates for a search term, case folded."""
+    asked = spark.createDataFrame([(a, a) for a in _TERMS], "query_id string, query string")
     return resolve.candidates(asked, projection.nodes(spark, sf_dir), limit=15)
 
 
+_REFS_SQL = """refs as (select p_partkey as pos, case p_partkey % 4 when 0 then 'customer#' || lpad((p_partkey % 1500)::varchar, 9, '0') when 1 then 'nation_' || (p_partkey % 25) || '.py:L' || (p_partkey % 300) when 2 then 'C:' || (p_partkey % 1700) else 'nation_' || (p_partkey % 25) || '.py' end as q from part),
+n as (select id, regexp_replace(lower(label), '\\(\\)$', '') as name, source_file || '.py' as file, line from nodes)"""
+
+
+@query(f"""with {_REFS_SQL}, named as (select q, min(id) as id from (select distinct q from refs where q like 'customer#%') join n on name = q group by q having count(*) = 1),
+placed as (select q, max_by(id, line) as id from (select distinct q from refs where q like '%:L%') join n on file = regexp_extract(q, '^(.*):L', 1) and line <= regexp_extract(q, '([0-9]+)$', 1)::int group by q),
+filed as (select q, min(id) as id from (select distinct q from refs where q like '%.py') join n on file = q group by q having count(*) = 1),
+known as (select * from named union all select * from placed union all select * from filed union all select distinct q, n.id from refs join n on n.id = q)
+select pos, id as source_id, 'C:1' as target_id from refs left join known using (q)""", graph=True)
+def finding_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with references by name, place, id and file: distinct references are resolved once; a file of many nodes names none of them."""
+    k, n = F.col("p_partkey"), projection.nodes(spark, sf_dir).withColumn("source_file", F.concat("source_file", F.lit(".py")))
+    none, text = F.lit(None).cast("string"), lambda x: x.cast("string")
+    file = F.concat(F.lit("nation_"), text(k % 25), F.lit(".py"))
+    node = F.when(k % 4 == 0, F.concat(F.lit("customer#"), F.lpad(text(k % 1500), 9, "0"))).when(k % 4 == 2, F.concat(F.lit("C:"), text(k % 1700)))
+    ref = F.struct(node.alias("node"), F.when(node.isNull(), file).alias("file"), F.when(k % 4 == 1, (k % 300).cast("int")).alias("line"))
+    found = table(spark, sf_dir, "part").select(k.alias("pos"), F.lit("taints").alias("relation"), ref.alias("source_ref"), F.struct(F.lit("C:1").alias("node"), none.alias("file"), F.lit(None).cast("int").alias("line")).alias("target_ref"))
+    return E.resolve_findings(found, n).select("pos", "source_id", "target_id")
+
+
 @query("""with asked as (select event_id::varchar as query_id, 'nation_' || (event_id % 25) as file, (user_id * 7 % 400)::int as line from events),
 own as (select id, source_file as file, line from nodes where line is not null)
 select query_id, max_by(id, o.line) as id, case when max(o.line) = any_value(a.line) then 'exact' else 'preceding' end as how from asked a join own o on o.file = a.file and o.line <= a.line group by query_id""", graph=True)
@@ -267,16 +325,20 @@ def insertion_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- links ---------------------------------------------------------------------
 
 
-@query("""with names as (select 'S:' || s_suppkey as id, lower('part_' || (s_suppkey % 97)) as name, false as t from supplier union all select 'C:' || c_custkey, 'test_part_' || (c_custkey % 97), true from customer where c_mktsegment = 'BUILDING'),
+@query("""with names as (select 'S:' || s_suppkey as id, 'part_' || (s_suppkey % 97) as name, false as t from supplier union all select 'N:' || n_nationkey, 'part_' || (n_nationkey * 5 % 97), false from nation
+  union all select 'C:' || c_custkey, case c_custkey % 3 when 0 then 'test_part_' when 1 then 'testpart_' else 'test part_' end || (c_custkey % 97) || case when c_custkey % 50 = 0 then '-x' else '' end, true from customer where c_mktsegment = 'BUILDING'),
 one as (select name, min(id) as target_id from names where not t group by name having count(*) = 1)
-select id as test_id, target_id from names join one on names.name = 'test_' || one.name where t""")
+select id as test_id, target_id from names join one on regexp_extract(names.name, '^test[_ ]?(\\w+)$', 1) = one.name where t""")
 def unique_name_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tests linked to the one production callable they are named after."""
-    name = lambda pre, k: F.concat(F.lit(pre), (F.col(k) % 97).cast("string"), F.lit("()"))
-    row = lambda p, k, pre, file: [F.concat(F.lit(f"{p}:"), F.col(k).cast("string")).alias("id"), name(pre, k).alias("label"), F.lit(file).alias("source_file"), F.lit(True).alias("_callable")]
-    s = table(spark, sf_dir, "supplier").select(*row("S", "s_suppkey", "Part_", "src/a.py"))
-    c = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(*row("C", "c_custkey", "test_part_", "tests/a.py"))
-    return E.unique_name_links(s.unionByName(c))
+    """Tests linked to the one node outside the tests that they are named after, callable or not, case folded."""
+    name = lambda pre, k, post="": F.concat(pre, (k % 97).cast("string"), F.lit(post))
+    row = lambda p, k, label, file: [F.concat(F.lit(f"{p}:"), F.col(k).cast("string")).alias("id"), label.alias("label"), F.lit(file).alias("source_file"), F.lit(None).cast("boolean").alias("_callable")]
+    s = table(spark, sf_dir, "supplier").select(*row("S", "s_suppkey", name(F.lit("Part_"), F.col("s_suppkey"), "()"), "src/a.py"))
+    n = table(spark, sf_dir, "nation").select(*row("N", "n_nationkey", name(F.lit("PART_"), F.col("n_nationkey") * 5), "src/b.py"))
+    k = F.col("c_custkey")
+    stem = F.when(k % 3 == 0, "test_Part_").when(k % 3 == 1, "TestPart_").otherwise("TEST part_")
+    c = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(*row("C", "c_custkey", F.concat(name(stem, k), F.when(k % 50 == 0, "-x").otherwise("")), "tests/a.py"))
+    return E.unique_name_links(s.unionByName(n).unionByName(c))
 
 
 @query("""with calls as (select 'O:' || o_orderkey as source, 'f' || (o_orderkey % 40) as file, 'fn_' || (o_custkey % 1400) as callee from orders),
@@ -323,6 +385,20 @@ def test_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.related_tests(n, e, shown, NOT_A_TEST_LINK)
 
 
+@query(f"""with seeds(query_id, seed) as (values ('O:7', 'O:7'), ('O:9', 'O:9'), ('P:1', 'P:1')), near as (select query_id, seed as touches from seeds union select query_id, source from seeds join edges on target = seed and relation = 'references'),
+e as (select source, target, relation from edges where relation not in {_in(NOT_A_TEST_LINK)} union all select 'C:' || c_custkey, 'P:' || c_custkey, 'tests' from customer where c_mktsegment = 'BUILDING'),
+ends as (select source as test_id, target as touches, relation from e union all select target, source, relation from e),
+met as (select distinct query_id, test_id, touches, relation, n.source_file as file, n.label from ends join near using (touches) join nodes n on n.id = test_id where n.source_file like 'tests/%' and test_id <> touches)
+select query_id, test_id, touches, relation, row_number() over (partition by query_id order by touches <> query_id, relation <> 'tests', file, label, touches, relation)::int as rank from met""", graph=True)
+def test_links_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Related tests as they are listed: those of the seed itself, then those that say so, then by file and label."""
+    n, e = _graph(spark, sf_dir)
+    seeds = _seeds(spark, "O:7", "O:9", "P:1")
+    near = seeds.unionByName(e.where("relation = 'references'").join(seeds.withColumnRenamed("id", "target"), "target").select("query_id", F.col("source").alias("id"))).distinct()
+    tests = E.related_tests(n, _extra_edges(spark, sf_dir, e), near, NOT_A_TEST_LINK)
+    return E.tests_in_order(tests, seeds, n).select("query_id", "test_id", "touches", "relation", "rank")
+
+
 @query(f"""with owners as (select source as owner from edges where target = 'C:5' and relation in {_in(MEMBER_RELATIONS)})
 select distinct 'C:5' as query_id, e.target as id, n.label, o.owner from owners o join edges e on e.source = o.owner and e.relation in {_in(MEMBER_RELATIONS)} join nodes n on n.id = e.target where e.target <> 'C:5' and ends_with(n.label, '()')""", graph=True)
 def siblings_via_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,12 +429,12 @@ rows_ as (select r.query_id, r.id, n.label, r.depth, v.via, {_case(RELATION_WEIG
 @query(_RANK_SQL + " select query_id, id, via from v", graph=True, recursive=True)
 def via_first_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relation of the first closure edge that touches each node."""
-    n, e = _graph(spark, sf_dir)
+    n, e = _graph(spark, sf_dir, distinct=False)
     return rank.via(traverse.closure_edges(e, traverse.radius(n, e, _seeds(spark, "P:1", "P:4"), 2, "up", members=False))).select("query_id", "id", "via")
 
 
 def _rank_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, e = _graph(spark, sf_dir)
+    n, e = _graph(spark, sf_dir, distinct=False)
     reach = traverse.radius(n, e, _seeds(spark, "P:1", "P:4"), 2, "up", members=False)
     v = rank.via(traverse.closure_edges(e, reach))
     return reach.join(n.select("id", "label"), "id").join(v, ["query_id", "id"], "left").select("query_id", "id", F.col("query_id").alias("seed"), "label", "depth", "via", F.col("id").endswith("7").alias("mentioned"))
@@ -731,7 +807,20 @@ def supplement_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supplement.compute(_modelled(spark, defs), defs)[1].select("source", "target", "relation", "confidence")
 
 
-@query()
+_PACK_SQL = """src as (select c_nationkey as k, c_custkey as c, (row_number() over (partition by c_nationkey order by c_custkey) * 2)::int as l,
+    '    def customer_' || c_custkey || '(self):\n        ' || case when c_custkey % 3 = 0 then 'def inner_' || c_custkey || '(): return 1' else 'return supplier_' || (c_custkey % 7) || '()' end as t from customer where c_nationkey in (3, 5)),
+  cls as (select k, 'class Nation' || k || ':\n' || string_agg(t, chr(10) order by c) as t from src group by k),
+  found as (select 'nation_' || k || '.py::Nation' || k as query_id, 'nation_' || k || '.py::Nation' || k as id, 0 as other, k, 1 as l, t, 'class Nation' || k as sig from cls
+    union all select 'nation_' || k || '.py::Nation' || k, 'nation_' || k || '.py::Nation' || k || '.customer_' || c, 1, k, l, t, 'def customer_' || c || '(self)' from src where c % 2 = 0),
+  r as (select query_id, id, greatest(1, length('--- nation_' || k || '.py:L' || l || ' ---\n' || t || '\n') // 4)::bigint as cost, greatest(1, length('  nation_' || k || '.py:L' || l || '  ' || sig || '\n') // 4)::bigint as icost, row_number() over (partition by query_id order by other, id) as rank from found),
+  f(query_id, rank, taken, used) as (select query_id, rank, true, cost from r where rank = 1 union all select r.query_id, r.rank, f.used + r.cost <= 800, f.used + case when f.used + r.cost <= 800 then r.cost else 0 end from f join r on r.query_id = f.query_id and r.rank = f.rank + 1),
+  w as (select r.*, greatest(300, 800 - (select max(used) from f g where g.query_id = r.query_id)) as cap, row_number() over (partition by r.query_id order by r.rank) as k from r join f using (query_id, rank) where not taken),
+  g(query_id, k, rank, listed, used) as (select query_id, k, rank, icost <= cap, case when icost <= cap then icost else 0 end from w where k = 1
+    union all select w.query_id, w.k, w.rank, g.used + w.icost <= w.cap, g.used + case when g.used + w.icost <= w.cap then w.icost else 0 end from g join w on w.query_id = g.query_id and w.k = g.k + 1)"""
+
+
+@query(f"""with recursive {_PACK_SQL} select query_id, id, 'body' as tier, null::varchar as reason, 0 as depth, rank::int as rank, cost from r join f using (query_id, rank) where taken
+union all select query_id, id, case when listed then 'index' else 'omitted' end, case when listed then 'budget' else 'index_budget' end, 0, rank::int, cost from r join g using (query_id, rank)""")
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiers of the packs around two classes, on the generated sources."""
     from .operators import pack
@@ -744,7 +833,7 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = nodes.where("label like 'Nation%'").select(F.regexp_replace("source_file", "[.]", "_").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("relation"))
     edges = methods.unionByName(classes).select("*", F.lit("EXTRACTED").alias("confidence"), F.concat_ws("|", "relation", "source", "target").alias("edge_pos"))
     seeds = _seeds(spark, "nation_3.py::Nation3", "nation_5.py::Nation5")
-    return pack.context_pack(nodes, edges, seeds, files, defs, budget=800).rows.select("query_id", "id", "tier", "reason", "depth", "rank", "cost")
+    return pack.context_pack(nodes, edges, seeds, files, defs, budget=800).rows.select("query_id", "id", "tier", F.when(F.col("tier") == "omitted", "index_budget").otherwise(F.col("reason")).alias("reason"), "depth", "rank", "cost")
 
 
 @query(r"""with r as (select doc_id as source, unnest(regexp_extract_all(text, '([A-Z][A-Za-z_]{5,})', 1)) as w from documents), t as (select item_id as target, unnest(regexp_extract_all(text, '([a-z]{6,})', 1)) as w from benchmark)
@@ -780,12 +869,12 @@ def ground_truth_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.controls(pts.withColumn("repo", (F.col("query_id") % 4).cast("int")).withColumn("touched", F.col("query_id") % 3 != 0), ext)
 
 
-@query("""with t as (select l_orderkey as task, 'p' || l_partkey as name, case when l_partkey % 13 <> 0 then l_partkey end as id from lineitem where l_linenumber = 1),
+@query("""with t as (select distinct l_orderkey as task, 'p' || l_partkey as name, case when l_partkey % 13 <> 0 then l_partkey end as id from lineitem),
 d as (select t.*, id % 5 = 0 as p, id % 5 = 1 as o, id % 5 = 2 as u, case when id % 5 = 3 then 3 end as deep, case when id % 2 = 0 then 1 end as any_ from t)
 select task, name, case when id is null then 'no_node' when p then 'included' when o then 'omitted_for_budget' when u then 'unresolved' when deep > 2 then 'reachable_deeper' when any_ is not null then 'unreachable' else 'unreachable_any' end as verdict from d""")
 def diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why each wanted symbol is or is not in a pack."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("task"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name"), F.when(F.col("l_partkey") % 13 != 0, F.col("l_partkey")).alias("id"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name"), F.when(F.col("l_partkey") % 13 != 0, F.col("l_partkey")).alias("id")).distinct()
     known = li.where("id is not null").select("task", "id").distinct()
     some = lambda r: known.where(F.col("id") % 5 == r)
     return corpus.diagnosis(li, some(0), some(1), some(2), some(3).withColumn("depth", F.lit(3)), known.where("id % 2 = 0").withColumn("depth", F.lit(1)), 2)
@@ -794,7 +883,7 @@ def diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_reach_sql(("P:1",), 2, "up") + f""", t as (select source, target from edges where relation in {_in(TAINT_RELATIONS)}) select distinct id from reach where id in (select source from t union select target from t)""", graph=True, recursive=True)
 def exposed_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of a radius that are ends of any taint."""
-    n, e = _graph(spark, sf_dir)
+    n, e = _graph(spark, sf_dir, distinct=False)
     return corpus.exposed_in(traverse.radius(n, e, _seeds(spark, "P:1"), 2, "up", members=False), e.where(F.col("relation").isin(*TAINT_RELATIONS)))[0]
 
 
@@ -804,3 +893,213 @@ def package_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id") % 4
     path = F.when(k == 0, F.concat(F.lit("src/a"), F.col("page_id").cast("string"), F.lit(".py"))).when(k == 1, "src/tests/a.py").when(k == 2, "lib/test_x.go").otherwise("src/readme.md")
     return table(spark, sf_dir, "pages").select("page_id", corpus.package_source(path).alias("kept"))
+
+
+# --- operators that need sources, points or histories of their own ---------------------------
+
+
+@query("""with e as (select l_orderkey as flow, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as pos, 'nation_' || (l_suppkey % 25) as file, (l_partkey % 300)::int as line from lineitem),
+n as (select *, lead(file) over w as nfile, lead(line) over w as nline, count(*) over (partition by flow) as c, first_value(file) over w as ffile, first_value(line) over w as fline, row_number() over (partition by flow order by pos desc) as back from e window w as (partition by flow order by pos))
+select flow * 100000 + pos as pos, 'taints' as relation, file as source_file, line as source_line, nfile as target_file, nline as target_line, true as skip_self from n where nfile is not null
+union all select flow * 100000 - 1, unnest(['taints', 'reaches_sink']), ffile, fline, file, line, false from n where c >= 2 and back = 1""")
+def flow_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows as neutral findings: end to end, and each step."""
+    from .sources import scanners
+
+    li = table(spark, sf_dir, "lineitem").withColumn("pos", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
+    rows = li.select(F.col("l_orderkey").alias("flow"), "pos", F.lit(None).cast("string").alias("rule"), F.concat(F.lit("nation_"), (F.col("l_suppkey") % 25).cast("string")).alias("file"), (F.col("l_partkey") % 300).cast("int").alias("line"))
+    out = scanners.flow_findings(rows)
+    return out.select("pos", "relation", F.col("source_ref.file").alias("source_file"), F.col("source_ref.line").alias("source_line"), F.col("target_ref.file").alias("target_file"), F.col("target_ref.line").alias("target_line"), "skip_self")
+
+
+@query("""with h as (select c_nationkey as diff_id, 'src/nation_' || c_nationkey || '.py' as file, (c_custkey * 10)::int as old, (c_custkey % 4)::int as n from customer)
+select diff_id, file, old as line, 'inserted' as kind from h where n = 0 union all select diff_id, file, unnest(generate_series(old, old + n - 1))::int, 'modified' from h where n > 0""")
+def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old lines and insertion anchors of a unified diff for each nation, a hunk for each customer."""
+    from .sources import files
+
+    c = table(spark, sf_dir, "customer")
+    n, at, k = F.col("c_custkey") % 4, (F.col("c_custkey") * 10).cast("string"), F.col("c_nationkey").cast("string")
+    hunk = F.concat(F.lit("@@ -"), at, F.when(n == 1, "").otherwise(F.concat(F.lit(","), n.cast("string"))), F.lit(" +1,2 @@ def x():\n+ new"))
+    body = c.groupBy("c_nationkey").agg(F.array_join(F.sort_array(F.collect_list(hunk)), "\n").alias("hunks"))
+    head = F.concat(F.lit("diff --git x y\n--- a/src/nation_"), k, F.lit(".py\n+++ b/src/nation_"), k, F.lit(".py\n"))
+    return files.changed_old_lines(body.select(F.col("c_nationkey").alias("diff_id"), F.concat(head, "hunks").alias("text")))
+
+
+@query("select distinct 'w' || (c_custkey % 7) as query_id, 'nation_' || c_nationkey || '.py' as file, 'Nation' || c_nationkey || '.customer_' || c_custkey as name from customer where c_custkey % 3 <> 0")
+def grep_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions whose text names a word, found line by line."""
+    from .sources import files
+
+    words = spark.createDataFrame([(f"w{k}", f"supplier_{k}") for k in range(7)], "query_id string, word string")
+    src = _sources(spark, sf_dir)
+    return files.grep_symbols(src, words, _parsed(src))
+
+
+@query(f"with {_DEFS_SQL}, ms as (select file, cls as class, cls || '.customer_' || c as member, row_number() over (partition by file order by l) as n from m) select file, class, member from ms where n <= 40")
+def class_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members one level below a class and inside its extent, at most 40 a class."""
+    from .operators import symbols
+
+    return symbols.class_members(symbols.definitions(_sources(spark, sf_dir))).select("file", "class", "member")
+
+
+@query(f"""with {_DEFS_SQL}, asked as (select c, k, file, l + (c % 7 = 0)::int as l, case when c % 5 = 0 then 'other' else 'customer_' || c end as leaf from m)
+select c as query_id, case when leaf <> 'other' and c % 7 <> 0 then 'Nation' || k || '.' || leaf end as name, case when c % 7 = 0 and c % 3 <> 0 then 'no_definition_at_line' when c % 7 = 0 or leaf = 'other' then 'definition_mismatch' end as unresolved from asked""")
+def definition_at_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The definition of a line and a name, or why there is none."""
+    from .operators import symbols
+
+    src = _sources(spark, sf_dir)
+    c = table(spark, sf_dir, "customer").withColumn("l", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) * 2)
+    k = F.col("c_custkey")
+    leaf = F.when(k % 5 == 0, "other").otherwise(F.concat(F.lit("customer_"), k.cast("string")))
+    asked = c.select(k.alias("query_id"), F.format_string("nation_%d.py", F.col("c_nationkey")).alias("file"), (F.col("l") + (k % 7 == 0).cast("int")).alias("def_line"), leaf.alias("leaf"))
+    return symbols.at_line(asked, _parsed(src)).select("query_id", F.col("symbol.name").alias("name"), "unresolved")
+
+
+@query("""select distinct 'nation_' || c_nationkey || '.py' as file, 'hash_differs' as reason from customer where c_nationkey % 6 = 0
+union all select distinct 'nation_' || c_nationkey || '.py', 'orphan_callable' from customer where c_nationkey in (4, 12) and c_nationkey % 6 <> 0 and c_custkey % 2 = 0""")
+def stale_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files the graph no longer matches: another hash, or a callable where no definition begins."""
+    from .operators import supplement
+
+    src = _sources(spark, sf_dir).withColumn("md5", F.md5("text"))
+    defs = _parsed(src)
+    k = F.regexp_extract("file", "nation_([0-9]+)", 1).cast("int")
+    moved = F.regexp_extract("source_file", "nation_([0-9]+)", 1).isin("4", "12")
+    nodes = _modelled(spark, defs).withColumn("source_location", F.when(moved, "L99999").otherwise(F.col("source_location")))
+    manifest = src.select(F.col("file").alias("path"), F.when(k % 6 == 0, "before").otherwise(F.col("md5")).alias("md5"))
+    return supplement.stale_files(nodes, defs, manifest, src.select("file", "md5"))
+
+
+@query("""with f as (select page_id, 'p' || page_id as path, page_id % 5 as k from pages where page_id % 3 = 0)
+select path, case when k = 0 then 'not_in_manifest' when k = 1 then 'unreadable' else 'edited' end as reason from f where k < 3""")
+def stale_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a pack that the manifest does not vouch for."""
+    from .operators import state
+
+    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("path"), (F.col("page_id") % 5).alias("k"), (F.col("page_id") % 3 == 0).alias("shown"), F.md5("html").alias("md5"))
+    return state.stale_shown(p.where("shown"), p.where("k <> 0").select("path", "md5"), p.where("k <> 1").select("path", F.when(F.col("k") == 2, "now").otherwise(F.col("md5")).alias("md5")))
+
+
+@query("""with recursive c as (select conv_id as query_id, turn as rank, greatest(1, length(text) // 4)::bigint as cost, turn % 7 + 5 as icost from conversations qualify row_number() over (partition by conv_id, turn order by text) = 1),
+w as (select query_id, rank, icost, greatest(20, 600 - coalesce((select cost from c s where s.query_id = c.query_id and s.rank = 0), 0)) as cap, row_number() over (partition by query_id order by rank) as k from c where rank > 0),
+g(query_id, k, rank, listed, used) as (select query_id, k, rank, icost <= cap, case when icost <= cap then icost else 0 end from w where k = 1
+  union all select w.query_id, w.k, w.rank, g.used + w.icost <= w.cap, g.used + case when g.used + w.icost <= w.cap then w.icost else 0 end from g join w on w.query_id = g.query_id and w.k = g.k + 1)
+select query_id, rank::bigint as rank, 'body' as tier, null::varchar as reason from c where rank = 0 union all select query_id, rank::bigint, case when listed then 'index' else 'omitted' end, case when listed then 'depth' else 'index_budget' end from g""")
+def tiers_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies deeper than bodies go competes for the index alone; the seed is always a body."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    rows = c.select(F.col("conv_id").alias("query_id"), F.col("turn").cast("int").alias("rank"), F.lit("0").alias("seed"), F.col("turn").cast("string").alias("id"), F.col("turn").cast("int").alias("depth"), F.greatest(F.lit(1), F.floor(F.length("text") / 4)).alias("cost"), (F.col("turn") % 7 + 5).alias("index_cost"))
+    return rank.two_tier_fill(rows, 600, 20, body_depth=0).select("query_id", F.col("rank").cast("long").alias("rank"), "tier", "reason")
+
+
+@query("""select doc_id as query_id, doc_id % 2 = 0 and regexp_extract(text, '[A-Za-z_][A-Za-z0-9_]*') <> '' as mentioned from documents""")
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a label's bare name stands in the seed's own source."""
+    d = table(spark, sf_dir, "documents")
+    first = F.regexp_extract("text", f"({X.IDENTIFIER})", 1)
+    label = F.when((F.col("doc_id") % 2 == 0) & (first != ""), F.concat(F.lit("."), first, F.lit("()"))).otherwise("no such name()")
+    return rank.mentioned(d.select(F.col("doc_id").alias("query_id"), label.alias("label")), d.select(F.col("doc_id").alias("query_id"), "text")).select("query_id", "mentioned")
+
+
+@query("""with n as (select id, case when id like 'S:%' then regexp_replace(label, '\\(\\)$', '') else label end as label, source_file as file, (line - line % 10)::int as line, id like 'C:%' as calls from nodes where line is not null)
+select p.page_id as task, (select id from n where n.file = 'nation_' || (p.page_id % 25) and n.line = (p.page_id % 40) * 10 order by calls desc, length(label), id limit 1) as id from pages p
+where exists (select 1 from n where n.file = 'nation_' || (p.page_id % 25) and n.line = (p.page_id % 40) * 10)""", graph=True)
+def entry_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the nodes on a line, a callable first, then the shortest label, then the id."""
+    n = projection.nodes(spark, sf_dir).where("source_location is not null")
+    line = F.regexp_extract("source_location", "([0-9]+)", 1).cast("int")
+    n = n.withColumn("source_location", F.concat(F.lit("L"), (line - line % 10).cast("string"))).withColumn("label", F.when(F.col("id").startswith("S:"), X.bare(F.col("label"))).otherwise(F.col("label")))
+    k = F.col("page_id")
+    points = table(spark, sf_dir, "pages").select(k.alias("task"), F.concat(F.lit("nation_"), (k % 25).cast("string")).alias("file"), (k % 40 * 10).cast("int").alias("def_line"))
+    return corpus.entry_nodes(points, n)
+
+
+@query("select distinct source, target from edges where relation = 'taints' and source in (select 'C:' || c_custkey from customer where c_nationkey = 3)", graph=True)
+def in_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Taints of the customers of one nation."""
+    wanted = table(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.concat(F.lit("C:"), F.col("c_custkey").cast("string")).alias("id"))
+    return corpus.lookup(projection.edges(spark, sf_dir).where("relation = 'taints'"), "source", wanted).select("source", "target")
+
+
+@query(f"""with {_EXTENTS_SQL}, t as (select pos % 40 as task, (pos % 40) * 250 as at, file, start_, end_ from ext where pos % 3 = 0), ch as (select query_id // 4 as commit, query_id as pos, file, line from pts)
+select distinct task, commit from ch join t on ch.file = t.file and line between start_ and end_ and ch.pos > t.at""")
+def follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later commits that touch the ground truth of a task."""
+    ext, pts = _extents(spark, sf_dir)
+    task = F.col("pos") % 40
+    truth = ext.where("pos % 3 = 0").select(task.alias("task"), (task * 250).alias("pos"), "file", "name", "start", "end")
+    return corpus.follow_ups(pts.select(F.floor(F.col("query_id") / 4).alias("commit"), F.col("query_id").alias("pos"), "file", "line"), truth)
+
+
+@query(f"with {_PR_SQL} select s_nationkey as repo, count(*)::bigint as tasks, sum(n_wanted - hits)::bigint as missed, sum(n_returned - hits)::bigint as surplus from scored join supplier on s_suppkey = task group by 1")
+def disclosure_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each nation's runs left out or brought beyond what was wanted, summed."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("task"), F.col("s_nationkey").alias("repo"))
+    rows = _scores(spark, sf_dir).join(s, "task").withColumn("missed", F.col("n_wanted") - F.col("hits")).withColumn("surplus", F.col("n_returned") - F.col("hits"))
+    return evaluate.sums(rows, ["repo"], ["missed", "surplus"])
+
+
+@query("select l_suppkey as task, count(distinct l_partkey)::bigint as files, sum(q)::bigint as tokens, round(avg(q), 4) as mean_tokens, max(q) as most_tokens from (select *, l_quantity::bigint as q from lineitem) group by 1")
+def reading_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct files to open and the tokens they cost, for each task."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("task"), F.col("l_partkey").alias("file"), F.col("l_quantity").cast("long").alias("tokens"))
+    return evaluate.reading_cost(li, ["task"]).withColumn("mean_tokens", F.round("mean_tokens", 4))
+
+
+@query("""with r as (select o_orderstatus as arm, (o_orderkey % 2)::int as rep, o_totalprice > 200000 as ok, o_totalprice as cost, o_custkey % 30 as turns, o_custkey % 9 = 0 as idle from orders)
+select arm, rep, count(*)::bigint as runs, count_if(ok)::bigint as resolved, round(avg(ok::int), 6) as rate, round(avg(turns), 4) as mean_turns, round(avg(cost), 2) as mean_cost, round(sum(cost), 2) as total_cost, count_if(idle)::bigint as no_edit from r group by grouping sets ((arm), (arm, rep))""")
+def resolve_rate_by_rep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolve rates of each arm and of each of its repetitions (rep null: all)."""
+    k, price = F.col("o_custkey"), F.col("o_totalprice")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("arm"), (F.col("o_orderkey") % 2).cast("int").alias("rep"), (price > 200000).alias("resolved"), price.alias("cost"), (k % 30).alias("turns"), F.when(k % 9 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("f"))).alias("edited"))
+    out = evaluate.resolve_rates(rows)
+    for c, n in (("rate", 6), ("mean_turns", 4), ("mean_cost", 2), ("total_cost", 2)):
+        out = out.withColumn(c, F.round(c, n))
+    return out
+
+
+@query("""with o as (select *, row_number() over (order by o_orderkey) as r, case when o_orderstatus = 'P' then 'revert' when o_totalprice < 30000 then 'no_ground_truth' else 'kept' end as reason from orders),
+b as (select o_orderkey from o where reason = 'kept' order by o_orderkey limit 500) select reason, count(*)::bigint as n from o where o_orderkey <= (select max(o_orderkey) from b) or (select count(*) from b) < 500 group by reason""")
+def selection_funnel_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The funnel stops once 500 candidates are kept: later ones are not counted."""
+    return evaluate.funnel(table(spark, sf_dir, "orders"), [("revert", F.col("o_orderstatus") == "P"), ("no_ground_truth", F.col("o_totalprice") < 30000)], limit=500, order="o_orderkey")
+
+
+@query("""select id, coalesce(string_agg(f, '|' order by f), '') as edges from (select distinct n.id, '{"confidence":"' || confidence || '","relation":"' || relation || '","source":"' || source || '","target":"' || target || '"}' as f
+from (values ('O:7'), ('N:3'), ('P:3')) n(id) join edges on source = n.id or target = n.id) group by id""", graph=True)
+def edge_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of a node as sorted canonical JSON, which a snapshot keeps."""
+    prints = diff.fingerprints(projection.edges(spark, sf_dir), _seeds(spark, "O:7", "N:3", "P:3").select("id"), ("source", "target", "relation", "confidence"))
+    return prints.select("id", F.array_join("edges", "|").alias("edges"))
+
+
+@query("""select doc_id, case when k = 0 then 'file' when k = 1 then 'function' when k = 2 then 'file' end as kind from (select doc_id, doc_id % 4 as k from documents)""")
+def label_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as functions, files or neither."""
+    k, t = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    label = F.when(k == 0, F.concat(F.lit("src/m"), t, F.lit(".py"))).when(k == 1, F.concat(F.lit("f"), t, F.lit("()"))).when(k == 2, "Makefile.mk").otherwise(F.concat(F.lit("Class"), t))
+    return table(spark, sf_dir, "documents").select("doc_id", X.label_kind(label).alias("kind"))
+
+
+@query("""with e as (select l_orderkey as flow, l_linenumber as pos, 'm' || (l_partkey % 50) as method from lineitem) select distinct flow from e where flow not in (select flow from e where method in ('m1', 'm2', 'm3'))""")
+def unsanitized_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows that pass through no sanitizer."""
+    from .sources import scanners
+
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("flow"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("m"), (F.col("l_partkey") % 50).cast("string")).alias("method"))
+    return scanners.without_sanitizer(e, ("m1", "m2", "m3")).select("flow").distinct()
+
+
+@query("""with a as (select 'C:' || o_custkey as source, 'O:' || o_orderkey as target, o_orderstatus as s from orders), v as (select 'nation_' || c_nationkey as slot, count(*) as n, c_nationkey % 4 as k from customer group by 1, c_nationkey)
+select slot, case when k = 0 or k = 1 or k = 2 then 'full' else 'incremental' end as decision from v""")
+def swap_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a switch to each slot has to do: detached, not cached and not trusted ones are built in full."""
+    from .operators import state
+
+    k = F.col("c_nationkey") % 4
+    slots = table(spark, sf_dir, "customer").select(F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")).alias("slot"), k.alias("k")).distinct()
+    trusted = state.trustworthy(F.when(F.col("k") == 2, state.VERSION - 1).otherwise(state.VERSION), F.lit(True))
+    return slots.select("slot", state.decision(F.col("k") == 0, F.col("k") != 1, trusted).alias("decision"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sqlite3
+import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,11 +13,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..operators.resolve import enclosing
 
 # What is code, what is skipped, what defines configuration.
-CODE_SUFFIXES = ("py", "js", "jsx", "ts", "tsx", "mjs", "cjs", "rb", "go", "java", "kt", "cs", "php")
-SKIPPED_DIRS = (".git", "node_modules", ".venv", "venv", "__pycache__", "dist", "build", ".tox")
-CONFIG_A = r"(^|/)(\.env|\.env\.[^/]*|[^/]*\.env|docker-compose[^/]*\.ya?ml|Dockerfile[^/]*|[^/]*\.tf|[^/]*\.tfvars)$|(^|/)\.github/workflows/[^/]*\.ya?ml$|(^|/)k8s/[^/]*\.ya?ml$|(^|/)helm/(.*/)?[^/]*\.yaml$"
+CODE_SUFFIXES = ("py", "js", "jsx", "ts", "tsx", "mjs", "cjs", "rb", "go", "java", "kt", "cs", "php", "scala")
+SKIPPED_DIRS = (".git", "node_modules", ".venv", "venv", "__pycache__", "dist", "build", ".tox", ".mypy_cache")
+CONFIG_A = r"^(\.env|\.env\.[^/]*|[^/]*\.env|docker-compose[^/]*\.ya?ml|Dockerfile[^/]*|[^/]*\.tf|[^/]*\.tfvars)$|^\.github/workflows/[^/]*\.ya?ml$|^k8s/[^/]*\.ya?ml$|^helm/(.*/)?[^/]*\.yaml$"
 CONFIG_B = (
     (r"(^|/)(\.env|\.env\.[^/]*|[^/]*\.env)$", r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*="),
     (r"(^|/)Dockerfile(\.[^/]*)?$", r"^\s*(?:ENV|ARG)\s+([A-Za-z_][A-Za-z0-9_]*)"),
@@ -30,15 +32,33 @@ CONFIG_B = (
 
 
 def _hidden_paths(spark: SparkSession, root: str) -> list[str]:
-    """Files whose names begin with ``.`` or ``_``, which Spark's file sources leave out. Names only; configuration files are few."""
+    """Files whose names begin with ``.`` or ``_``, which Spark's file sources leave out, and files in such folders.
+
+    Folders are walked one level at a time with globs, so that the file system
+    lists a whole level in one call; only hidden names come to the driver, and
+    configuration files are few.
+    """
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(root)
-    found, todo = [], at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
-    while todo.hasNext():
-        path = todo.next().getPath()
-        if path.getName()[:1] in "._" and not path.getName().endswith(".crc"):
-            found.append(path.toString())
-    return found
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed = lambda pattern: system.globStatus(jvm.org.apache.hadoop.fs.Path(top, pattern)) or ()
+    found, level, inside = [], "", []
+    while True:
+        for status in listed(f"{level}[._]*"):
+            name = status.getPath().getName()
+            if status.isDirectory():
+                if name not in SKIPPED_DIRS:
+                    inside.append(status.getPath())
+            elif not name.endswith(".crc"):
+                found.append(status.getPath().toString())
+        if not any(s.isDirectory() for s in listed(f"{level}*")):
+            break
+        level += "*/"
+    for folder in inside:
+        todo = system.listFiles(folder, True)
+        while todo.hasNext():
+            found.append(todo.next().getPath().toString())
+    return sorted({p for p in found if not p.endswith(".crc")})
 
 
 def _read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -106,11 +126,18 @@ def grep(files: DataFrame, words: DataFrame) -> DataFrame:
     return named.join(words, "word").select("query_id", "file", "line")
 
 
+def grep_symbols(files: DataFrame, words: DataFrame, defs: DataFrame) -> DataFrame:
+    """``query_id, file, name`` of the smallest definitions (file, name, start, end, def_line) around the lines that name a word; lines outside all of them drop out."""
+    hits = grep(files, words).select(F.struct("query_id", "file", "line").alias("query_id"), "file", "line").distinct()
+    extents = defs.where("start is not null").select("file", "name", "start", "end", F.struct("def_line", "name").alias("pos"))
+    return enclosing(hits, extents).select("query_id.query_id", "file", "name").distinct()
+
+
 def changed_old_lines(diffs: DataFrame) -> DataFrame:
     """``diff_id, file, line, kind`` of a ``-U0`` diff (diff_id, text): old lines that were modified, and anchors of pure insertions."""
     rows = diffs.select("diff_id", F.inline(X.lines(F.col("text"))))
     w = Window.partitionBy("diff_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    named = F.when(F.col("text").startswith("--- "), F.regexp_replace(F.substring("text", 5, 4096), r"^a/", ""))
+    named = F.when(F.col("text").startswith("--- "), F.regexp_replace("text", r"^--- (a/)?", ""))
     hunk = r"^@@ -(\d+)(?:,(\d+))? \+"
     rows = rows.withColumn("file", F.last(named, ignorenulls=True).over(w)).where(F.col("text").rlike(hunk))
     count = F.when(F.regexp_extract("text", hunk, 2) == "", 1).otherwise(F.regexp_extract("text", hunk, 2).try_cast("int"))
@@ -119,6 +146,31 @@ def changed_old_lines(diffs: DataFrame) -> DataFrame:
     return edits.unionByName(rows.where("n = 0").select("diff_id", "file", F.col("at").alias("line"), F.lit("inserted").alias("kind")))
 
 
+def git(repo: str, *args: str) -> str | None:
+    """Output of a git command in a repository on the driver's disk; null if it fails or there is no git."""
+    try:
+        done = subprocess.run(["git", "-C", repo, *args], capture_output=True, text=True, errors="replace", timeout=300)
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+    return done.stdout if done.returncode == 0 else None
+
+
+def git_state(spark: SparkSession, repo: str, base: str | None = None) -> DataFrame:
+    """One row: ``root, branch`` (null if detached), ``previous`` branch, ``head``, ``year`` of it, and whether ``base`` is an ancestor."""
+    one = lambda *args: (git(repo, *args) or "").strip() or None
+    branch = one("symbolic-ref", "--short", "-q", "HEAD")
+    ancestor = None if base is None else git(repo, "merge-base", "--is-ancestor", base, "HEAD") is not None
+    row = (one("rev-parse", "--show-toplevel"), branch, one("rev-parse", "--abbrev-ref", "@{-1}"), one("rev-parse", "HEAD"), one("show", "-s", "--format=%cs", "HEAD"), ancestor)
+    df = spark.createDataFrame([row], "root string, branch string, previous string, head string, day string, base_is_ancestor boolean")
+    return df.select("root", "branch", "previous", "head", F.year(F.to_date("day")).alias("year"), "base_is_ancestor")
+
+
+def git_log(spark: SparkSession, repo: str, *args: str) -> DataFrame:
+    """``commits`` of a repository on the driver's disk, newest first."""
+    text = git(repo, "log", "--format=%H%x00%s%x00%b%x01", *args)
+    return commits(spark.createDataFrame([(text or "",)], "text string"))
+
+
 def commits(log: DataFrame) -> DataFrame:
     """``commit, subject, body, pos`` of a history (one ``text``) whose fields end in NUL and records in SOH."""
     each = log.select(F.posexplode(F.split("text", "\x01")).alias("pos", "r")).where("trim(r) <> ''")
@@ -152,7 +204,7 @@ def union_first_wins(parts: list[DataFrame], key: str) -> DataFrame:
 class SqliteSource(DataSource):
     """``spark.read.format("sqlite").option("path", ...).option("table", ...).schema(...)``: a database opened read-only.
 
-    ``keyColumn`` and ``partitions`` split an integer-keyed table by rowid ranges.
+    ``partitions`` splits the table into ranges of its rowid, which is its order on disk.
     """
 
     @classmethod
@@ -167,16 +219,29 @@ class _SqliteReader(DataSourceReader):
     def __init__(self, options: dict, columns: list[str]) -> None:
         self.path, self.table, self.columns, self.parts = options["path"], options["table"], columns, int(options.get("partitions", "1"))
 
+    def _open(self) -> sqlite3.Connection:
+        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+
     def partitions(self):
         from pyspark.sql.datasource import InputPartition
 
-        return [InputPartition(k) for k in range(self.parts)]
+        if self.parts == 1:
+            return [InputPartition(None)]
+        with self._open() as db:
+            low, high = db.execute(f"select min(rowid), max(rowid) from {_quoted(self.table)}").fetchone()
+        if low is None:
+            return [InputPartition((0, 0))]
+        step = -(-(high - low + 1) // self.parts)
+        return [InputPartition((at, min(at + step, high + 1))) for at in range(low, high + 1, step)]
 
     def read(self, partition) -> Iterator[tuple]:
-        quote = lambda n: '"' + n.replace('"', '""') + '"'
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            where = "" if self.parts == 1 else f" where rowid % {self.parts} = {partition.value}"
-            yield from db.execute(f"select {', '.join(map(quote, self.columns))} from {quote(self.table)}{where}")
+        with self._open() as db:
+            where = "" if partition.value is None else " where rowid >= ? and rowid < ?"
+            yield from db.execute(f"select {', '.join(map(_quoted, self.columns))} from {_quoted(self.table)}{where}", partition.value or ())
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
 
 
 def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, partitions: int = 1) -> DataFrame:

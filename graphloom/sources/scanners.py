@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,12 +17,32 @@ def _ref(file: Column, line: Column) -> Column:
     return F.struct(F.lit(None).cast("string").alias("node"), file.alias("file"), line.cast("int").alias("line"))
 
 
-def location(trace: Column) -> Column:
-    """``struct<file, line>`` of a trace end in any of its three shapes: ``[location, text]``, ``{path, start}``, ``{location: {...}}``; also wrapped once more."""
-    prefixes = ("$", "$[0]", "$.location", "$[0].location", "$[1]", "$[1][0]", "$[1].location", "$[1][0].location")
-    file = F.coalesce(*[F.get_json_object(trace, f"{p}.path") for p in prefixes])
-    line = F.coalesce(*[F.get_json_object(trace, f"{p}.start.line") for p in prefixes])
-    return F.when(file.isNotNull(), F.struct(file.alias("file"), line.try_cast("int").alias("line")))
+def _located(x) -> tuple[str, int | None] | None:
+    """The first place in a trace end, however deep: ``[location, text]``, ``{path, start}``, ``{location: ...}``."""
+    todo = [x]
+    while todo:
+        x = todo.pop(0)
+        if isinstance(x, dict):
+            if isinstance(x.get("path"), str):
+                start = x.get("start")
+                line = start.get("line") if isinstance(start, dict) else None
+                return x["path"], line if isinstance(line, int) else None
+            todo = [x["location"], *todo] if "location" in x else todo
+        elif isinstance(x, list):
+            todo = x + todo
+    return None
+
+
+@F.pandas_udf(T.StructType([T.StructField("file", T.StringType()), T.StructField("line", T.IntegerType())]))
+def location(trace: pd.Series) -> pd.DataFrame:
+    """``struct<file, line>`` of a trace end given as JSON; both null where it names no place."""
+    found = []
+    for text in trace:
+        try:
+            found.append((text is not None and _located(json.loads(text))) or (None, None))
+        except ValueError:
+            found.append((None, None))
+    return pd.DataFrame(found, columns=["file", "line"]).astype({"line": "Int32"})
 
 
 def read_semgrep(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +68,7 @@ def semgrep_findings(results: DataFrame, taint_rules: tuple[str, ...] = (), assu
     """(findings, skipped): a trace gives ``taints`` and ``reaches_sink`` from source to sink, a declared rule ``reaches_sink`` at its own place."""
     c = classify(results, taint_rules, assume_taint).withColumn("at", location(F.col("trace")))
     here = _ref(F.col("file"), F.col("line"))
-    there = F.when(F.col("at").isNotNull(), _ref(F.col("at.file"), F.col("at.line"))).otherwise(here)
+    there = F.when(F.col("at.file").isNotNull(), _ref(F.col("at.file"), F.col("at.line"))).otherwise(here)
     make = lambda relation, source: F.struct(F.lit(relation).alias("relation"), source.alias("source_ref"), here.alias("target_ref"))
     rows = F.when(F.col("class") == "trace", F.array(make("taints", there), make("reaches_sink", there))).otherwise(F.array(make("reaches_sink", here)))
     found = c.where("class <> 'skipped'").select("pos", F.posexplode(rows).alias("k", "f"), F.col("check_id").alias("detail"), F.col("score").alias("confidence_score"))
@@ -65,6 +88,12 @@ def read_flows(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("file is not null and file <> '' and line >= 0")
 
 
+def without_sanitizer(elements: DataFrame, methods: tuple[str, ...]) -> DataFrame:
+    """Elements of the flows that pass through none of the sanitizing ``methods`` (column ``method``)."""
+    safe = elements.where(F.col("method").isin(*methods)).select("flow").distinct()
+    return elements.join(safe, "flow", "left_anti")
+
+
 def flow_findings(elements: DataFrame, rule: str = "flow") -> DataFrame:
     """End to end ``taints`` and ``reaches_sink`` for each flow with two located elements or more, and ``taints`` between neighbours, which must not be self-edges."""
     located = F.struct("pos", "file", "line")

@@ -282,7 +282,7 @@ def test_shortest_depth_query_walks_as_far_as_the_operator(spark, monkeypatch):
     pairs = [(chain[i], chain[i + 1]) if i % 2 else (chain[i + 1], chain[i]) for i in range(len(chain) - 1)]
     nodes = spark.createDataFrame([node(i, x, x, "f", i) for i, x in enumerate(chain)], NODE)
     edges = spark.createDataFrame([edge(i, s, t, "calls") for i, (s, t) in enumerate(pairs)], EDGE)
-    monkeypatch.setattr(queries, "_graph", lambda *_: (nodes, edges))
+    monkeypatch.setattr(queries, "_graph", lambda *_, **more: (nodes, edges))
     near, depth, hops = {"O:7"}, {"O:7": 0}, 0
     while near and hops < 8:
         hops += 1
