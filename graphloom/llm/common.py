@@ -2,58 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, delete_path, new_path, shared_dir  # noqa: F401
+
 #: Rows an Arrow batch may hold on its way to Python. Texts are long, so the
 #: default of 10,000 rows would let one batch outgrow a Python worker.
 ARROW_ROWS = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it.
-
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) a
-    temporary folder is made and set.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="graphloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", known)
-        spark.sparkContext.setCheckpointDir(known)
-    return known.rstrip("/")
-
-
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it again.
-
-    A lost executor costs nothing afterwards, since the rows are in the shared
-    folder; the file sizes give the planner true statistics.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", "snappy").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    """Cut lineage: write ``df`` to the shared folder and read it again. ``plans.lineage.clear`` deletes what was written."""
+    return cut(df, label)
 
 
 def crc_bucket(column: str, modulus: int):
@@ -63,8 +27,16 @@ def crc_bucket(column: str, modulus: int):
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow``, with batches cut to ``ARROW_ROWS`` rows before ``fn`` sees them; the session's own batch settings stay as they are.
+
+    A batch comes as large as the session allows (10,000 rows unless set), in
+    one piece of memory; slices of it are views.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(b.slice(at, ARROW_ROWS) for b in batches for at in range(0, max(1, b.num_rows), ARROW_ROWS))
+
+    return df.mapInArrow(run, schema)
 
 
 def keep_rows(df: DataFrame, column: str, keep: Callable[[list], "list[bool]"]) -> DataFrame:

@@ -25,11 +25,12 @@ from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_bucket, keep_rows, map_batches, model
+from .common import crc_bucket, map_batches, model
 
 #: Bounds of the labelled sample: documents and characters for each language. Documents count whole.
 SAMPLE_DOCS, SAMPLE_CHARS = 96, 32_768
@@ -317,16 +318,28 @@ def _parser(samples: dict[str, str]) -> Parser:
 
 
 def with_language(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, held: int = 2, wanted: Collection[str] | None = None) -> DataFrame:
-    """``docs`` without the rows whose language is ``und``, or not among the ``wanted`` ones if these are given; all columns stay, nothing is shuffled.
+    """``docs`` without the rows whose language is ``und``, or not among the ``wanted`` ones if these are given; nothing is shuffled.
 
-    Where no language is known, only null texts and those without a letter go.
+    A null ``lang_col`` is filled with the prediction, all other columns and
+    values stay. Where no language is known, only null texts and those without a
+    letter go.
     """
-    samples = sample(docs, lang_col, id_col, text_col, modulus, held)
-    if not samples:
-        return keep_rows(docs, text_col, lambda texts: [any(map(str.isalpha, t or "")) for t in texts])
-    shared = docs.sparkSession.sparkContext.broadcast(samples)
+    shared = docs.sparkSession.sparkContext.broadcast(sample(docs, lang_col, id_col, text_col, modulus, held))
     good = None if wanted is None else frozenset(wanted)
-    return keep_rows(docs, text_col, lambda texts: [x != "und" and (good is None or x in good) for x in _parser(shared.value).judge(texts)[0]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(text_col).to_pylist()
+            if not shared.value:
+                yield b.filter(pa.array([any(map(str.isalpha, t or "")) for t in texts], pa.bool_()))
+                continue
+            names = _parser(shared.value).judge(texts)[0]
+            at = b.schema.names.index(lang_col)
+            filled = pc.coalesce(b.column(at), pa.array([None if x == "und" else x for x in names], pa.string()).cast(b.schema.field(at).type))
+            keep = [x != "und" and (good is None or x in good) for x in names]
+            yield b.set_column(at, b.schema.field(at), filled).filter(pa.array(keep, pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)
 
 
 def language_id(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, held: int = 2) -> DataFrame:

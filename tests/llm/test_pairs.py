@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import ann, neardup, njaccard
 from graphloom.llm.components import components
@@ -151,11 +152,11 @@ def vectors():
     return [[float(x) for x in np.float32(r)] for r in rows]
 
 
-@pytest.mark.parametrize("block,leaf", [(1024, 400), (40, 30)])
-def test_near_duplicates_equal_all_pairs(spark, block, leaf):
+@pytest.mark.parametrize("block,leaf,sample", [(1024, 400, 16_384), (40, 30, 16_384), (40, 30, 60)])
+def test_near_duplicates_equal_all_pairs(spark, block, leaf, sample):
     rows = vectors()
     df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(rows)] + [(i, v, 1) for i, v in BAD], "vec_id long, embedding array<float>, key int")
-    got = {r.vec_id: r for r in neardup.near_duplicates(df, block=block, leaf=leaf).collect() if r.vec_id is not None}
+    got = {r.vec_id: r for r in neardup.near_duplicates(df, block=block, leaf=leaf, sample=sample).collect() if r.vec_id is not None}
     x = np.array(rows)
     x /= np.linalg.norm(x, axis=1)[:, None]
     near = x @ x.T >= 0.95
@@ -171,6 +172,44 @@ def test_near_duplicates_equal_all_pairs(spark, block, leaf):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def planted(n, dim, seed):
+    """Vectors of which a third have a partner at a cosine a little over 0.95, on the whole uniform."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    third = n // 3
+    away = rng.standard_normal((third, dim))
+    away -= (away * x[:third]).sum(axis=1)[:, None] * x[:third]
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    cosine = rng.uniform(0.951, 0.97, third)[:, None]
+    x[third : 2 * third] = cosine * x[:third] + np.sqrt(1 - cosine**2) * away
+    return np.float32(x)
+
+
+@pytest.mark.parametrize("sample", [16_384, 600])
+def test_near_duplicates_recall_on_planted_pairs(spark, sample):
+    """64 dimensions, with leaves from the broadcast trees alone, and mostly split further on the cluster."""
+    x = planted(9000, 64, 5)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": [r.tolist() for r in x]}), "vec_id long, embedding array<float>")
+    got = neardup.near_duplicates(df, leaf=200, sample=sample).toPandas().set_index("vec_id")
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    near = y @ y.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = near.sum(axis=1)
+    found = got.n_links.loc[np.arange(len(x))].to_numpy()
+    assert want.sum() > 5000 and (found <= want).all() and found.sum() >= 0.95 * want.sum()
+    assert (got.kept.to_numpy() == (got.index == got.component_id)).all()
+
+
+def test_near_duplicates_of_many_lengths_and_repeated_ids(spark):
+    rows = [(10 * d + k, [1.0] * d + [0.01 * k]) for d in range(1, 71) for k in range(3)] + [(5000, [1.0, 0.0, 0.0]), (5000, [1.0, 0.01, 0.0]), (5000, [0.0, 0.0, 1.0])]
+    got = {r.vec_id: r for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for d in range(1, 71):
+        assert all((got[10 * d + k].n_links, got[10 * d + k].component_id) == (2, 10 * d) for k in range(3))
+    assert (got[5000].n_links, got[5000].component_id, got[5000].kept) == (1, 5000, True)
+
+
 def exact(rows, ids, queries, k):
     x = np.array(rows)
     out = {}
@@ -181,13 +220,15 @@ def exact(rows, ids, queries, k):
     return out
 
 
-def test_factor_one_is_exact_with_ties(spark):
+def test_factor_one_is_exact_with_ties(spark, monkeypatch):
     rows = vectors()
     ids = list(range(len(rows)))
     df = spark.createDataFrame([(i, v, 0) for i, v in zip(ids, rows)] + [(i, v, 0) for i, v in BAD], "vec_id long, embedding array<float>, shard int")
+    monkeypatch.setattr(ann, "LEAST", 8)
+    monkeypatch.setattr(ann, "QUERIES", 5)
     want = exact(rows, ids, [i for i in ids if i % 10 == 0], 10)
     for factor, least in ((1.0, 1.0), (1.1, 0.95), (3.0, 0.5)):
-        out = ann.nearest(df, lambda i: i % 10 == 0, 10, factor, shard=70, block=9).orderBy("query_id", "rank").collect()
+        out = ann.nearest(df, lambda i: i % 10 == 0, 10, factor, shard=70).orderBy("query_id", "rank").collect()
         got = {}
         for r in out:
             assert r["rank"] == len(got.setdefault(r.query_id, [])) + 1
@@ -199,6 +240,23 @@ def test_factor_one_is_exact_with_ties(spark):
             assert got == want
 
 
+def test_repeated_ids_and_huge_components(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [5.0, 5.0]), (1, [1.0, 0.5]), (1, [0.0, 1.0]), (2, [1e300, -1e300]), (3, [-1.7e308, 1.7e308]), (4, [1.0 + 1e-200, 0.0]), (5, [1.0, 1e-200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("vector", F.lit("clash"))
+    out = [(r["rank"], r.vec_id, r.score) for r in ann.nearest(df, lambda i: i == 0).orderBy("rank").collect()]
+    own = [1.0, 0.0] if out[0][2] < 1 else [5.0, 5.0]
+    with np.errstate(over="ignore"):
+        want = sorted((float(np.hypot(a - own[0], b - own[1])), i) for i, (a, b) in rows[3:])
+    assert [(i, d) for _, i, d in out] == [(i, d) for d, i in want] and [r for r, *_ in out] == list(range(1, len(want) + 1))
+    far = spark.createDataFrame([(0, [1.7e308, 0.0]), (1, [-1.7e308, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in ann.nearest(far, lambda i: i == 0).orderBy("rank").collect()] == [2, 1]
+
+
+def test_distances_of_extreme_vectors():
+    a = np.array([[1e200, 1e200], [1e-200, 0.0], [3.0, 4.0], [0.0, 0.0]])
+    assert np.allclose(ann.distances(a, np.zeros(2)), [2**0.5 * 1e200, 1e-200, 5.0, 0.0], rtol=1e-12, atol=0)
+
+
 def test_few_candidates_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0, 1.0])], "vec_id long, embedding array<double>")
     out = [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in ann.nearest(df, lambda i: i == 0).collect()]

@@ -2,7 +2,9 @@
 
 import itertools
 import re
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,7 +72,48 @@ def test_run_and_registration(spark, data):
 
     assert "pipeline" in entry.queries() and corpus_pipeline.ORACLE_SQL is None
     out = corpus_pipeline.run(spark, data)
-    assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+    assert {"doc_id", "piece", "start", "length", "ids", "sequence_id", "offset", "lang", "source", "n_chars"} <= set(out.columns)
+    rows = out.select("doc_id", "ids", "length", "ids_crc32", "lang").collect()
+    assert rows and all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) == r.ids_crc32 and r.lang for r in rows)
+
+
+def all_stages(spark, docs, sf_dir):
+    for name, stage in corpus_pipeline.STAGES:
+        path = f"{sf_dir}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
+
+
+LABELS = "doc_id long, quality int, toxic int"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, length int, piece string, _row int, ids string"
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    out = all_stages(spark, spark.createDataFrame([], COLUMNS), str(tmp_path))
+    assert out.count() == 0 and {"sequence_id", "document_length", "document_piece", "document__row", "document_ids", "lang"} <= set(out.columns)
+
+
+def test_pipeline_of_nulls_repeats_long_texts_and_clashing_columns(spark, tmp_path):
+    spark.createDataFrame([(i, 1, 0) for i in range(3)] + [(None, 1, 1)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    words = ["the", "and", "with", "that", "of", "is", "was", "for"]
+    text = lambda k, n=40: " ".join(words[(k * i + i * i) % 8] + f"{k}x{i}" for i in range(n))
+    rows = [(1, text(1), "en"), (1, text(1), "en"), (1, text(2), None), (None, text(3), "en"), (None, text(3), None), (2, None, "en"), (3, "", "en"), (4, "99 --", "en"), (5, text(5, 60_000), None), (6, text(6), "de")]
+    docs = spark.createDataFrame([(i, t, lang, None, None, 7, "p", 3, "i") for i, t, lang in rows], COLUMNS)
+    out = all_stages(spark, docs, str(tmp_path)).collect()
+    assert sorted({(r.doc_id is None, r.doc_id or 0) for r in out}) == [(False, 1), (False, 5), (False, 6), (True, 0)]
+    assert sum(r.piece == 0 for r in out) == 5  # two of id 1, one without id, one long, one more
+    assert all(r.lang and (r.document_length, r.document_piece, r.document__row, r.document_ids) == (7, "p", 3, "i") for r in out)
+    assert sum(r.doc_id == 5 for r in out) > 100
+
+
+def test_intermediates_of_a_run_are_deleted(spark, data):
+    from graphloom.plans import lineage
+
+    since = lineage.mark()
+    corpus_pipeline.run(spark, data)
+    assert len(lineage._made) == since + len(corpus_pipeline.STAGES)
 
 
 def test_one_query_an_operator():
