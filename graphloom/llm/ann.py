@@ -6,8 +6,8 @@ where it lies, and with them how near to a query anything in a shard can be. In
 each shard a tree of its own is built, once for all the queries that come there:
 a node keeps a vantage point and, for both halves, the least and the greatest
 distance to it. By the triangle inequality a leaf is at least as far from a
-query as the largest gap along its path; leaves are visited nearest bound first,
-and a query stops when ``factor`` times the bound exceeds its k-th distance.
+query as the largest gap along its path; a leaf is passed over by the queries for
+which ``factor`` times that bound exceeds the k-th distance.
 
 A query first searches the shard it would lie in. Its k-th distance there is a
 radius, and it goes on only to shards whose bound times ``factor`` is inside it.
@@ -37,6 +37,8 @@ from .vectors import matrix, packed
 
 #: Vectors a shard is meant to hold, queries of one shard that a task takes, and vectors in a leaf.
 SHARD, QUERIES, LEAF = 8192, 65_536, 128
+#: Leaves a query visits in an order of its own.
+FIRST = 3
 #: Bounds of the upper tree: vectors it is fitted on, of all lengths together, and least of them in a shard.
 SAMPLE, LEAST = 16_384, 32
 _NONE = np.iinfo(np.int64).max
@@ -97,26 +99,37 @@ class VantageTree:
             for j, path in enumerate(self.paths):
                 for at, low, high in path:
                     np.fmax(bound[:, j], np.fmax(low - far[:, at], far[:, at] - high), out=bound[:, j])
-        order = np.argsort(bound, axis=1, kind="stable")
+        order = np.argsort(bound, axis=1, kind="stable")[:, :FIRST]
+        unseen = np.ones(bound.shape, dtype=bool)
+
+        def visit(j: int, mine: np.ndarray) -> None:
+            rows = self.leaves[j]
+            unseen[mine, j] = False
+            for some in np.array_split(mine, max(1, len(mine) * len(rows) // 40_000)):
+                d = distances(queries[some][:, None, :], self.points[rows][None, :, :])
+                self_ = ids[rows][None, :] == own[some][:, None]
+                d = np.where(self_, np.inf, d)
+                every = np.concatenate([best[some], d], axis=1)
+                name = np.concatenate([names[some], np.where(self_, _NONE, ids[rows][None, :])], axis=1)
+                pick = np.lexsort((name, every), axis=1)[:, :k]
+                best[some], names[some] = np.take_along_axis(every, pick, 1), np.take_along_axis(name, pick, 1)
+
+        def reached(near: np.ndarray, mine: np.ndarray | slice) -> np.ndarray:
+            # rounding in the distances must not prune an exact tie
+            return near * factor <= np.minimum(best[mine, -1], radius[mine]) * (1 + 1e-12) + 1e-12
+
+        # each query's nearest leaves first, then every leaf with all queries that still reach it, nearest on the whole first
         live = np.arange(n)
-        for r in range(len(self.leaves)):
+        for r in range(order.shape[1]):
             leaf = order[live, r]
-            within = np.minimum(best[live, -1], radius[live])
-            # rounding in the distances must not prune an exact tie
-            ok = bound[live, leaf] * factor <= within * (1 + 1e-12) + 1e-12
+            ok = reached(bound[live, leaf], live)
             live, leaf = live[ok], leaf[ok]
-            if not len(live):
-                break
-            for j in np.unique(leaf):
-                rows = self.leaves[j]
-                for mine in np.array_split(live[leaf == j], max(1, int((leaf == j).sum() * len(rows) // 40_000))):
-                    d = distances(queries[mine][:, None, :], self.points[rows][None, :, :])
-                    self_ = ids[rows][None, :] == own[mine][:, None]
-                    d = np.where(self_, np.inf, d)
-                    every = np.concatenate([best[mine], d], axis=1)
-                    name = np.concatenate([names[mine], np.where(self_, _NONE, ids[rows][None, :])], axis=1)
-                    pick = np.lexsort((name, every), axis=1)[:, :k]
-                    best[mine], names[mine] = np.take_along_axis(every, pick, 1), np.take_along_axis(name, pick, 1)
+            for j in np.unique(leaf).tolist():
+                visit(j, live[leaf == j])
+        for j in np.argsort(bound[live].sum(axis=0), kind="stable").tolist() if len(live) else ():
+            mine = live[unseen[live, j]]
+            if len(mine := mine[reached(bound[mine, j], mine)]):
+                visit(j, mine)
         return best, names
 
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, delete_path, new_path, shared_dir  # noqa: F401
 
 #: Rows an Arrow batch may hold on its way to Python. Texts are long, so the
 #: default of 10,000 rows would let one batch outgrow a Python worker.
-ARROW_ROWS = 512
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -26,19 +28,34 @@ def crc_bucket(column: str, modulus: int):
 
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow``, with batches cut to ``ARROW_ROWS`` rows before ``fn`` sees them; the session's own batch settings stay as they are.
+def small_batches(spark: SparkSession) -> None:
+    """Cut Arrow batches to ``ARROW_ROWS`` rows and ``ARROW_BYTES`` bytes, where the session leaves them at Spark's defaults; settings of its own stay."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        # what a session has set itself is listed; defaults are not
+        if not spark._jsparkSession.conf().getAll().contains(key):
+            spark.conf.set(key, str(value))
 
-    A batch comes as large as the session allows (10,000 rows unless set), in
-    one piece of memory; slices of it are views.
-    """
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` in small batches, whatever the session: larger ones are looked at ``ARROW_ROWS`` rows at a time."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return fn(b.slice(at, ARROW_ROWS) for b in batches for at in range(0, max(1, b.num_rows), ARROW_ROWS))
+        try:
+            yield from fn(b.slice(at, ARROW_ROWS) for b in batches for at in range(0, max(1, b.num_rows), ARROW_ROWS))
+        finally:
+            _give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def _give_back() -> None:
+    """Free memory of a worker goes back to the machine when its task ends; workers outlive tasks, and others need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def keep_rows(df: DataFrame, column: str, keep: Callable[[list], "list[bool]"]) -> DataFrame:
     """Rows of ``df`` for whose values in ``column`` ``keep`` says so; all columns stay as they are, nothing is shuffled."""
 

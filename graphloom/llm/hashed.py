@@ -17,7 +17,7 @@ from .common import Memo, map_batches
 #: Hash space of feature names.
 DIM = 1 << 22
 _WORD = re.compile(r"[^\W\d_]+")
-_MEMO = 200_000
+_MEMO = 100_000
 
 
 def hashed(name: str) -> int:

@@ -63,9 +63,9 @@ NARROW = 10
 MOST_BROADCAST = 1_000_000
 #: Rows of a column, by the sketch, that one part of it holds.
 PART = 2048
-_SEEN = 500_000
+_SEEN = 100_000
 #: Bytes of text whose words are hashed at a time.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: A random number for each byte at each place of a word, upper-case letters as their lower-case ones; places repeat after 64, times ``_ROUND`` each time.

@@ -15,6 +15,7 @@ result; columns other than id and text are not read.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, map_batches
+from .common import crc_bucket, map_batches, model
 from .hashed import Features, Sparse, Weights, adam, hashed, label_of_ids, labelled_sample, screen, sigmoid
 
 #: Bound of the training sample, rows for each grade.
@@ -127,13 +128,13 @@ def quality(docs: DataFrame, labels: DataFrame, grade_col: str = "quality", id_c
     ``tail``: P(grade >= ``wanted``), by default the highest grade; selected
     where that is at least ``least``. One pass over the documents, no shuffle.
     """
-    model = train(docs, labels, grade_col, id_col, text_col, modulus, held)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    fitted = train(docs, labels, grade_col, id_col, text_col, modulus, held)
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fitted))
     kind = docs.schema[id_col].dataType.simpleString()
-    wanted = model.grades[-1] if wanted is None else wanted
+    wanted = fitted.grades[-1] if wanted is None else wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = model(("quality", shared.value), lambda: pickle.loads(shared.value))
         gaps = np.diff(m.grades).astype(float)
         k = int(np.searchsorted(m.grades, wanted))
         for b in batches:

@@ -16,8 +16,9 @@ any type; columns other than id and text are not read.
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, keep_rows, map_batches
+from .common import crc_bucket, keep_rows, map_batches, model
 from .hashed import Features, Sparse, Weights, adam, labelled_sample, letters, screen, sigmoid, stem_features
 
 #: Groups of identity terms that may stand for each other: English, French, German, Spanish.
@@ -155,13 +156,19 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     return fit([array(r.raw) for r in rows], pairs, np.array([float(r.label) for r in rows]), penalty, prior=prior, terms=swaps.features())
 
 
-def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, score`` for every document: one pass, no shuffle. The model (bounded) is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _shipped(docs: DataFrame, fitted: ToxicityModel) -> Callable[[], ToxicityModel]:
+    """The model (bounded) broadcast as bytes; a worker builds it once and lets go of it for the next model."""
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fitted))
+    return lambda: model(("toxicity", shared.value), lambda: pickle.loads(shared.value))
+
+
+def score(docs: DataFrame, fitted: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, score`` for every document: one pass, no shuffle."""
+    get = _shipped(docs, fitted)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = get()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(t) for t in b.column(1).to_pylist()], pa.float64())], [id_col, "score"])
 
@@ -170,8 +177,8 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 5, held: int = 0, limit: float = 0.5, terms=IDENTITY_TERMS, penalty: float = PENALTY) -> DataFrame:
     """``docs`` without the rows that score ``limit`` or more; all columns stay, nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label_col, id_col, text_col, modulus, held, terms=terms, penalty=penalty))
-    return keep_rows(docs, text_col, lambda texts: [shared.value.score(t) < limit for t in texts])
+    get = _shipped(docs, train(docs, labels, label_col, id_col, text_col, modulus, held, terms=terms, penalty=penalty))
+    return keep_rows(docs, text_col, lambda texts: [get().score(t) < limit for t in texts])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 5, held: int = 0, terms=IDENTITY_TERMS, penalty: float = PENALTY) -> DataFrame:

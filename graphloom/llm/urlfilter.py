@@ -15,7 +15,6 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import os
 import tempfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -123,16 +122,18 @@ class DigestArray:
 _OPEN: dict[str, DigestArray] = {}
 
 
+_SHIPPED: dict[str, str] = {}
+
+
 def ship(spark: SparkSession, rules: Iterable[tuple[str, bool]]) -> str:
-    """Write the array and hand it to Spark's file server; the file's name depends on its content."""
+    """Write the array into a folder of this process alone and hand it to Spark's file server; the file's name depends on its content."""
     rules = sorted(set(rules))
     name = f"url-rules-{hashlib.sha256(repr(rules).encode()).hexdigest()[:24]}.bin"
-    path = Path(tempfile.gettempdir(), name).resolve()
-    if not path.exists():
-        made = f"{path}-{os.getpid()}"
-        DigestArray.write(rules, made)
-        os.replace(made, path)
-    spark.sparkContext.addFile(str(path))
+    if name not in _SHIPPED:
+        path = str(Path(tempfile.mkdtemp(prefix="url-rules-"), name).resolve())
+        DigestArray.write(rules, path)
+        _SHIPPED[name] = path
+    spark.sparkContext.addFile(_SHIPPED[name])
     return name
 
 

@@ -8,8 +8,9 @@ capture are joined through WARC-Concurrent-To into one nested row.
 
 Defined results: a null payload is empty; a null url becomes an empty target; a
 page given twice is captured twice, and of equal payloads every row that has the
-smallest id is a response; an empty table gives an empty archive; other columns
-are ignored.
+smallest id is a response; ids may be of any type and hold anything, and a null
+id comes back null; an empty table gives an empty archive; other columns are
+ignored. A payload that does not have the digest its record says stops the read.
 """
 
 from __future__ import annotations
@@ -33,6 +34,24 @@ VERSION = "WARC/1.1"
 #: Date of the records; the pages carry none.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Captures an archive file holds at most; readers take a file as a whole.
+CAPTURES = 1000
+#: What an id must not hold inside a header, and how it is written there.
+_ESCAPES = (("%", "%25"), ("\r", "%0D"), ("\n", "%0A"), (">", "%3E"), (" ", "%20"))
+
+
+def _escaped(value: Column) -> Column:
+    text = value.cast("string")
+    for plain, written in _ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    return F.when(text == "", "%00").otherwise(text)
+
+
+def _unescaped(text: Column) -> Column:
+    out = text
+    for plain, written in reversed(_ESCAPES):
+        out = F.replace(out, F.lit(written), F.lit(plain))
+    return F.when(text == "%00", "").otherwise(out)
 
 
 def base32(sha1: Column) -> Column:
@@ -65,11 +84,11 @@ def plan_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> None:
-    """Archives under ``path``: gzip files, three records a page."""
+    """Archives under ``path``: gzip files of at most ``CAPTURES`` pages, three records a page."""
     only = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html"))
     p = plan_revisits(only, "id", "html", least_bytes)
     # the row number tells rows of equal id apart
-    uid = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit("/"), F.monotonically_increasing_id().cast("string"))
+    uid = F.concat(F.coalesce(_escaped(F.col("id")), F.lit("null")), F.lit("/"), F.monotonically_increasing_id().cast("string"))
     urn = lambda part: F.concat(F.lit("<urn:graphloom:"), part, F.lit(">"))
     p = p.withColumn("capture", urn(F.concat(F.lit("capture/"), uid)))
     side = lambda kind: F.concat(F.regexp_replace("capture", ">$", ""), F.lit(f"/{kind}>"))
@@ -84,12 +103,12 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     length = F.octet_length(head) + F.when(seen, F.lit(0)).otherwise(F.col("payload_bytes"))
     digest = F.concat(F.lit("sha1:"), F.col("payload_digest"))
     answer = [*common(F.col("capture")), ("Content-Type", F.lit("application/http; msgtype=response")), ("WARC-Payload-Digest", digest)]
-    refers = [("WARC-Profile", F.when(seen, F.lit(PROFILE))), ("WARC-Refers-To", F.when(seen, urn(F.concat(F.lit("page/"), F.col("first").cast("string")))))]
+    refers = [("WARC-Profile", F.when(seen, F.lit(PROFILE))), ("WARC-Refers-To", F.when(seen, urn(F.concat(F.lit("page/"), _escaped(F.col("first"))))))]
     response = F.when(seen, _record("revisit", [*answer, *refers], block, length)).otherwise(_record("response", answer, block, length))
-    facts = F.concat(F.lit("pageId: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(_CRLF))
+    facts = F.concat(F.lit("pageId: "), F.coalesce(_escaped(F.col("id")), F.lit("")), F.lit(_CRLF))
     metadata = _record("metadata", [*common(side("metadata")), ("WARC-Concurrent-To", F.col("capture")), ("Content-Type", F.lit("application/warc-fields"))], facts, F.octet_length(facts))
     records = p.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", _CRLF * 2).option("compression", "gzip").text(path)
+    records.write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * CAPTURES).text(path)
 
 
 def _stream(content: bytes) -> io.BufferedIOBase:
@@ -207,7 +226,9 @@ def roundtrip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", p
     write_warc(pages, path, id_col, url_col, payload_col, least_bytes)
     t = assemble(read_warc(spark, path))
     kind = pages.schema[id_col].dataType
+    digest = F.when(F.coalesce(F.col("response.digest_ok"), F.lit(True)), F.col("response.digest")).otherwise(F.raise_error(F.concat(F.lit("a payload is damaged: "), F.col("capture_id"))))
+    refers = F.regexp_extract("response.refers_to", "page/([^>]*)>", 1)
     return t.select(
-        F.col("metadata.page_id").cast(kind).alias(id_col), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"), F.col("response.type").alias("record_type"),
-        F.regexp_extract("response.refers_to", "page/([^>]*)>", 1).cast(kind).alias("refers_to"), F.col("response.target_uri").alias("target_uri"), F.col("response.digest_ok").alias("digest_ok"),
+        _unescaped(F.col("metadata.page_id")).cast(kind).alias(id_col), F.col("response.payload_bytes").alias("payload_bytes"), digest.alias("payload_digest"), F.col("response.type").alias("record_type"),
+        _unescaped(F.nullif(refers, F.lit(""))).cast(kind).alias("refers_to"), F.col("response.target_uri").alias("target_uri"), F.col("response.digest_ok").alias("digest_ok"),
     )

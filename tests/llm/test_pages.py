@@ -4,6 +4,8 @@ import base64
 import gzip
 import hashlib
 
+import pytest
+
 from graphloom.llm import urlfilter, warc
 from graphloom.llm.queries import ORACLE_SQL, QUERIES, URL_RULES
 
@@ -84,3 +86,34 @@ def test_empty_table_and_gzip_members(spark, tmp_path):
     record = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert [b for _, b in warc.parse(gzip.compress(record) + gzip.compress(record))] == [b"abc", b"abc"]
     assert [b for _, b in warc.parse(record * 2)] == [b"abc", b"abc"]
+
+
+def test_ids_may_hold_anything(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CAPTURES", 2)
+    ids = ["a\r\nb: c", "50% >off<", " lead", "", None, "same", "same", "%00", "/x"]
+    df = spark.createDataFrame([(i, "u", f"page {k // 2}") for k, i in enumerate(ids)], "page_id string, url string, html string").coalesce(1)
+    path = f"file://{tmp_path}/w"
+    out = warc.roundtrip(df, path=path).collect()
+    assert sorted(str(r.page_id) for r in out) == sorted(map(str, ids))
+    assert {(r.page_id, r.refers_to) for r in out if r.record_type == "revisit"} == {("a\r\nb: c", "50% >off<"), (" lead", ""), ("same", "%00")}
+    assert len(list((tmp_path / "w").glob("*.gz"))) >= 4  # no file grows with the table
+
+
+def test_damaged_payload_stops_the_read(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "some payload")], "page_id long, url string, html string")
+    made = warc.write_warc
+
+    def damaged(pages, path, *args):
+        made(pages, path, *args)
+        folder = tmp_path / "w"
+        for f in folder.glob("*.gz"):
+            f.write_bytes(gzip.compress(gzip.decompress(f.read_bytes()).replace(b"some payload", b"sime payload")))
+        for f in folder.glob(".*.crc"):
+            f.unlink()
+
+    warc.write_warc = damaged
+    try:
+        with pytest.raises(Exception, match="damaged"):
+            warc.roundtrip(df, path=f"file://{tmp_path}/w").collect()
+    finally:
+        warc.write_warc = made
