@@ -55,8 +55,8 @@ def radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2,
     raises KeyError. The result may be put in ``ordered`` for display.
     """
     adj = adjacency(edges, direction, relations)
-    asked = cut(seeds.select("id").distinct(), "asked")
-    unknown = asked.join(cut(existing(nodes, asked), "known"), "id", "left_anti").limit(5).collect()
+    asked = seeds.select("id").distinct()
+    unknown = asked.join(existing(nodes, asked), "id", "left_anti").limit(5).collect()
     if unknown:
         raise KeyError(f"no such nodes: {[r.id for r in unknown]}")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("id")).cast("long") if max_nodes else F.lit(0).cast("long")
@@ -76,8 +76,10 @@ def radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2,
             dropped = over if dropped is None else dropped.union(over)
             frontier = ranked.where(F.col("place") <= max_nodes)
         else:
-            frontier = cut(found.withColumn("depth", F.lit(hop)).withColumn("place", F.lit(0).cast("long")), "hop")
-        if frontier.isEmpty():
+            frontier = found.withColumn("depth", F.lit(hop)).withColumn("place", F.lit(0).cast("long"))
+            # what the last hop finds is not walked from
+            frontier = cut(frontier, "hop") if hop < depth else frontier
+        if (max_nodes or hop < depth) and frontier.isEmpty():
             break
         seen = seen.unionByName(frontier.select(seen.columns))
     out = seen.select("query_id", "id", "depth")
@@ -98,7 +100,7 @@ def first_wins(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 def closure_edges(edges: DataFrame, reach: DataFrame) -> DataFrame:
     """``query_id`` and each edge, of any relation, with both ends in the query's reach; of equal (source, target, relation) the first."""
-    inside = reach.select("query_id", "id")
+    inside = cut(reach.select("query_id", "id"), "inside")  # its size tells whether edges have to be shuffled for it
     kept = edges.join(inside.withColumnRenamed("id", "source"), "source").join(inside.withColumnRenamed("id", "target"), ["query_id", "target"], "left_semi")
     return first_wins(kept, ["query_id", "source", "target", "relation"], F.col("edge_pos"))
 
@@ -141,7 +143,7 @@ def neighbours(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, relations:
     s = seeds.select("query_id", F.col("id").alias("seed"))
     callers = kept.join(s, kept["target"] == s["seed"]).select("query_id", F.col("source").alias("id"), F.lit("caller").alias("role"), "relation")
     callees = kept.join(s, kept["source"] == s["seed"]).where("source <> target").select("query_id", F.col("target").alias("id"), F.lit("callee").alias("role"), "relation")
-    return callers.union(callees).join(nodes.select("id"), "id", "left_semi").select("query_id", "id", "role", "relation").distinct()
+    return existing(nodes, cut(callers.union(callees).distinct(), "near")).select("query_id", "id", "role", "relation")
 
 
 def shortest_depth(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, limit: int = 8, relations: tuple[str, ...] = TRAVERSAL_RELATIONS) -> DataFrame:

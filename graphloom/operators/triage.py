@@ -27,9 +27,12 @@ def triage(report: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2
     reach = cut(radius(nodes, edges, known, depth, direction, relations, max_nodes), "reach")
     closure = cut(closure_edges(edges, reach), "closure")
     lists = lambda df, name: df.groupBy("query_id").agg(F.array_sort(F.collect_set("id")).alias(name))
-    near = neighbours(nodes, edges, known, relations)
-    tests = edges.where("relation = 'tests'").join(known.select("query_id", F.col("id").alias("target")), "target").select("query_id", F.col("source").alias("id"))
-    config = edges.where("relation = 'reads_config'").join(known.select("query_id", F.col("id").alias("source")), "source").select("query_id", F.col("target").alias("id"))
+    # edges at a seed, read once for all that asks about them
+    own = known.select("id").distinct()
+    at = cut(edges.join(own.withColumnRenamed("id", "source"), "source").select("source", "target", "relation").unionByName(edges.join(own.withColumnRenamed("id", "target"), "target").select("source", "target", "relation")).distinct(), "near")
+    near = neighbours(nodes, at, known, relations)
+    tests = at.where("relation = 'tests'").join(known.select("query_id", F.col("id").alias("target")), "target").select("query_id", F.col("source").alias("id"))
+    config = at.where("relation = 'reads_config'").join(known.select("query_id", F.col("id").alias("source")), "source").select("query_id", F.col("target").alias("id"))
     parts = [
         reach.groupBy("query_id").agg(F.count("*").alias("n_nodes"), F.bool_or("truncated").alias("truncated")), closure.groupBy("query_id").agg(F.count("*").alias("n_edges")),
         lists(near.where("role = 'caller'"), "callers"), lists(near.where("role = 'callee'"), "callees"), lists(taint_exposed(closure)[1], "exposed"),

@@ -1103,3 +1103,27 @@ def swap_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = table(spark, sf_dir, "customer").select(F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")).alias("slot"), k.alias("k")).distinct()
     trusted = state.trustworthy(F.when(F.col("k") == 2, state.VERSION - 1).otherwise(state.VERSION), F.lit(True))
     return slots.select("slot", state.decision(F.col("k") == 0, F.col("k") != 1, trusted).alias("decision"))
+
+
+@query(f"with {_DEFS_SQL} select file, cls || '.customer_' || c as name, 'supplier_' || (c % 7) as callee, l + 1 as line from m where c % 3 <> 0")
+def call_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every call in the generated sources, with its line and the definition around it."""
+    from .operators import symbols
+
+    return symbols.call_lines(_sources(spark, sf_dir))
+
+
+@query(f"""with {_DEFS_SQL}, f as (select c, 'customer_' || c as source_function, 'supplier_' || (c % 7) as source_call, 'customer_' || (c + 1) as sink_function, 'supplier_' || ((c + 1) % 7) as sink_call from m),
+calls as (select 'customer_' || c as fn, 'supplier_' || (c % 7) as call, file, l + 1 as line from m where c % 3 <> 0)
+select f.c as flow, a.file as source_file, a.line as source_line, b.file as sink_file, b.line as sink_line from f left join calls a on a.fn = source_function and a.call = source_call left join calls b on b.fn = sink_function and b.call = sink_call""")
+def flow_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the calls that a ground truth names stand."""
+    from .operators import symbols
+
+    k = F.col("c_custkey")
+    name = lambda pre, x: F.concat(F.lit(pre), x.cast("string"))
+    flows = table(spark, sf_dir, "customer").select(k.alias("flow"), name("customer_", k).alias("source_function"), name("supplier_", k % 7).alias("source_call"), name("customer_", k + 1).alias("sink_function"), name("supplier_", (k + 1) % 7).alias("sink_call"))
+    return corpus.flow_locations(flows, symbols.call_lines(_sources(spark, sf_dir)))
+
+
+from . import queries_io  # noqa: E402, F401

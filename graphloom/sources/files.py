@@ -173,7 +173,7 @@ def git_log(spark: SparkSession, repo: str, *args: str) -> DataFrame:
 
 def commits(log: DataFrame) -> DataFrame:
     """``commit, subject, body, pos`` of a history (one ``text``) whose fields end in NUL and records in SOH."""
-    each = log.select(F.posexplode(F.split("text", "\x01")).alias("pos", "r")).where("trim(r) <> ''")
+    each = log.select(F.posexplode(F.split("text", "\x01")).alias("pos", "r")).where(F.col("r").rlike(r"\S"))
     f = F.split(F.ltrim(F.col("r")), "\x00")
     return each.select(F.regexp_replace(f[0], r"^\s+", "").alias("commit"), F.get(f, F.lit(1)).alias("subject"), F.get(f, F.lit(2)).alias("body"), "pos")
 

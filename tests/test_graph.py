@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import queries
+from graphloom.functions import text as X
 from graphloom.operators import diff, edges as E, pack, rank, resolve, state, supplement, symbols, traverse, triage
 
 NODE = "id string, label string, source_file string, source_location string, _callable boolean, qualified_name string, origin string, node_pos long"
@@ -290,3 +291,88 @@ def test_shortest_depth_query_walks_as_far_as_the_operator(spark, monkeypatch):
         depth |= dict.fromkeys(near, hops)
     got = {r.target: r.depth for r in queries.QUERIES["shortest_depth"](spark, "").collect()}
     assert got == {x: depth.get(x) for x in ("S:1", "P:3", "R:1")} == {"S:1": 4, "P:3": 8, "R:1": None}
+
+
+def test_ladder_folds_case_and_answers_places_from_the_place_alone(spark, graph):
+    nodes = graph[0].unionByName(spark.createDataFrame([node(20, "p1", "Parse()", "src/p.py", 3), node(21, "p2", "ParseAll()", "src/p.py", 9), node(22, "parse_mod", "util", "src/p.py", 20), node(23, "s", "Straße()", "src/s.py", 2)], NODE))
+    asked = ["parse", "PARSEALL", "STRASSE", "SRC/sub.py", "./src/sub.py/", "src/p.py:L1", "nowhere.py:3", "arseal", "rse", "Handler()"]
+    out = {r.query_id: (r.id, r.rung) for r in resolve.resolve(spark.createDataFrame([(a, a) for a in asked], "query_id string, query string"), nodes).collect()}
+    assert out["parse"] == ("p1", "bare") and out["PARSEALL"] == ("p2", "bare") and out["STRASSE"] == ("s", "bare")
+    assert out["SRC/sub.py"] == out["./src/sub.py/"] == ("Sub", "file")
+    assert "src/p.py:L1" not in out and "nowhere.py:3" not in out  # nothing lies above, and a place is no name
+    assert out["arseal"] == ("p2", "substring") and "rse" not in out and out["Handler()"] == ("handler", "label")
+
+
+def test_containment_through_grams_equals_the_direct_form(spark, graph, monkeypatch):
+    ask = spark.createDataFrame([(q, q) for q in ("check", "VALID", "a", "py", "handler", "src/sub", "no")], "query_id string, query string")
+    shown = lambda: sorted((r.query_id, r.id, r.match, r["rank"]) for r in resolve.candidates(ask, graph[0]).collect())
+    direct = shown()
+    monkeypatch.setattr(resolve, "DIRECT", 2)
+    assert shown() == direct and len(direct) > 10
+    plan = resolve.candidates(ask, graph[0])._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_places_in_far_spans_carry_the_last_definition(spark, graph, monkeypatch):
+    monkeypatch.setattr(resolve, "SPAN", 4)
+    test_locate_guards(spark, graph)
+    ask = spark.createDataFrame([(str(k), "src/app.py", k) for k in range(1, 60)], "query_id string, file string, line int")
+    out = {int(r.query_id): r.id for r in resolve.locate(ask, graph[0]).collect()}
+    assert out == {k: "sanitize" if k >= 20 else "validate" if k >= 10 else "handler" for k in range(3, 60)}
+
+
+def test_dangling_ends_are_neither_found_nor_walked_through(spark, graph):
+    e = graph[1].unionByName(spark.createDataFrame([edge(9, "ghost", "sanitize", "calls"), edge(10, "Sub", "ghost", "calls")], EDGE))
+    assert reach(spark, (graph[0], e), "sanitize", 3, "up") == {"sanitize": 0, "validate": 1, "handler": 2, "t_validate": 2}
+    assert [(r.id, r.pos) for r in traverse.ordered(traverse.radius(graph[0], e, seeds(spark, "sanitize"))).orderBy("pos").collect()] == [("sanitize", 1), ("validate", 2), ("handler", 3), ("t_validate", 4)]
+    narrow, wide = (traverse.radius(*graph, seeds(spark, "Base"), 1, "up", r) for r in (("calls",), ("calls", "inherits")))
+    assert traverse.is_subset(narrow, wide) and not traverse.is_subset(wide, narrow)
+    assert traverse.relation_set(("a", "b"), ("b", "c")) == ("a", "b", "c")
+
+
+def test_tests_are_linked_by_words_only_and_to_any_labelled_node(spark):
+    rows = [node(0, "a", "Widget", "src/a.py", 1), node(1, "b", "twice()", "src/b.py", 1), node(2, "c", "Twice", "src/c.py", 1), node(3, "t1", "test_widget()", "tests/t.py", 1), node(4, "t2", "TEST_TWICE()", "tests/t.py", 2), node(5, "t3", "test_widget-x()", "tests/t.py", 3), node(6, "t4", ".test_widget()", "tests/t.py", 4)]
+    n = spark.createDataFrame(rows, NODE)
+    assert [(r.test_id, r.target_id) for r in E.unique_name_links(n).collect()] == [("t1", "a")]
+    assert {r.test_id for r in E.unique_name_links(n, strip_dots=True).collect()} == {"t1", "t4"}
+
+
+def test_supplement_comes_before_findings(spark, source):
+    nodes = spark.createDataFrame([node(0, "a_py", "a.py", "a.py", 1), node(1, "a_top", "top()", "a.py", 5)], NODE)
+    edges = spark.createDataFrame([], EDGE)
+    ref = "struct<node:string,file:string,line:int>"
+    found = spark.createDataFrame([("taints", ("a_top", None, None), ("Outer.method", None, None), None, None, None, False, 0)], f"relation string, source_ref {ref}, target_ref {ref}, detail string, confidence string, confidence_score double, skip_self boolean, pos long")
+    n, e, report = E.reapply(nodes, edges, source[1], found)
+    assert {(r.source, r.target) for r in e.where("relation = 'taints'").collect()} == {("a_top", "a_py_outer_method")} and {r.reason for r in report.collect()} == {"applied"}
+
+
+def test_refresh_tells_what_changed_once_more(spark):
+    manifest = spark.createDataFrame([("a", "1"), ("b", "1")], "path string, md5 string")
+    files = spark.createDataFrame([("a", "", "2"), ("b", "", "2")], "path string, text string, md5 string")
+    now = spark.createDataFrame([("a", "2"), ("b", "3")], "path string, md5 string")
+    _, report = state.refresh(spark.createDataFrame([("a", 1)], "path string, v int"), manifest, files, lambda f: f.select("path", F.lit(2).alias("v")), now)
+    assert {r.path: r.still_stale for r in report.collect()} == {"a": False, "b": True}
+    assert state.render_refresh(report).first().text == "edited a\nedited b (still stale)"
+
+
+def test_fingerprints_and_their_differences(spark, graph):
+    ids = spark.createDataFrame([("validate",), ("cfg",)], "id string")
+    before = diff.fingerprints(graph[1], ids)
+    after = diff.fingerprints(graph[1].where("target <> 'sanitize'"), ids)
+    rows = {r.id: r.edges for r in before.collect()}
+    assert rows["cfg"] == [] and rows["validate"] == sorted(rows["validate"]) and rows["validate"][0] == '{"confidence":"EXTRACTED","relation":"calls","source":"handler","target":"validate"}'
+    out = diff.fingerprint_diff(before, after).collect()
+    assert [(r.id, len(r.added), len(r.removed)) for r in out] == [("validate", 0, 1)]
+
+
+def test_triage_lines(spark, graph):
+    report = spark.createDataFrame([("V1", "d", "src/app.py", 21, None), ("V3", "d", "x.py", 3, None)], "query_id string, description string, file string, line int, function string")
+    text = {r.query_id: r.text for r in triage.summarize(triage.triage(report, *graph)).collect()}
+    assert text == {"V1": "- V1: sanitize [radius: 4 nodes/3 edges; taint-exposed: 0; NO TEST COVERAGE; overrides: 0; config deps: 0]", "V3": "- V3: UNRESOLVED"}
+
+
+def test_python_rounding_and_label_kinds(spark):
+    df = spark.createDataFrame([(2.675, 2), (0.5, 0), (1.5, 0), (None, 1)], "v double, n int")
+    assert [r.x for r in df.select(X.rounded("v", "n").alias("x")).collect()] == [round(2.675, 2), 0.0, 2.0, None]
+    df = spark.createDataFrame([("f()",), ("a/b.py",), ("Class",), (None,)], "l string")
+    assert [r.k for r in df.select(X.label_kind(F.col("l")).alias("k")).collect()] == ["function", "file", None, None]

@@ -4,8 +4,10 @@ import json
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
+from graphloom.operators import evaluate
 from graphloom.sources import files as S
 from graphloom.sources import graph as G
 from graphloom.sources import scanners as C
@@ -135,3 +137,58 @@ def test_stream_upserts_and_a_second_run_adds(spark, tmp_path):
     put(src / "b.json", row("a", "new", 2))
     findings.start(spark, str(src), table, cp).awaitTermination(120)
     assert {r.source_id: r.detail for r in findings.current(spark, table).collect()} == {"a": "new", "b": "b"}
+
+
+def test_a_new_checkpoint_loses_no_update(spark, tmp_path):
+    """Batch numbers begin at 0 again, at a new place and at the old one; versions go on, and a batch taken in before changes nothing."""
+    import shutil
+
+    table = str(tmp_path / "out")
+    row = lambda s, d, seq: json.dumps({"relation": "taints", "source_id": s, "target_id": "t", "detail": d, "seq": seq})
+    shown = lambda: {r.source_id: r.detail for r in findings.current(spark, table).collect()}
+    for k, (folder, checkpoint) in enumerate([("in1", "cp1"), ("in1", "cp1"), ("in2", "cp2"), ("in3", "cp1")]):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        if k == 3:
+            shutil.rmtree(tmp_path / "cp1")
+        put(tmp_path / folder / f"{k}.json", row("a", f"v{k}", k) + "\n" + row(f"only{k}", "x", 0))
+        findings.start(spark, str(tmp_path / folder), table, str(tmp_path / checkpoint)).awaitTermination(120)
+        assert shown() == {"a": f"v{k}"} | {f"only{i}": "x" for i in range(k + 1)}
+    manifests = sorted(p.name for p in (tmp_path / "out" / "manifest").iterdir())
+    assert manifests == ["000000000003", "000000000004"]  # older ones are dropped
+    batch = spark.createDataFrame([("taints", "a", "t", "again", None, None, 9)], findings.SCHEMA)
+    take = findings.upsert_into(table, "other")
+    take(batch, 0)
+    take(batch.withColumn("detail", F.lit("twice")), 0)
+    assert shown()["a"] == "again"
+    # only the buckets of a batch's keys are written again
+    touched = {r.bucket for r in batch.select(F.pmod(F.xxhash64(*findings.KEYS), F.lit(findings.BUCKETS)).alias("bucket")).collect()}
+    assert {int(p.name.split("=")[1]) for p in max((tmp_path / "out" / "data").iterdir()).glob("bucket=*")} == touched
+
+
+def test_configuration_lies_where_its_forms_say(spark):
+    names = [".env", "a/.env", "helm/x/y.yaml", "x/helm/y.yaml", "k8s/a.yml", "k8s/b/a.yml", ".github/workflows/ci.yml", "Dockerfile.dev", "src/Dockerfile", "main.tf"]
+    df = spark.createDataFrame([(n, "export MY_KEY=1") for n in names], "file string, text string")
+    assert {r.file for r in S.env_definitions(df).collect()} == {".env", "helm/x/y.yaml", "k8s/a.yml", ".github/workflows/ci.yml", "Dockerfile.dev", "main.tf"}
+
+
+def test_long_paths_in_diffs(spark):
+    path = "d/" * 3000 + "f.py"
+    df = spark.createDataFrame([("x", f"--- a/{path}\n+++ b/{path}\n@@ -3,0 +4 @@\n+new")], "diff_id string, text string")
+    assert [(r.file, r.line, r.kind) for r in S.changed_old_lines(df).collect()] == [(path, 3, "inserted")]
+
+
+def test_hidden_files_at_every_depth(spark, tmp_path):
+    for name in (".env", "a/.env", "a/b/_c.py", ".github/workflows/ci.yml", "a/b/d.py", ".git/config", "node_modules/x/.env"):
+        at = tmp_path / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text("x = 1")
+    assert {r.file for r in S.scan(spark, str(tmp_path)).collect()} == {".env", "a/.env", "a/b/_c.py", ".github/workflows/ci.yml", "a/b/d.py"}
+
+
+def test_keys_lines_costs_and_time_left(spark):
+    df = spark.createDataFrame([("'a b'", "x L12 y", '{"a": [1, 2]}'), ("[computed]", "none", None), ("1st", "L7", '"é"'), ("`ok`", None, "[]"), ("with\ttab", "", "1")], "k string, l string, j string")
+    out = df.select(X.clean_key(F.col("k")).alias("k"), X.loose_line(F.col("l")).alias("l"), X.json_cost("j").alias("j")).collect()
+    assert [r.k for r in out] == ["a b", None, None, "ok", None] and [r.l for r in out] == [12, None, 7, None, None]
+    assert [r.j for r in out] == [len('{"a": [1, 2]}') // 4, None, len('"\\u00e9"') // 4, 0, 0]
+    df = spark.createDataFrame([(3, 10, 60.0, 2), (12, 10, 60.0, 2), (0, 4, 30.0, 0)], "done int, total int, s double, n int")
+    assert [r.m for r in df.select(evaluate.eta_minutes(*map(F.col, df.columns)).alias("m")).collect()] == [3.5, 0.0, 2.0]
