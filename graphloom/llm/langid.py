@@ -293,6 +293,9 @@ def sample(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text
     rows = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     order = F.struct((F.length("text") > LONG).alias("long"), F.xxhash64("id").alias("hash"), F.col("id"), F.length("text").alias("size"))
     heads = rows.select("lang", order.alias("at")).groupBy("lang", F.col("at.id").alias("id")).agg(F.min("at").alias("at"))
+    # the first of each share of a language, then of these: few rows of a language meet in one task
+    share = F.row_number().over(Window.partitionBy("lang", "share").orderBy("at"))
+    heads = heads.withColumn("share", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(16))).withColumn("rank", share).where(F.col("rank") <= most_docs).select("lang", "id", "at")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
     picked: dict[str, list] = {}
     room: dict[str, int] = {}
