@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import text as X
 from .operators import diff, evaluate, rank, state, supplement, symbols
@@ -160,13 +161,13 @@ def env_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads of environment variables in code, one row a match; other files and lower-case names do not count."""
     k = F.col("c_custkey")
     text = F.when(k % 3 == 0, F.concat(F.lit("x = os.environ['KEY_"), _text(k), F.lit("'] or os.getenv('lower')"))).when(k % 3 == 1, F.concat(F.lit("let x = process.env.VAR_"), _text(k))).otherwise("process.env.NOT_CODE")
-    line = F.struct(k.alias("k"), text.alias("t"))
     name = F.when(k % 3 == 0, "src/a.py").when(k % 3 == 1, "src/b.js").otherwise("README.md")
-    # a customer's line follows from its number: lines of the others are empty
-    most = table(spark, sf_dir, "customer").agg(F.max("c_custkey").alias("most"))
-    held = table(spark, sf_dir, "customer").groupBy(name.alias("file")).agg(F.map_from_entries(F.collect_list(line)).alias("m"))
-    body = F.array_join(F.transform(F.sequence(F.lit(0), F.col("most").cast("int")), lambda i: F.coalesce(F.try_element_at("m", i.cast(table(spark, sf_dir, "customer").schema["c_custkey"].dataType)), F.lit(""))), "\n")
-    return files.env_reads(held.join(F.broadcast(most)).select("file", body.alias("text"))).select("file", F.col("line").cast("long").alias("line"), "key")
+    # a customer's line follows from its number: lines of the others are empty, as many as lie between it and the one before
+    before = F.coalesce(F.lag("k").over(Window.partitionBy("file").orderBy("k")), F.lit(0))
+    lines = table(spark, sf_dir, "customer").select(name.alias("file"), k.alias("k"), text.alias("t"))
+    lines = lines.withColumn("t", F.concat(F.repeat(F.lit("\n"), (F.col("k") - before).cast("int")), F.col("t")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), "")
+    return files.env_reads(lines.groupBy("file").agg(body.alias("text"))).select("file", F.col("line").cast("long").alias("line"), "key")
 
 
 @query("""select '.env' as file, (row_number() over (order by s_suppkey))::int as line, 'KEY_' || s_suppkey as key from supplier union all select 'Dockerfile.dev', (row_number() over (order by s_suppkey))::int, 'ARG_' || s_suppkey from supplier
@@ -250,8 +251,6 @@ f as (select query_id, min(score) as floor from r where tier = 'body' and not is
 select r.query_id, r.id, case when score >= coalesce(floor, 0) then 'truncated_high_rank' else 'truncated_low_rank' end as severity from r left join f using (query_id) where tier = 'omitted'""")
 def severity_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was left out although it ranks above something kept."""
-    from pyspark.sql.window import Window
-
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"), F.when(F.col("o_orderkey") % 4 == 0, "omitted").otherwise("body").alias("tier"))
     return rank.severity(o.withColumn("seed", F.min("id").over(Window.partitionBy("query_id")))).select("query_id", "id", "severity")
 

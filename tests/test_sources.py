@@ -6,6 +6,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import queries
 from graphloom.functions import text as X
 from graphloom.operators import evaluate
 from graphloom.sources import files as S
@@ -13,6 +14,8 @@ from graphloom.sources import graph as G
 from graphloom.sources import scanners as C
 from graphloom.streaming import findings
 
+from .oracle import connect, expected, rows
+
 
 def put(path, value, bom=False):
     path.write_text(("﻿" if bom else "") + (value if isinstance(value, str) else json.dumps(value)), encoding="utf-8")
@@ -192,3 +195,11 @@ def test_keys_lines_costs_and_time_left(spark):
     assert [r.j for r in out] == [len('{"a": [1, 2]}') // 4, None, len('"\\u00e9"') // 4, 0, 0]
     df = spark.createDataFrame([(3, 10, 60.0, 2), (12, 10, 60.0, 2), (0, 4, 30.0, 0)], "done int, total int, s double, n int")
     assert [r.m for r in df.select(evaluate.eta_minutes(*map(F.col, df.columns)).alias("m")).collect()] == [3.5, 0.0, 2.0]
+
+
+def test_env_reads_query_takes_any_numbers(spark, tmp_path):
+    """Numbers far apart, and one that stands twice."""
+    keys = [(k,) for k in (0, 1, 3, 3, 4, 90001, 2000000)]
+    spark.createDataFrame(keys, "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    got, want = rows(queries.QUERIES["env_reads"](spark, str(tmp_path))), expected(connect(str(tmp_path)), queries.ORACLE_SQL["env_reads"])
+    assert got == want
