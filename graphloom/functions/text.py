@@ -142,9 +142,21 @@ def lines(text: Column) -> Column:
     return F.transform(parts, lambda x, i: F.struct((i + 1).cast("int").alias("line"), x.alias("text")))
 
 
+def _between(parts: Column, start: Column, end: Column) -> Column:
+    first = F.greatest(start, F.lit(1))
+    return F.array_join(F.slice(parts, first, F.greatest(end - first + 1, F.lit(0))), "\n")
+
+
 def line_slice(text: Column, start: Column, end: Column) -> Column:
     """Lines ``start`` to ``end``, both counted from 1 and both included."""
-    return F.array_join(F.slice(F.split(text, r"\r?\n"), F.greatest(start, F.lit(1)), F.greatest(end - F.greatest(start, F.lit(1)) + 1, F.lit(0))), "\n")
+    return _between(F.split(text, r"\r?\n"), start, end)
+
+
+def line_slices(text: Column, ranges: Column) -> Column:
+    """``array<struct<start, end, text>>``: ``line_slice`` of each of ``ranges`` (start, end); the text is split once, however many they are."""
+    # as the one element of an array the parts are a variable, which is not computed again for each range
+    each = lambda parts: F.transform(ranges, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), _between(parts, r["start"], r["end"]).alias("text")))
+    return F.flatten(F.transform(F.array(F.split(text, r"\r?\n")), each))
 
 
 def token_count(text: Column) -> Column:

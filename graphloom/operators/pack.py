@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_callable, is_file_node, leaf_any_parens, line_slice, location_line, token_count
+from ..functions.text import is_callable, is_file_node, leaf_any_parens, line_slice, line_slices, location_line, token_count
 from ..plans.lineage import cut
 from ..schema import CALL_RELATIONS, MEMBER_RELATIONS, NOT_A_TEST_LINK, TRAVERSAL_RELATIONS
 from .edges import related_tests, unmodelled
@@ -63,17 +63,20 @@ def context_pack(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, files: Da
     rows = rows.withColumn("is_file", is_file_node(F.col("source_file"), F.col("source_location"), F.col("label"), F.col("_callable")))
     asked = info.select(F.col("id").alias("query_id"), F.col("source_file").alias("file"), location_line(F.col("source_location")).alias("def_line"), leaf_any_parens(F.col("label")).alias("leaf"))
     got = at_line(asked.join(rows.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_semi"), defs).select(F.col("query_id").alias("id"), "symbol", "unresolved")
-    rows = rows.join(got, "id", "left").withColumn("why_not", F.when(F.col("is_file"), "file_node").otherwise(F.col("unresolved")))
+    rows = cut(rows.join(got, "id", "left").withColumn("why_not", F.when(F.col("is_file"), "file_node").otherwise(F.col("unresolved"))), "rows")
     deep = (F.col("depth") > depth) & (F.col("id") != F.col("seed"))
     unresolved = rows.where(F.col("why_not").isNotNull() & ~deep).select("query_id", "id", "label", F.col("why_not").alias("reason"), (F.col("id") == F.col("seed")).alias("is_seed"))
-    shown = rows.where("why_not is null").join(files.select(F.col("file").alias("source_file"), F.col("text").alias("source")), "source_file")
-    shown = shown.withColumn("body", line_slice(F.col("source"), F.col("symbol.start"), F.col("symbol.end")))
+    shown = rows.where("why_not is null").withColumns({"start": F.col("symbol.start"), "end": F.col("symbol.end")})
+    # a file goes to its ranges of lines once, and not to every row
+    wanted = shown.groupBy("source_file").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    bodies = wanted.join(files.select(F.col("file").alias("source_file"), F.col("text").alias("source")), "source_file").select("source_file", F.inline(line_slices(F.col("source"), F.col("ranges")))).withColumnRenamed("text", "body")
+    shown = shown.join(cut(bodies, "bodies"), ["source_file", "start", "end"])
     head = F.concat(F.lit("--- "), F.col("source_file"), F.lit(":L"), F.col("symbol.def_line").cast("string"), F.lit(" ---\n"))
     body = F.col("body") if symbol_cap is None else F.substring("body", 1, 4 * symbol_cap)
     line = F.concat(F.lit("  "), F.col("source_file"), F.lit(":L"), F.col("symbol.def_line").cast("string"), F.lit("  "), F.substring("symbol.signature", 1, 120), F.lit("\n"))
     shown = shown.withColumn("cost", token_count(F.concat(head, body, F.lit("\n")))).withColumn("index_cost", token_count(line))
     text = shown.where("id = seed").select("query_id", F.col("body").alias("text"))
-    placed = ranked(mentioned(shown.drop("source", "body"), text), order)
+    placed = ranked(mentioned(shown.drop("start", "end", "body"), text), order)
     tiers = cut(two_tier_fill(cut(placed, "placed"), budget, index_budget, body_depth=depth), "tiers")
     kept = tiers.where("tier <> 'omitted'").select("query_id", "id")
     files_shown = tiers.where("tier = 'body'").select("query_id", F.col("source_file").alias("file")).distinct()

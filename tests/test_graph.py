@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import queries
+from graphloom.functions import text as T
 from graphloom.functions import text as X
 from graphloom.operators import corpus, diff, edges as E, pack, rank, resolve, state, supplement, symbols, traverse, triage
 
@@ -436,3 +437,13 @@ def test_controls_count_each_line_by_itself(spark):
     inside = [(r, t, _smallest_by_hand(extents, f, n) is not None) for _, r, f, n, t in lines]
     counts = lambda rows: (sum(t for _, t, _ in rows), sum(t and h for _, t, h in rows), sum(not t for _, t, _ in rows), sum(not t and not h for _, t, h in rows))
     assert {r.repo: tuple(r)[1:] for r in got} == {None: counts(inside)} | {k: counts([x for x in inside if x[0] == k]) for k in range(3)}
+
+
+def test_line_slices_split_a_long_text_once(spark):
+    """20,000 ranges of a text of 40,000 lines; split for each of them, it would be 800,000,000 lines."""
+    text = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40000)), lambda i: F.concat(F.lit("line "), i.cast("string"))), "\r\n").alias("text"))
+    ranges = F.transform(F.sequence(F.lit(1), F.lit(20000)), lambda i: F.struct((i * 2 - 2).alias("start"), (i * 2).alias("end")))
+    got = text.select(F.inline(T.line_slices(F.col("text"), ranges))).collect()
+    assert [r.text for r in got] == ["\n".join(f"line {n}" for n in range(max(1, i * 2 - 2), i * 2 + 1)) for i in range(1, 20001)]
+    odd = spark.createDataFrame([("a\nb\nc",)], "text string").select(F.inline(T.line_slices(F.col("text"), F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 1), (2, 9), (3, 1), (7, 8))]))))
+    assert [r.text for r in odd.collect()] == ["a", "b\nc", "", ""]
