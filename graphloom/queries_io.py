@@ -28,6 +28,15 @@ def _joined(df: DataFrame, item: Column, order: Column, head: str, tail: str, se
     return df.agg(F.concat(F.lit(head), body, F.lit(tail)).alias("value"))
 
 
+def _put_list(df: DataFrame, item: Column, order: str, head: str, tail: str, label: str) -> str:
+    """A list as a file, an item a line: rows stream into it in order and are never one text."""
+    ends = df.sparkSession.createDataFrame([(0,), (2,)], "_part int")
+    rows = df.withColumn("_part", F.lit(1)).unionByName(ends, allowMissingColumns=True).repartition(1).sortWithinPartitions("_part", order)
+    rows = rows.withColumn("_n", F.monotonically_increasing_id())  # the head is 0 and the first item 1
+    value = F.when(F.col("_part") == 0, head).when(F.col("_part") == 2, tail).otherwise(F.concat(F.when(F.col("_n") > 1, ",").otherwise(""), item))
+    return _put(rows.select(value.alias("value")), label)
+
+
 def _text(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
@@ -99,7 +108,7 @@ def semgrep_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     trace = F.when(k % 4 == 0, F.concat(F.lit('["CliLoc", ['), at, F.lit(', "text"]]'))).when(k % 4 == 1, F.concat(F.lit('{"location": '), at, F.lit("}")))
     more = F.concat(F.lit('{"severity": "'), F.when(F.col("event_type") == "error", "ERROR").otherwise("OTHER"), F.lit('"'), F.coalesce(F.concat(F.lit(', "dataflow_trace": {"taint_source": '), trace, F.lit("}")), F.lit("")), F.lit("}"))
     item = F.concat(F.lit('{"check_id": "Rule.'), F.upper("event_type"), F.lit('", "path": "f'), _text(k % 9), F.lit('", "start": {"line": '), _text(k % 50), F.lit('}, "end": {"line": 1}, "extra": '), more, F.lit("}"))
-    rows = scanners.read_semgrep(spark, _put(_joined(table(spark, sf_dir, "events"), item, k, '{"results": [', "]}"), "semgrep"))
+    rows = scanners.read_semgrep(spark, _put_list(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), item, "event_id", '{"results": [', "]}", "semgrep"))
     first = table(spark, sf_dir, "events").agg(F.min("event_id")).first()[0]
     found, _ = scanners.semgrep_findings(rows.withColumn("pos", F.col("pos") + first), ("click", "error"))
     return found.select("pos", "relation", F.col("source_ref.file").alias("source_file"), F.col("source_ref.line").alias("source_line"), F.col("target_ref.file").alias("target_file"), F.col("target_ref.line").alias("target_line"), F.round("confidence_score", 4).alias("score"))

@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.text import is_test_path, severity_score
+from ..plans.lineage import cut
 from ..schema import ASSUMED_TAINT
 
 
@@ -45,15 +47,51 @@ def location(trace: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["file", "line"]).astype({"line": "Int32"})
 
 
+#: The key that each result begins with, and the value of it that marks an end put in by the reader.
+_KEY, _END = '"check_id"', "\x01end"
+_RESULTS = "struct<results:array<struct<check_id:string,path:string,start:struct<line:int>,end:struct<line:int>,extra:string>>>"
+
+
 def read_semgrep(spark: SparkSession, path: str) -> DataFrame:
-    """``check_id, file, line, severity, message, trace`` (JSON text) of each result."""
-    schema = "struct<results:array<struct<check_id:string,path:string,start:struct<line:int>,end:struct<line:int>,extra:string>>>"
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("r"))
-    r = text.select(F.posexplode("r.results").alias("pos", "x"))
+    """``pos, check_id, file, line, severity, message, trace`` (JSON text) of each result, ``pos`` being its place in its file.
+
+    A file is read in pieces, each of them a result and what stands between it
+    and the next, by as many tasks as it has splits. Where pieces are no single
+    results (other keys go first, or stand in other lists), it is parsed whole.
+    """
+    r = _semgrep_pieces(spark, path)
+    if r is None:
+        text = spark.read.text(path, wholetext=True).select(F.from_json("value", _RESULTS).alias("r"))
+        r = text.select(F.posexplode("r.results").alias("pos", "x"))
     get = lambda p: F.get_json_object("x.extra", p)
     return r.select(F.col("pos").cast("long").alias("pos"), "x.check_id", F.col("x.path").alias("file"), F.col("x.start.line").alias("line"), get("$.severity").alias("severity"), get("$.message").alias("message"), get("$.dataflow_trace.taint_source").alias("trace"))
 
 
+def _semgrep_pieces(spark: SparkSession, path: str) -> DataFrame | None:
+    """``pos, x`` of files cut at ``_KEY``; none unless each piece proves to be one whole result.
+
+    The brace before the next key is completed to an object that marks the end:
+    a piece is right if its list holds just the result and that object, so
+    nothing else can hide before, behind or between.
+    """
+    text = spark.read.option("lineSep", _KEY).text(path)
+    text = text.select("value", F.col("_metadata.file_path").alias("in_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    head, opens = ~F.col("value").rlike(r"^\s*:"), F.col("value").rlike(r"\{\s*$")
+    closed = F.when(opens, F.concat(F.regexp_replace("value", r"\{\s*$", ""), F.lit(f'{{{_KEY}: "\\u0001end"}}]}}'))).otherwise(F.col("value"))
+    whole = F.when(head, closed).otherwise(F.concat(F.lit(f'{{"results": [{{{_KEY}'), closed))
+    rows = text.select("in_file", "block", "id", head.alias("head"), opens.alias("opens"), F.from_json(whole, _RESULTS)["results"].alias("r"))
+    size = F.coalesce(F.size("r"), F.lit(0)) == F.when(F.col("head"), 0).otherwise(1) + F.col("opens").cast("int")
+    ended = ~F.col("opens") | F.coalesce(F.element_at("r", -1)["check_id"] == _END, F.lit(False))
+    rows = cut(rows.select("in_file", "block", "id", "head", "opens", F.when(size, size & ended).otherwise(False).alias("right"), F.when(~F.col("head"), F.get("r", F.lit(0))).alias("x")), "pieces")
+    blocks = rows.groupBy("in_file", "block").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.count_if("head").alias("heads"), F.count_if(~F.col("opens")).alias("ends"), F.count_if(~F.col("right")).alias("wrong"))
+    if not blocks.groupBy("in_file").agg(F.sum("heads").alias("heads"), F.sum("ends").alias("ends"), F.sum("wrong").alias("wrong")).where("heads <> 1 or ends <> 1 or wrong > 0").isEmpty():
+        return None
+    before = F.sum("n").over(Window.partitionBy("in_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    place = blocks.select("in_file", "block", "low", F.coalesce(before, F.lit(0)).alias("before"))
+    # the head is the first piece of its file
+    return rows.where("not head").join(F.broadcast(place), ["in_file", "block"]).select((F.col("before") + F.col("id") - F.col("low") - 1).alias("pos"), "x")
+
+
 def classify(results: DataFrame, taint_rules: tuple[str, ...] = (), assume_taint: bool = False) -> DataFrame:
     """Results with ``class`` and ``score``: a trace; else a declared rule (part of its name, case ignored) or ``assume_taint``, at nine tenths of its score; else skipped."""
     declared = F.lit(assume_taint)
@@ -99,8 +137,6 @@ def flow_findings(elements: DataFrame, rule: str = "flow") -> DataFrame:
     located = F.struct("pos", "file", "line")
     ends = elements.groupBy("flow").agg(F.min(located).alias("a"), F.max(located).alias("b"), F.count("*").alias("n"), F.max("rule").alias("rule")).where("n >= 2")
     make = lambda relation: ends.select("flow", F.lit(-1).alias("pos"), F.lit(relation).alias("relation"), _ref(F.col("a.file"), F.col("a.line")).alias("source_ref"), _ref(F.col("b.file"), F.col("b.line")).alias("target_ref"), F.lit(False).alias("skip_self"), "rule")
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("flow").orderBy("pos")
     steps = elements.withColumn("next", F.lead(F.struct("file", "line")).over(w)).where("next is not null")
     steps = steps.select("flow", "pos", F.lit("taints").alias("relation"), _ref(F.col("file"), F.col("line")).alias("source_ref"), _ref(F.col("next.file"), F.col("next.line")).alias("target_ref"), F.lit(True).alias("skip_self"), "rule")

@@ -203,3 +203,34 @@ def test_env_reads_query_takes_any_numbers(spark, tmp_path):
     spark.createDataFrame(keys, "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
     got, want = rows(queries.QUERIES["env_reads"](spark, str(tmp_path))), expected(connect(str(tmp_path)), queries.ORACLE_SQL["env_reads"])
     assert got == want
+
+
+def _semgrep_rows(spark, path, size="128m"):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        return sorted(tuple(r) for r in C.read_semgrep(spark, path).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_semgrep_results_in_splits_of_a_file(spark, tmp_path):
+    """Pretty and in one line, split at any byte, with what only looks like a key; never parsed whole."""
+    odd = ('say "check_id', "a } , { b", "\\", '{"check_id": 1}', "é" * 9)
+    results = [{"check_id": f"r{i}", "path": f"p{i % 7}", "start": {"line": i}, "end": {"line": i}, "extra": {"message": odd[1 + i % 4], "severity": "INFO"}} for i in range(300)]
+    want = sorted((i, f"r{i}", f"p{i % 7}", i, "INFO", odd[1 + i % 4], None) for i in range(300))
+    for indent in (None, 2):
+        p = put(tmp_path / f"{indent}.json", json.dumps({"version": "1", "results": results, "errors": []}, indent=indent))
+        for size in ("1000b", "1003b", "128m"):
+            assert _semgrep_rows(spark, p, size) == want
+        assert C._semgrep_pieces(spark, p) is not None
+
+
+def test_semgrep_files_that_are_no_rows_of_results(spark, tmp_path):
+    """Other first keys, results without the key, lists besides the results, and none at all give what parsing the whole gives."""
+    x = {"check_id": "a", "path": "p", "start": {"line": 1}}
+    for k, d in enumerate((
+        {"results": [{"path": "p", "check_id": "a"}, x]}, {"results": [x, {"path": "no id"}, x]}, {"results": [x], "other": [{"path": "o"}, x, x]}, {"other": {"results": [x]}}, {"other": [x], "results": [x, x]},
+        {"results": [x | {"extra": {"metadata": {"check_id": "inner"}}}, x]}, {"results": []}, {"version": 1}, {"results": [x | {"extra": {"message": 'say "check_id'}}, x]},
+    )):
+        got = _semgrep_rows(spark, put(tmp_path / f"{k}.json", d))
+        assert [(r[0], r[1], r[2]) for r in got] == [(i, r.get("check_id"), r["path"]) for i, r in enumerate(d.get("results", []))], d
